@@ -13,6 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.frames import widened
 from graphloom.llm.tokenizer import USUAL_PATTERN, BytePairEncoder, PieceCache, Splitter, load_ranks
 
 
@@ -44,7 +45,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str = USUAL_PATTERN,
     A column already called `out` is replaced.  Repeated rows are each encoded.
     """
     kept = docs.drop(out)
-    schema = kept.schema.add(out, "array<int>")
+    schema = widened(kept, out, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, cache = Splitter(pattern), _ids_cache(ranks)
@@ -61,7 +62,7 @@ def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "
     An id outside the vocabulary is an error: nothing is dropped silently.
     """
     kept = docs.drop(out)
-    schema = kept.schema.add(out, "binary")
+    schema = widened(kept, out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks)

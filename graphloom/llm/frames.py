@@ -6,12 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
+
+_KINDS: dict[str, DataType] = {"double": DoubleType(), "string": StringType(), "binary": BinaryType(), "array<int>": ArrayType(IntegerType())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(df: DataFrame, name: str, kind: str) -> StructType:
+    """df's schema with one more column."""
+    return StructType([*df.schema.fields, StructField(name, _KINDS[kind])])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder; cuts the lineage."""
     spark = df.sparkSession
@@ -50,3 +58,25 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     else:
         raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def with_scores(docs: DataFrame, text: str, out: str, score) -> DataFrame:
+    """docs with a double column `out`; score(bytes, offsets) -> one number a document.
+
+    A narrow map in bounded chunks; a column already called `out` is replaced.
+    """
+    kept = docs.drop(out)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from graphloom.llm import arrays as A
+
+        for batch in batches:
+            data, off = A.flat(batch.column(text))
+            parts = [score(d, o) for _, _, d, o in A.chunks(data, off)]
+            values = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
+
+    return kept.mapInArrow(run, widened(kept, out, "double"))
