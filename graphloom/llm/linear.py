@@ -91,7 +91,7 @@ class SparseWeights:
         return self.bias + np.bincount(pair >> self.bits, dense[pair & ((1 << self.bits) - 1)], len(off) - 1)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, n: int, skips: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int = 3, most_weight: float = 10.0) -> SparseWeights:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, n: int, skips: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int = 3, most_weight: float = 4.0) -> SparseWeights:
     """FTRL-proximal logistic regression: per-coordinate rates, L1 sparsity; binary features.
 
     rows: (distinct slots, label 0/1).  Rows of label 1, if rarer, weigh more, up to
