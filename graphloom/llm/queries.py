@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, fingerprint, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from graphloom.llm import bpe, fingerprint, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from graphloom.llm.corpus_rules import URL_RULES
 from graphloom.llm.frames import table
 from graphloom.llm.linear import fold
@@ -30,6 +30,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def _verdicts(scored: DataFrame, cut: float) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
