@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, fingerprint, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from graphloom.llm import bpe, embedding_dedup, fingerprint, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from graphloom.llm.corpus_rules import URL_RULES
 from graphloom.llm.frames import table
 from graphloom.llm.linear import fold
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_word_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,

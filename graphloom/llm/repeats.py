@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from graphloom.llm import arrays as A
 from graphloom.llm.frames import buckets
@@ -146,17 +148,19 @@ def _distinct(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(fresh)
 
 
-def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Callable, schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """apply(ids, chunk bytes, chunk offsets, cut, covered tokens) for all documents; see the module.
+def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Callable, schema: StructType, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """apply(rows, chunk bytes, chunk offsets, cut, covered tokens) for all documents; see the module.
+
+    `rows` is an Arrow table with the columns of docs; apply returns a batch of `schema`.
 
     Null texts have no tokens; a null id counts as the least; rows with equal ids are
     different documents at equal places.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
-    total = rows.select("doc_id").count()
+    total = docs.select(doc_id).count()
     n_bucket, n_target = buckets(total), buckets(total, 10_000)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_bucket)).cast("int"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(n_bucket)).cast("int")
+    rows = docs.select("*", key.alias("_key"), bucket.alias("_bucket"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -172,8 +176,8 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
             return _rows("target", list(_by_target((h % A.U64(n_target)).astype(np.int64), n_target, h, b << 1 | many)))
 
         for batch in batches:
-            bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-            for i, j, d, o in A.chunks(*A.flat(batch.column("text"))):
+            bucket = batch.column("_bucket").to_numpy(zero_copy_only=False)
+            for i, j, d, o in A.chunks(*A.flat(batch.column(text))):
                 c = cut(d, o, by)
                 held.append((c.hash, bucket[i:j][c.doc].astype(np.int32)))
                 size += len(c.hash)
@@ -198,9 +202,9 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         known = np.unique(known)
         if not len(left) or not len(known):
             return _table("target", [])
-        keys = left.column("key").to_numpy()
+        keys = left.column("_key").to_numpy()
         found = []
-        for i, j, d, o in A.chunks(*A.flat(left.column("text"))):
+        for i, j, d, o in A.chunks(*A.flat(left.column(text))):
             c = cut(d, o, by)
             place = np.searchsorted(known, c.hash)
             hit = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == c.hash))
@@ -220,7 +224,7 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         target = (merged.anchor % A.U64(n_target)).astype(np.int64)
         order = np.argsort(target, kind="stable")
         edge = np.searchsorted(target[order], np.arange(n_target + 1))
-        bucket = left.column("bucket")[0].as_py()
+        bucket = left.column("_bucket")[0].as_py()
         out = []
         for k in np.flatnonzero(np.diff(edge)):
             pick = order[edge[k] : edge[k + 1]]
@@ -256,9 +260,9 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         order = np.argsort(name, kind="stable")
         name, anchor, content, lo, hi, at_doc, at_start = (x[order] for x in (name, anchor, content, lo, hi, at_doc, at_start))
         known = np.unique(anchor)
-        keys, out = left.column("key").to_numpy(), []
-        ids = left.column("doc_id").combine_chunks()
-        for i, j, d, o in A.chunks(*A.flat(left.column("text"))):
+        keys, out = left.column("_key").to_numpy(), []
+        given = left.select([c for c in left.column_names if c not in ("_key", "_bucket")])
+        for i, j, d, o in A.chunks(*A.flat(left.column(text))):
             c = cut(d, o, by)
             n_token = len(c.values)
             mask = np.zeros(n_token, bool)
@@ -274,19 +278,16 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
                 later = (content[ans] == mine[who]) & ((at_doc[ans] < doc) | ((at_doc[ans] == doc) & (at_start[ans] < start)))
                 run, ans = run[later], ans[later]
                 mask = A.covered(c.start[run] + lo[ans], c.start[run] + hi[ans] - 1 + by.length, n_token)
-            out.append(apply(ids.slice(i, j - i), d, o, c, mask))
+            out.append(apply(given.slice(i, j - i), d, o, c, mask))
         return pa.Table.from_batches(out) if out else empty.empty_table()
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    empty = to_arrow_schema(docs.sparkSession.createDataFrame([], schema.format(kind)).schema)
-    dealt = rows.groupBy("bucket")
-    sent = rows.mapInArrow(anchors, "target int, blob binary")
+    empty = to_arrow_schema(schema)
+    dealt = rows.groupBy("_bucket")
+    sent = rows.select("_bucket", text).mapInArrow(anchors, "target int, blob binary")
     back = sent.groupBy("target").applyInArrow(repeated, "bucket int, blob binary")
     met = dealt.cogroup(back.groupBy("bucket")).applyInArrow(runs, "target int, blob binary")
     told = met.groupBy("target").applyInArrow(resolved, "bucket int, blob binary")
-    return dealt.cogroup(told.groupBy("bucket")).applyInArrow(finished, schema.format(kind))
+    return dealt.cogroup(told.groupBy("bucket")).applyInArrow(finished, schema)
 
 
 def _merge(r: Runs) -> Runs:
@@ -310,6 +311,11 @@ def grouped(r: Runs) -> tuple[np.ndarray, np.ndarray]:
     return group, np.bincount(group)[group] if len(group) else group
 
 
+def digest_schema(docs: DataFrame, doc_id: str, *counts: str) -> StructType:
+    """doc_id, counts, kept_sha256."""
+    return StructType([StructField("doc_id", docs.schema[doc_id].dataType), *(StructField(c, LongType()) for c in counts), StructField("kept_sha256", StringType())])
+
+
 def kept_digests(data: np.ndarray, off: np.ndarray, keep: np.ndarray) -> list[str]:
     """SHA-256 of each document's kept bytes."""
     left = np.concatenate([[0], np.cumsum(keep)])[off]

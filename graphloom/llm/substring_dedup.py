@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphloom.llm import arrays as A
-from graphloom.llm.repeats import Answers, Cut, Runs, Tokens, grouped, kept_digests, repeated_windows
+from graphloom.llm.repeats import Answers, Cut, Runs, Tokens, digest_schema, grouped, kept_digests, repeated_windows
 
 
 class SuffixAutomaton:
@@ -139,12 +140,36 @@ WORDS20 = Tokens(words=True, length=20, gram=6)
 def repeated_word_digests(docs: DataFrame, by: Tokens = WORDS20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: what is left without words of earlier windows."""
 
-    def apply(ids, data, off, c: Cut, gone) -> pa.RecordBatch:
+    def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:
         kept, edge = kept_words(data, c, gone)
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[c.first])
         digests = kept_digests(kept, edge, np.ones(len(kept), bool))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.diff(c.first)), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
+            [rows.column(doc_id).combine_chunks(), pa.array(np.diff(c.first)), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
         )
 
-    return repeated_windows(docs, by, earliest_windows, apply, "doc_id {}, n_words long, n_removed long, kept_sha256 string", doc_id, text)
+    schema = digest_schema(docs, doc_id, "n_words", "n_removed")
+    return repeated_windows(docs.select(doc_id, text), by, earliest_windows, apply, schema, doc_id, text)
+
+
+def without_repeated_words(docs: DataFrame, by: Tokens = WORDS20, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """docs, with the words of windows that start earlier elsewhere taken out of the texts.
+
+    A text that loses words has the others joined by one space, and its `chars` column, if
+    there is one, counts again; all others, null and empty ones too, stay as they are.
+    Every row stays, even if nothing is left of its text.
+    """
+
+    def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:
+        kept, edge = kept_words(data, c, gone)
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[c.first]) > 0
+        raw = kept.tobytes()
+        texts = [raw[a:b].decode() if r else None for a, b, r in zip(edge[:-1], edge[1:], removed, strict=True)]
+        which = pa.array(removed)
+        out = rows.set_column(rows.schema.get_field_index(text), text, pc.if_else(which, pa.array(texts, pa.string()), rows.column(text).cast(pa.string())))
+        if chars in out.column_names:
+            n = pa.array([len(t) if t is not None else None for t in texts], out.column(chars).type)
+            out = out.set_column(out.schema.get_field_index(chars), chars, pc.if_else(which, n, out.column(chars)))
+        return out.combine_chunks().to_batches()[0]
+
+    return repeated_windows(docs, by, earliest_windows, apply, docs.schema, doc_id, text)

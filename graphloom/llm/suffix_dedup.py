@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import arrays as A
-from graphloom.llm.repeats import FIRST, Answers, Cut, Runs, Tokens, grouped, kept_digests, repeated_windows
+from graphloom.llm.repeats import FIRST, Answers, Cut, Runs, Tokens, digest_schema, grouped, kept_digests, repeated_windows
 
 
 def common(prefix: A.Prefix, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ BYTES200 = Tokens(words=False, length=200, gram=64)
 def repeated_byte_digests(docs: DataFrame, by: Tokens = BYTES200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left without repeated windows."""
 
-    def apply(ids, data, off, c: Cut, gone) -> pa.RecordBatch:
+    def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:
         ones = np.concatenate([[0], np.cumsum(gone)])
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -147,8 +147,9 @@ def repeated_byte_digests(docs: DataFrame, by: Tokens = BYTES200, doc_id: str =
         opens[cuts] = gone[cuts]
         spans = np.concatenate([[0], np.cumsum(opens)])
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.diff(off)), pa.array(np.diff(ones[off])), pa.array(np.diff(spans[off])), pa.array(kept_digests(data, off, ~gone), pa.string())],
+            [rows.column(doc_id).combine_chunks(), pa.array(np.diff(off)), pa.array(np.diff(ones[off])), pa.array(np.diff(spans[off])), pa.array(kept_digests(data, off, ~gone), pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    return repeated_windows(docs, by, repeated_runs, apply, "doc_id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", doc_id, text)
+    schema = digest_schema(docs, doc_id, "n_bytes", "n_removed", "n_spans")
+    return repeated_windows(docs.select(doc_id, text), by, repeated_runs, apply, schema, doc_id, text)
