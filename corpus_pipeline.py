@@ -1,20 +1,55 @@
-"""Corpus pipeline: documents in, packed training sequences out, one operator a stage."""
+"""Corpus pipeline: documents in, packed training sequences out, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import packing
+from graphloom.llm import jaccard_join, packing, quality, substring_dedup, toxicity
 from graphloom.llm.frames import table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of being toxic is below a half."""
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, out="_score").where(F.col("_score") < 0.5).drop("_score")
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that rank above the quality threshold."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), cut=0.3)
+    return quality.score_quality(docs, model, out="_score").where(F.col("_score") >= 0.3).drop("_score")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component of Jaccard similarity 0.8 or more."""
+    classes = jaccard_join.similarity_classes(docs)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words of 20-word windows that start earlier."""
+    return substring_dedup.without_repeated_words(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents, packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("substring dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
 
 #: Learned models and tokenizers are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
