@@ -1,0 +1 @@
+"""Narrative knowledge-graph analytics on Spark DataFrames."""
