@@ -144,7 +144,7 @@ def emotion_category(label: Column) -> Column:
 
 
 def split_emotions(x: Column) -> Column:
-    labels = F.filter(F.transform(F.split(x, "[;,]"), F.trim), lambda c: (c != "") & ~F.lower(c).isin("not stated", "nan"))
+    labels = F.filter(F.transform(F.split(x, "[;,]"), lambda c: F.trim(c)), lambda c: (c != "") & ~F.lower(c).isin("not stated", "nan"))
     return F.when(is_nothing(x), F.array().cast("array<string>")).otherwise(labels)
 
 
