@@ -81,14 +81,15 @@ def join_blocks(x: np.ndarray, px: np.ndarray, nx: np.ndarray, y: np.ndarray, py
     shift = 0 if same else n
     for i, j in near_intervals(low_x, high_x, low_y, high_y, eps, same):
         a, c = i * LEAF, j * LEAF
-        close = x[a : a + LEAF] @ y[c : c + LEAF].T >= t
+        b, d = min(a + LEAF, n), min(c + LEAF, len(y))
+        close = x[a:b] @ y[c:d].T >= t
         if same and i == j:
             np.fill_diagonal(close, False)
         if not close.any():
             continue
-        links[a : a + LEAF] += close @ ny[c : c + LEAF]
+        links[a:b] += close @ ny[c:d]
         if not (same and i == j):
-            links[shift + c : shift + c + LEAF] += close.T @ nx[a : a + LEAF]
+            links[shift + c : shift + d] += close.T @ nx[a:b]
         # local components of this leaf pair: least row label over links, to a fixed point
         rows, cols = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
         part = close[np.ix_(rows, cols)]
