@@ -13,14 +13,20 @@ from graphloom.sinks.writers import latest, not_done
 from graphloom.sources.tables import responses, topics
 from graphloom.streaming.stateful import paced, request_counts
 
-_TURN = [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
+
+
+def _turns() -> list:
+    """Order of a conversation's rows; made when asked, as columns need a session."""
+    return [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
+
+
 _ORDER = "turn NULLS LAST, role, text"
 
 
 @query(f"""SELECT conv_id, turn, md5(text) AS t, coalesce(last_value(nullif(role, 'assistant') IGNORE NULLS)
            OVER (PARTITION BY conv_id ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING), 'assistant') AS speaker FROM conversations""")
 def ffill_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = ordered.fill_forward(table(spark, sf_dir, "conversations"), "role", ["conv_id"], _TURN, "assistant", "speaker")
+    filled = ordered.fill_forward(table(spark, sf_dir, "conversations"), "role", ["conv_id"], _turns(), "assistant", "speaker")
     return filled.select("conv_id", "turn", F.md5("text").alias("t"), "speaker")
 
 
@@ -33,7 +39,7 @@ _STICKY = "CASE WHEN role = 'user' THEN 'not stated' WHEN role = 'system' THEN '
            CASE WHEN v NOT IN ('', 'not stated') THEN 'original' WHEN l IS NOT NULL THEN 'context_sticky' ELSE 'unresolved' END AS place_method FROM f""")
 def sticky_fill_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(F.col("role") == "user", "not stated").when(F.col("role") == "system", "").otherwise(F.col("role"))
-    rows = ordered.sticky_fill(table(spark, sf_dir, "conversations").withColumn("place", place), "place", ["conv_id"], _TURN)
+    rows = ordered.sticky_fill(table(spark, sf_dir, "conversations").withColumn("place", place), "place", ["conv_id"], _turns())
     return rows.select("conv_id", "turn", F.md5("text").alias("t"), "place_original", "place", "place_method")
 
 
@@ -64,7 +70,7 @@ def first_seen_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id || '_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) AS utterance_id, role FROM conversations")
 def segment_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ordered.ordinal(table(spark, sf_dir, "conversations"), ["conv_id"], _TURN)
+    rows = ordered.ordinal(table(spark, sf_dir, "conversations"), ["conv_id"], _turns())
     return rows.select(F.concat_ws("_", "conv_id", "ordinal").alias("utterance_id"), "role")
 
 

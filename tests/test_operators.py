@@ -30,9 +30,8 @@ def test_coref(spark):
     got = [(r["who"], r["who_method"]) for r in coref.resolve_mentions(df, "i", ["k"], "who", "name", "sex").orderBy("k").collect()]
     assert got == [
         ("S's father", "rule_relational"), ("S's father", "coref_local"), ("S", "rule_self"), ("S and family", "rule_we"), ("S, S's brother", "rule_self_compound"),
-        ("S and family", "coref_local"), got[6], ("Anna", "original"), ("it", "original"), ("Anna", "coref_local"), ("", "empty"), ("", "empty"),
+        ("S and family", "coref_local"), ("S, S's brother's", "coref_local"), ("Anna", "original"), ("it", "original"), ("Anna", "coref_local"), ("", "empty"), ("", "empty"),
     ]
-    assert got[6][1] == "coref_local" and got[6][0].endswith("'s")
 
 
 def test_first_seen_and_slugs(spark):
