@@ -129,3 +129,21 @@ def valence_per_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("cast(event_id AS string) AS utterance_hash", "'' AS who", f"{case(0)} AS what", "'not stated' AS `where`", "'1942' AS `when`", f"{case(1)} AS emotion")
     found = valence_by_activity(build_quads(rows))
     return found.select("activity", "events", F.round("avg_valence", 6).alias("avg_valence"), F.round("avg_arousal", 6).alias("avg_arousal"))
+
+
+_PLACE = "CASE c_custkey % 5 WHEN 0 THEN 'x-germany' WHEN 1 THEN 'new-zealand-town' WHEN 2 THEN 'y-poland-ussr' WHEN 3 THEN 'nowhere' ELSE 'z-ussr' END"
+_TARGET = "CASE WHEN c_custkey % 7 = 0 THEN 'https://sws.geonames.org/' || c_nationkey || '/' WHEN c_custkey % 7 = 1 THEN 'https://example.org/1' ELSE 'https://www.wikidata.org/entity/Q' || c_nationkey END"
+
+
+@query(f"""WITH l AS (SELECT c_custkey, c_custkey % 5 AS k, c_custkey % 7 AS a, c_nationkey % 4 AS f FROM customer)
+    SELECT c_custkey, CASE k WHEN 0 THEN 'germany' WHEN 1 THEN 'new-zealand' WHEN 3 THEN NULL ELSE 'ussr' END AS token,
+    CASE WHEN a = 1 THEN 'unsure' WHEN f = 3 THEN 'unsure' WHEN k = 3 THEN 'unsure' WHEN f = 2 THEN 'unsure' WHEN f = 0 AND k = 0 THEN 'correct' WHEN f = 1 AND k IN (2, 4) THEN 'correct' WHEN k IN (2, 4) THEN 'unsure' ELSE 'incorrect' END AS judgment FROM l""")
+def judge_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.alignment import judge_links
+
+    links = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_PLACE} AS slug", f"{_TARGET} AS target")
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 3")
+    held = F.expr("CASE n_nationkey % 4 WHEN 0 THEN array('Q183') WHEN 1 THEN array('Q212') ELSE cast(array() AS array<string>) END").alias("countries")
+    facts = nations.select(F.concat(F.lit("Q"), F.col("n_nationkey")).alias("target_id"), held).unionByName(nations.select(F.col("n_nationkey").cast("string").alias("target_id"), held))
+    countries = {"germany": "Q183", "new-zealand": "Q664", "poland": "Q36", "ussr": "Q15180"}
+    return judge_links(links, facts, countries, {"ussr": ["Q159", "Q212"]}, ["ussr"]).select("c_custkey", "token", "judgment")
