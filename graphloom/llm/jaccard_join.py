@@ -11,10 +11,12 @@ allowed differences make up for them (two such sets can only miss each other the
 for which even that is too little gives each shingle.
 
 Equal sets count once from the first task on.  Keys that few sets share give all pairs
-with a probe; a key that many share gives pairs with one pivot, and only sets that these
-and all other verified links leave in different components are then paired with each
-other, so that a large group of near copies costs links in its size and none is lost.
-Every pair is verified on the whole sets.
+with a probe; a key that many share gives pairs with one pivot, so that a large group of
+near copies costs pairs in its size.  Sets under such a key that all verified links leave
+in different components are then compared block by block: what shares keys with one set is
+cut into blocks, two blocks meet in a task, their intersections are a matrix product, and the
+task returns one tie for two components.  No link is lost and no group's pairs are written.
+Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import buckets, checkpointed, components
+from graphloom.llm.frames import buckets, checkpointed, components, small_batches
 from graphloom.llm.repeats import _by_target, _rows, _table, joined, packed
 
 #: A key with more pairs than this uses a pivot first.
-PIVOT_PAIRS = 48
+PIVOT_PAIRS = 12
+#: Sets in a block, about, and shingles in one step of the matrix product.
+BLOCK, STEP = 400, 4096
 
 
 class Bands:
@@ -124,6 +128,31 @@ def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return np.concatenate(out_set), np.concatenate(out_key), np.concatenate(out_probe)
 
 
+def shared_counts(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets of side 0 (rows) and side 1 (columns), exact.
+
+    Without side 1, of those of side 0 with each other.
+    """
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    value = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    _, number, times = np.unique(value, return_inverse=True, return_counts=True)
+    again = times > 1  # others are in no intersection
+    place = np.cumsum(again) - 1
+    keep = again[number]
+    number, owner = place[number[keep]], owner[keep]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(again.sum()), STEP):
+        a, b = np.searchsorted(number, [at, at + STEP])
+        hit = np.zeros((len(sets), STEP), np.float32)
+        hit[owner[a:b], number[a:b] - at] = 1
+        out += hit[left] @ hit[right].T
+    return out.astype(np.int64)
+
+
 def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
@@ -132,6 +161,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
     without words or text (null) link with nothing.  Rows that repeat an id or a null id
     are documents of their own; a component of null ids only has a null component_id.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     total = rows.count()
@@ -215,7 +245,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         kinds = [(k, raw, 0) for k, raw in _by_target((x % np.uint64(n_bucket)).astype(np.int64), n_bucket, x, y)]
         if len(big):
             group = (key[head[big]][owner] << np.uint64(16)) ^ np.uint64(int(table.column("target")[0].as_py()))
-            kinds.append((0, packed(group, ids[at], probe[at]), 1))
+            kinds.append((0, packed(group, ids[at]), 1))
         return pa.table({"bucket": pa.array([k for k, _, _ in kinds], pa.int32()), "blob": pa.array([r for _, r, _ in kinds], pa.binary()), "kind": pa.array([q for _, _, q in kinds], pa.int32())})
 
     found = checkpointed(rows.mapInArrow(index, "target int, blob binary").groupBy("target").applyInArrow(candidates, "bucket int, blob binary, kind int"))
@@ -288,22 +318,17 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             what = np.array(right.column("kind").to_pylist(), np.int64)
             blobs = right.column("blob").to_pylist()
             x, y = joined([b for b, k in zip(blobs, what, strict=True) if k == 1], "u8 u8")
-            guests: dict[int, bytes] = {}
-            for b, k in zip(blobs, what, strict=True):
-                if k == 2:
-                    name, raw = joined([b], "u8 u1")
-                    guests[int(name[0])] = raw.tobytes()
+            came = [joined([b], "u8 u1") for b, k in zip(blobs, what, strict=True) if k == 2]
+            guests = dict(zip([int(name[0]) for name, _ in came], unzipped([raw.tobytes() for _, raw in came]), strict=True))
             ids = left.column("set_id").to_numpy().view(np.uint64) if len(left) else np.zeros(0, np.uint64)
             hosts, at = np.unique(ids, return_index=True)
             need = np.unique(y)
             raws = left.column("zipped")
             host_sets = dict(zip(need.tolist(), unzipped([raws[int(i)].as_py() for i in at[np.searchsorted(hosts, need)]]), strict=True)) if len(need) else {}
             order = np.argsort(x, kind="stable")
-            keep, last, mine = [], None, None
+            keep = []
             for k in order.tolist():
-                if last != x[k]:
-                    last, mine = x[k], unzipped([guests[int(x[k])]])[0]
-                other = host_sets[int(y[k])]
+                mine, other = guests[int(x[k])], host_sets[int(y[k])]
                 if min(len(mine), len(other)) * den < num * max(len(mine), len(other)):
                     continue
                 place = np.searchsorted(mine, other)
@@ -315,6 +340,49 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         told = asked.where("kind = 1").union(sent)
         return checkpointed(texts.cogroup(told.groupBy("bucket")).applyInArrow(test, "a long, b long"))
 
+    def across(unsettled: DataFrame) -> DataFrame:
+        """(a, b): ties between components whose sets share a key.
+
+        unsettled(id, component, first): a cluster is what shares keys with one first set, so
+        the keys of a large group of near copies make one cluster, and chance keys don't chain.
+        """
+        blocks = unsettled.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        placed = unsettled.join(blocks, "first").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        low, high = F.least("mine", "other"), F.greatest("mine", "other")
+        asks = meets.select("id", "component", F.xxhash64("first", low, high).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+        keyed = asks.mapInArrow(keyed_by_bucket, "bucket int, id long, component long, task long, side int")
+
+        def deliver(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids, at = np.unique(left.column("set_id").to_numpy() if len(left) else np.zeros(0, np.int64), return_index=True)
+            want = right.column("id").to_numpy() if len(right) else np.zeros(0, np.int64)
+            take = pa.array(at[np.searchsorted(ids, want)]) if len(want) else pa.array([], pa.int64())
+            return right.drop_columns(["bucket"]).append_column("zipped", left.column("zipped").take(take))
+
+        sent = texts.cogroup(keyed.groupBy("bucket")).applyInArrow(deliver, "id long, component long, task long, side int, zipped binary")
+
+        def compare(table: pa.Table) -> pa.Table:
+            ids, comp, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+            own = unzipped(table.column("zipped").to_pylist())
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if (side == 1).any() else left
+            size = np.array([len(x) for x in own], np.int64)
+            both = shared_counts(own, side)
+            close = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
+            close &= comp[left][:, None] != comp[right][None, :]
+            a, b = np.nonzero(close)
+            a, b = left[a], right[b]
+            pair = np.column_stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])])
+            _, once = np.unique(pair, axis=0, return_index=True)
+            return pa.table({"a": ids[a[once]], "b": ids[b[once]]})
+
+        return checkpointed(sent.groupBy("task").applyInArrow(compare, "a long, b long"))
+
+    def keyed_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket = (b.column("id").to_numpy().view(np.uint64) % np.uint64(n_bucket)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns], names=["bucket", *b.schema.names])
+
     sets = members.where("n_shingles > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("least"))
     edges = verified(found.where("kind = 0").select("bucket", "blob"))
     label = components(sets, edges)
@@ -325,29 +393,15 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for raw in batch.column("blob").to_pylist():
-                    group, name, probe = joined([raw], "u8 u8 b1")
-                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(name.view(np.int64)), pa.array(probe.astype(np.int32))], names=["group", "id", "probe"])
+                    group, name = joined([raw], "u8 u8")
+                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(name.view(np.int64))], names=["group", "id"])
 
         label = checkpointed(label)
-        inside = shared.select("blob").mapInArrow(opened, "group long, id long, probe int").join(label, "id")
-        open_groups = inside.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
-
-        def across(table: pa.Table) -> pa.Table:
-            ids = table.column("id").to_numpy().view(np.uint64)
-            comp, probe = table.column("component").to_numpy(), table.column("probe").to_numpy() > 0
-            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for k in range(len(ids)):
-                other = np.flatnonzero((comp != comp[k]) & (probe | probe[k]) & (ids > ids[k]))
-                a.append(np.full(len(other), ids[k]))
-                b.append(ids[other])
-            x, y = np.concatenate(a), np.concatenate(b)
-            return _table("bucket", list(_by_target((x % np.uint64(n_bucket)).astype(np.int64), n_bucket, x, y)))
-
-        pairs = checkpointed(inside.join(open_groups, "group").groupBy("group").applyInArrow(across, "bucket int, blob binary"))
-        if not pairs.isEmpty():
-            more = verified(pairs)
-            if not more.isEmpty():
-                label = components(sets, edges.union(more))
+        inside = shared.select("blob").mapInArrow(opened, "group long, id long").join(label, "id")
+        mixed = inside.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("first")).where("x <> y")
+        unsettled = checkpointed(inside.join(mixed.select("group", "first"), "group").select("id", "component", "first").distinct())
+        if not unsettled.isEmpty():
+            label = components(sets, edges.union(across(unsettled)))
     least = sets.join(label, "id").select("id", "component", "least")
     root = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(root, "component").select(F.col("id").alias("set_id"), "component_id")
