@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.frames import widened
+from graphloom.llm.frames import small_batches, widened
 from graphloom.llm.tokenizer import USUAL_PATTERN, BytePairEncoder, PieceCache, Splitter, load_ranks
 
 
@@ -45,6 +45,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str = USUAL_PATTERN,
     A column already called `out` is replaced.  Repeated rows are each encoded.
     """
     kept = docs.drop(out)
+    small_batches(docs.sparkSession)
     schema = widened(kept, out, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +63,7 @@ def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "
     An id outside the vocabulary is an error: nothing is dropped silently.
     """
     kept = docs.drop(out)
+    small_batches(docs.sparkSession)
     schema = widened(kept, out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +97,7 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str = USUAL_PATTERN
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     return named.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

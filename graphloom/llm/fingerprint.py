@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import buckets, widened
+from graphloom.llm.frames import buckets, small_batches, widened
 
 SAMPLES, SHINGLE, SLOTS = 64, 5, 15
 
@@ -92,6 +92,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", out: str = "finge
     A column already called `out` is replaced.
     """
     kept = docs.drop(out)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,6 +113,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Null texts are empty; null ids come last; rows of one id follow each other by text.  The
     next document of the last is the first (of a single document: itself).
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n, least = rows.agg(F.count("*"), F.min("key")).first()

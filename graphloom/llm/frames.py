@@ -11,6 +11,12 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, Integ
 _KINDS: dict[str, DataType] = {"double": DoubleType(), "string": StringType(), "binary": BinaryType(), "array<int>": ArrayType(IntegerType())}
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and bytes from now on: bounds what a Python worker and its JVM hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +72,7 @@ def with_scores(docs: DataFrame, text: str, out: str, score) -> DataFrame:
     A narrow map in bounded chunks; a column already called `out` is replaced.
     """
     kept = docs.drop(out)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np

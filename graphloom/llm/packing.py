@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from graphloom.llm.frames import small_batches
 from graphloom.llm.tokenizer import PieceCache, Splitter
 
 #: Pieces that are packed together; their lengths are held, their tokens are not.
@@ -125,6 +126,7 @@ def pack_documents(
     max_documents and max_cost these two never bind.  Null and empty texts are one token;
     repeated rows are packed as often as they come; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     documents, cost = max_documents or max_tokens, max_cost or float(max_tokens) ** 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import buckets
+from graphloom.llm.frames import buckets, small_batches
 
 FIRST = np.iinfo(np.int64).min
 
@@ -156,6 +156,7 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
     Null texts have no tokens; a null id counts as the least; rows with equal ids are
     different documents at equal places.
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST))
     total = docs.select(doc_id).count()
     n_bucket, n_target = buckets(total), buckets(total, 10_000)

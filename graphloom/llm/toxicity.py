@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import with_scores
+from graphloom.llm.frames import small_batches, with_scores
 from graphloom.llm.linear import SparseWeights, ftrl, gram_features, sample_rows
 
 BITS = 20
@@ -32,6 +32,7 @@ def fit_toxicity(
     The rows' distinct features are made where the texts lie; the driver gets those of at
     most sample_docs rows with at most sample_bytes of text.  No labelled rows: no weights.
     """
+    small_batches(docs.sparkSession)
     rows = sample_rows(docs, labels, label, doc_id, text, sample_docs, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
