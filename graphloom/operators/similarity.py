@@ -30,33 +30,70 @@ def nearest(vectors: DataFrame, query: list[float], key: str, embedding: str, k:
     return rows.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def coarse_cells(n: int) -> tuple[int, int]:
-    """(cells, probes) of a coarse quantiser for n vectors; fixed values: 4 to 4096 cells, 32 probes at most."""
-    cells = max(4, min(4096, int(n**0.5)))
-    return cells, min(32, cells)
+def coarse_cells(n: int) -> int:
+    """Cells of a coarse quantiser for n vectors: the root of n, 4 to 4096."""
+    return max(4, min(4096, int(n**0.5)))
 
 
-def assign_cells(vectors: DataFrame, key: str, embedding: str, seed: int = 1, sample: int = 20_000) -> tuple[DataFrame, list[list[float]], int]:
+def _closest(x, centres):
+    """Number of the centre of greatest inner product of each row, in bounded steps."""
+    import numpy as np
+
+    parts = [(x[i : i + 1000] @ centres.T).argmax(axis=1) for i in range(0, len(x), 1000)]
+    return np.concatenate(parts) if parts else np.zeros(0, int)
+
+
+def probes_for(x, ids, centres, recall: float, k: int, queries: int = 1000, seed: int = 1) -> int:
+    """Least number of cells a query must visit for that share of its true k nearest among x.
+
+    All cells are visited if x has too few rows to tell.
+    """
+    import numpy as np
+
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    cell, ranks = _closest(x, centres), []
+    asked = np.random.default_rng(seed).permutation(len(x))[:queries]
+    for i in range(0, len(asked), 100):
+        q = asked[i : i + 100]
+        score = np.round(x[q] @ x.T, 6)
+        score[ids[q][:, None] == ids[None, :]] = -np.inf
+        near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        place = np.argsort(np.argsort(-(x[q] @ centres.T), axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(place, cell[near], axis=1)[np.isfinite(np.take_along_axis(score, near, axis=1))])
+    found = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0, int)
+    return int(found[int(np.ceil(recall * len(found))) - 1]) + 1 if len(found) else len(centres)
+
+
+def assign_cells(
+    vectors: DataFrame, key: str, embedding: str, seed: int = 1, sample: int = 20_000, recall: float = 0.95, k: int = 10
+) -> tuple[DataFrame, list[list[float]], int]:
     """(vectors with their cell, centroids, probes): k-means on a bounded sample, every row indexed.
 
     Centroids are at most 4096; each vector goes to the one of greatest inner product.
+    Probes are as many cells as queries need for `recall` of their k nearest: among all
+    rows up to twice the sample, beyond that among as many rows as the sample has that the
+    centroids were not fitted on.  An empty table has no centroids and no probes.
     """
     import numpy as np
 
     n = vectors.count()
-    cells, probes = coarse_cells(n)
-    rows = vectors.select(key, embedding).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample).collect()
-    x = np.array([r[embedding] for r in rows], float)
-    cells = min(cells, len(x))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    rows = vectors.select(key, embedding).where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(2 * sample).collect()
+    if not rows:
+        return vectors.withColumn("cell", F.lit(None).cast("int")), [], 0
+    every, ids = np.array([r[embedding] for r in rows], float), np.array([r[key] for r in rows])
+    x = every[:sample] / np.maximum(np.linalg.norm(every[:sample], axis=1, keepdims=True), 1e-12)
+    cells = min(coarse_cells(n), len(x))
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(8):
-        near = (x @ centres.T).argmax(axis=1)
+        near = _closest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         full = np.bincount(near, minlength=cells) > 0
         centres[full] = sums[full] / np.maximum(np.linalg.norm(sums[full], axis=1, keepdims=True), 1e-12)
+    unseen = slice(sample if n > 2 * sample else 0, None)
+    probes = probes_for(every[unseen], ids[unseen], centres, recall, k, seed=seed)
 
     @F.pandas_udf("int")
     def cell(v):
@@ -64,7 +101,7 @@ def assign_cells(vectors: DataFrame, key: str, embedding: str, seed: int = 1, sa
 
         return pd.Series((np.stack(v.to_numpy()) @ centres.T).argmax(axis=1).astype("int32"))
 
-    return vectors.withColumn("cell", cell(F.col(embedding))), centres.tolist(), min(probes, cells)
+    return vectors.withColumn("cell", cell(F.col(embedding))), centres.tolist(), probes
 
 
 def probe(indexed: DataFrame, centroids: list[list[float]], probes: int, query: list[float], key: str, embedding: str, k: int) -> DataFrame:

@@ -62,6 +62,34 @@ def test_ann_recall(spark, sf_dir):
     assert np.mean(hits) >= 0.9
 
 
+def _recall(x, ids, cells, centroids, probes):
+    """Share of the 10 nearest other rows of all ids divisible by 20 that lie in the probed cells."""
+    import numpy as np
+
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        want = np.argsort(-score, kind="stable")[:10]
+        hits.append(np.isin(cells[want], np.argsort(-(np.array(centroids) @ x[i]), kind="stable")[:probes]).mean())
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("sample", [20_000, 2000])  # probes chosen on all rows, and on rows apart from the fitted ones
+def test_ann_recall_of_many_cells(spark, sample):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10, 48))[rng.integers(0, 10, 8000)] * 0.3 + rng.normal(size=(8000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8000), "embedding": list(x)}))
+    indexed, centroids, probes = similarity.assign_cells(rows, "vec_id", "embedding", sample=sample)
+    cells = indexed.select("vec_id", "cell").toPandas().sort_values("vec_id")["cell"].to_numpy()
+    assert 0 < probes < len(centroids)
+    assert _recall(x, np.arange(8000), cells, centroids, probes) >= 0.9
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "whale ship whale"), (2, "ship only"), (3, "whales shipped"), (4, None)], "k int, t string")
     index = search.inverted_index(docs, "k", "t", [])
