@@ -112,6 +112,100 @@ def probe(indexed: DataFrame, centroids: list[list[float]], probes: int, query:
     return nearest(indexed.where(F.col("cell").isin([int(c) for c in best])), query, key, embedding, k)
 
 
+def _best(score, k: int):
+    """Column numbers of the k greatest scores of each row, -1 where there are fewer; of equal ones the first columns."""
+    import numpy as np
+
+    k = min(k, score.shape[1])
+    least = np.partition(score, -k, axis=1)[:, -k][:, None]
+    more, tie = score > least, score == least
+    pick = (more | tie & (np.cumsum(tie, axis=1) <= k - more.sum(axis=1, keepdims=True))) & (score > -np.inf)
+    return np.nonzero(pick)
+
+
+def nearest_of_all(
+    vectors: DataFrame, key: str, embedding: str, k: int, every: int = 20, cells: tuple[DataFrame, list[list[float]], int] | None = None, block_rows: int = 10_000, block_queries: int = 5000
+) -> DataFrame:
+    """query_id, key, score: the k rows of greatest inner product of each row whose key is divisible by `every`.
+
+    A query meets all rows but those of its own key, or, with `cells` as assign_cells gives
+    them, the rows of the cells that it probes.  Scores are rounded to 6 digits, ties go to
+    the lesser key.  Rows without key or vector take no part.  Blocks of rows meet blocks of
+    queries; a block has whole cells or shares of large ones, and returns k rows a query.
+    """
+    import heapq
+
+    import numpy as np
+    import pandas as pd
+
+    rows, centroids, probes = cells or (vectors.withColumn("cell", F.lit(0)), [], 0)
+    centres = np.array(centroids)
+    rows = rows.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("key"), F.col(embedding).alias("v"), "cell", F.xxhash64(key).alias("at"))
+    size = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most one row a cell
+    total = sum(size.values())
+    n_block, n_part = max(32, -(-total // block_rows)), max(1, -(-total // (every * block_queries)))
+    share = max(1, -(-total // (2 * n_block)))
+    shares = sorted(((-(-n // -(-n // share)), c) for c, n in size.items() for _ in range(-(-n // share))), reverse=True)
+    heap, homes = [(0, b) for b in range(n_block)], {c: [] for c in size}
+    for n, c in shares:
+        held, b = heapq.heappop(heap)
+        homes[c].append(b)
+        heapq.heappush(heap, (held + n, b))
+    blocks_of = {c: sorted(set(h)) for c, h in homes.items()}
+    kind = vectors.schema[key].dataType.simpleString()
+
+    @F.pandas_udf("int")
+    def home(cell, at):
+        return pd.Series([homes[c][h % len(homes[c])] for c, h in zip(cell, at)], dtype="int32")
+
+    def asked(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                some = batch.iloc[i : i + 500]
+                x = np.stack(some["v"].to_numpy()).astype(float)
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].tolist() if probes else [[0]] * len(x)
+                out = []
+                for q, v, at, visited in zip(some["key"], some["v"], some["at"], near):
+                    by_block: dict[int, list[int]] = {}
+                    for c in visited:
+                        for b in blocks_of.get(c, ()):
+                            by_block.setdefault(b, []).append(c)
+                    out += [(b, at % n_part, q, v, found) for b, found in by_block.items()]
+                yield pd.DataFrame(out, columns=["block", "part", "query_id", "v", "visited"])
+
+    def met(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(rows):
+            rows = rows.sort_values(["cell", "key"], kind="stable")
+            x, ids, cell = np.stack(rows["v"].to_numpy()).astype(float), rows["key"].to_numpy(), rows["cell"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            for i in range(0, len(queries), 250):
+                some = queries.iloc[i : i + 250]
+                q, q_ids = np.stack(some["v"].to_numpy()).astype(float), some["query_id"].to_numpy()
+                visitors: dict[int, list[int]] = {}
+                for j, visited in enumerate(some["visited"]):
+                    for c in visited:
+                        visitors.setdefault(int(c), []).append(j)
+                score = np.full((len(some), len(rows)), -np.inf)
+                for a, b in zip(edge[:-1], edge[1:]):
+                    who = visitors.get(int(cell[a]))
+                    if who:
+                        score[who, a:b] = np.round(q[who] @ x[a:b].T, 6)
+                score = score[:, by_id]
+                score[q_ids[:, None] == ids[by_id][None, :]] = -np.inf
+                j, c = _best(score, k)
+                found.append(pd.DataFrame({"query_id": q_ids[j], "key": ids[by_id][c], "score": score[j, c]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "key": [], "score": []})
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(n_part - 1)).cast("array<long>")).alias("part")
+    held = rows.select(home("cell", "at").alias("block"), "key", "v", "cell").select("*", parts)
+    queries = rows.where(F.col("key") % every == 0).select("key", "v", "at")
+    sent = queries.mapInPandas(asked, f"block int, part long, query_id {kind}, v array<double>, visited array<int>")
+    near = sent.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(met, f"query_id {kind}, key {kind}, score double")
+    return top_k(near, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", F.col("key").alias(key), "score")
+
+
 def score_profile(scores: DataFrame, score: str, threshold: float, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row: exact percentiles (linear), mean, share at or above the threshold, count."""
     cuts = [F.percentile(score, F.lit(p)).alias(f"p{round(100 * p)}") for p in points]

@@ -25,13 +25,19 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(rows, list(q["embedding"]) if q else [], "vec_id", "embedding", 10, skip=3)
 
 
+@query("""WITH p AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_sum(list_transform(list_zip(r.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score
+    FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+    SELECT query_id, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def knn_topk_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest neighbours of all rows whose id is divisible by 20, among all other rows."""
+    return similarity.nearest_of_all(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
 @query()
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest neighbours by the coarse quantiser; recall is measured in the tests."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = rows.where("vec_id = 3").select("embedding").first()
-    indexed, centroids, probes = similarity.assign_cells(rows, "vec_id", "embedding")
-    return similarity.probe(indexed, centroids, probes, list(q["embedding"]), "vec_id", "embedding", 10)
+    """The same by the coarse quantiser; recall is measured in the tests."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    return similarity.nearest_of_all(rows, "vec_id", "embedding", 10, cells=similarity.assign_cells(rows, "vec_id", "embedding"))
 
 
 @query(f"""WITH {_SIMILAR} SELECT round(quantile_cont(score, 0.5), 5) AS p50, round(quantile_cont(score, 0.75), 5) AS p75, round(quantile_cont(score, 0.9), 5) AS p90, round(quantile_cont(score, 0.95), 5) AS p95,

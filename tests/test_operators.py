@@ -90,6 +90,38 @@ def test_ann_recall_of_many_cells(spark, sample):
     assert _recall(x, np.arange(8000), cells, centroids, probes) >= 0.9
 
 
+def test_nearest_of_all(spark, tmp_path):
+    import numpy as np
+
+    from graphloom.queries.statistics import ann_topk, knn_topk_of_all
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 8)).round(2)
+    x[200:500] = x[200]  # a common vector: ties
+    ids = np.arange(900) + 4  # no id 3
+    data = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(None, x[0].tolist()), (1000, None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        order = np.lexsort((ids, -np.round(x @ x[i], 6)))
+        want[int(ids[i])] = [int(j) for j in ids[order] if j != ids[i]][:10]
+
+    def found(rows):
+        got = {}
+        for r in sorted(rows.collect(), key=lambda r: (-r["score"], r["vec_id"])):
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        return got
+
+    rows = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    assert found(knn_topk_of_all(spark, str(tmp_path))) == want
+    assert found(similarity.nearest_of_all(rows, "vec_id", "embedding", 10, block_rows=20, block_queries=7)) == want
+    got = found(ann_topk(spark, str(tmp_path)))
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+    rows = rows.where("vec_id < 0")
+    assert similarity.nearest_of_all(rows, "vec_id", "embedding", 10, cells=similarity.assign_cells(rows, "vec_id", "embedding")).count() == 0
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "whale ship whale"), (2, "ship only"), (3, "whales shipped"), (4, None)], "k int, t string")
     index = search.inverted_index(docs, "k", "t", [])
