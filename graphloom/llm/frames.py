@@ -26,12 +26,17 @@ def widened(df: DataFrame, name: str, kind: str) -> StructType:
     return StructType([*df.schema.fields, StructField(name, _KINDS[kind])])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder; cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; set if it isn't yet."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or f"/tmp/graphloom-checkpoints/{uuid.uuid4().hex}")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's shared checkpoint folder; cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -30,6 +30,18 @@ def test_stages(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "substring dedup", "best-fit packing"]
 
 
+def test_run_rereads_what_stages_wrote(spark, sf_dir, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where("doc_id > 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert corpus_pipeline.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 0").count()
+    assert not set(read[0]) & set(read[1]) and not set(read[1]) & set(read[2])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), connection(sf_dir), ORACLE[name])
