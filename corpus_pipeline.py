@@ -7,13 +7,14 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, packing, quality, substring_dedup, toxicity
-from graphloom.llm.frames import shared_folder, table
+from graphloom.llm.frames import checkpointed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +30,25 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of Jaccard similarity 0.8 or more."""
-    classes = jaccard_join.similarity_classes(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """One row of each component of Jaccard similarity 0.8 or more: that of least id.
+
+    Null ids come last; of rows with one id the least hash of the text, and of rows with one
+    id and text the least row stays.  Texts without words link with nothing and all stay.
+    """
+    text = F.col("text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    classes = jaccard_join.similarity_classes(docs.select(key.alias("doc_id"), "text"))
+    held = classes.where("n_shingles = 0 OR doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("size"), F.count("*").alias("n"))
+    held = checkpointed(held.select(F.col("doc_id").alias("_row"), (F.expr("n > 1 AND size > 0")).alias("_many")))
+    keyed = docs.withColumn("_key", key)
+    # each field apart, so that null ids meet
+    same = reduce(lambda x, y: x & y, [F.col(f"_key.{c}").eqNullSafe(F.col(f"_row.{c}")) for c in ("id", "h", "g")])
+    kept = keyed.join(held.where("NOT _many"), same, "left_semi").select(docs.columns)
+    many = held.where("_many")
+    if many.isEmpty():
+        return kept
+    one = keyed.join(many, same, "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_least"))
+    return kept.unionByName(one.select("_least.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

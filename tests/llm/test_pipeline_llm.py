@@ -30,6 +30,18 @@ def test_stages(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "substring dedup", "best-fit packing"]
 
 
+def test_one_row_of_near_copies(spark):
+    x, y, z = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red green blue white black brown grey pink")
+    rows = [
+        (1, x, "a"), (1, x, "b"), (1, x, "b"), (2, x.upper(), "c"), (1, y, "d"), (3, y, "e"), (0, y, "f"), (1, z, "g"), (None, z, "h"),
+        (None, "only null ids with this text here", "i"), (None, "only null ids with this text here", "j"), (5, "", "k"), (5, "", "k"), (None, None, "l"),
+    ]
+    got = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    want = [(1, x, "a"), (0, y, "f"), (1, z, "g"), (None, "only null ids with this text here", "i"), (5, "", "k"), (5, "", "k"), (None, None, "l")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run_rereads_what_stages_wrote(spark, sf_dir, monkeypatch):
     read = []
 
