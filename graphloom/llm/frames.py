@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,18 @@ def widened(df: DataFrame, name: str, kind: str) -> StructType:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set if it isn't yet."""
-    if not spark.sparkContext.getCheckpointDir():
+    """The cluster's shared checkpoint folder, as spark.checkpoint.dir names it.
+
+    Without that setting a session on one machine gets a folder of its own; on a cluster,
+    where executors don't share such a folder, that is an error.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or f"/tmp/graphloom-checkpoints/{uuid.uuid4().hex}")
-    return spark.sparkContext.getCheckpointDir()
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/graphloom-checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -40,25 +48,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column is called so (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def buckets(rows: int, each: int = 2000, least: int = 96) -> int:
     """How many buckets keep about `each` documents in one; grows with the input."""
     return max(least, -(-rows // each))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components by repeated minimum labels and pointer jumping.
 
     nodes(id), edges(a, b): undirected, both ends in nodes; repeated edges and loops do
     no harm.  Returns (id, component): the least id reachable.  Nodes without edges are
     their own components and take no part in the rounds.  Each round is a few hash
     aggregations with map-side partials; the joins are plain equi-joins that the
-    adaptive planner may split when one label is hot.
+    adaptive planner may split when one label is hot.  Labels only fall, so the rounds end.
     """
     both = checkpointed(
         edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     label = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = label.join(near, "id").select("id", F.least("component", "near").alias("next"), "component")
         jump = label.select(F.col("id").alias("next"), F.col("component").alias("root"))
@@ -66,8 +82,6 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         if moved.where("next <> component").isEmpty():
             break
         label = moved.select("id", F.col("next").alias("component"))
-    else:
-        raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

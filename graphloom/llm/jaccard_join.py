@@ -3,20 +3,25 @@
 Sets are banded by size.  In a band, shingles are hashed to m segments, a little more than
 the H + 1 that two sets of Jaccard similarity t can't all differ in (H: their largest
 symmetric difference).  So of any H + 1 non-empty segments of a set one is whole in every
-partner.  Allocation by cost: a set's probes are its H + 1 largest segments, the rarest
-keys; empty ones, which would match half the band, are never probes.  A set indexes its
-non-empty segments in its own band and in those of larger partners.  A set with fewer than
-H + 1 non-empty ones also gives the one-deletion neighbourhoods of its segments, whose two
-allowed differences make up for them (two such sets can only miss each other there); one
-for which even that is too little gives each shingle.
+partner.  A set indexes its non-empty segments in its own band and in those of larger
+partners, and probes with those of its own band; empty ones, which would match half the
+band, are never keys.  A set with fewer than H + 1 non-empty ones also gives the
+one-deletion neighbourhoods of its segments, whose two allowed differences make up for them
+(two such sets can only miss each other there); one for which even that is too little gives
+each shingle.
 
 Equal sets count once from the first task on.  Keys that few sets share give all pairs
 with a probe; a key that many share gives pairs with one pivot, so that a large group of
-near copies costs pairs in its size.  Sets under such a key that all verified links leave
-in different components are then compared block by block: what shares keys with one set is
-cut into blocks, two blocks meet in a task, their intersections are a matrix product, and the
-task returns one tie for two components.  No link is lost and no group's pairs are written.
-Every link is verified on the whole sets.
+near copies costs pairs in its size.  Allocation by cost: any H + 1 probes of a set are
+enough, so as many common keys as it has probes beyond those are left out, wherever all
+links verified so far leave a key's sets in different components.  Only sets with more such
+keys than that stay open.  They are compared with all that share those keys, cut into blocks
+bounded in sets and shingles: two blocks meet in a task, their intersections are a matrix
+product, and the task returns as many ties as it joins components, never the links.  No
+link is lost and no group's pairs are written.  Every link is verified on the whole sets.
+
+Sets go by 63-bit names; a second, independent hash of every set is compared within each
+name, and if two sets ever shared one, all names are made again with another salt.
 """
 
 from __future__ import annotations
@@ -36,8 +41,10 @@ from graphloom.llm.repeats import _by_target, _rows, _table, joined, packed
 
 #: A key with more pairs than this uses a pivot first.
 PIVOT_PAIRS = 12
-#: Sets in a block, about, and shingles in one step of the matrix product.
-BLOCK, STEP = 400, 4096
+#: Sets and shingles in a block, about, and shingles in one step of the matrix product.
+BLOCK, BLOCK_SHINGLES, STEP = 4096, 1 << 21, 1024
+#: Parts of a hot group's rows in a join by its key.
+SALTS = 32
 
 
 class Bands:
@@ -75,16 +82,17 @@ def document_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.n
     return h, np.searchsorted(doc, np.arange(len(off)))
 
 
-def set_ids(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def set_ids(h: np.ndarray, begin: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit name of each set, even (the last bit is free); 0 for empty sets."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.salted(h, 21), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.salted(h, 21 + 1000 * salt), dtype=np.uint64)])
     n = np.diff(begin)
     name = A.mix((sums[begin[1:]] - sums[begin[:-1]]) + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return np.where(n > 0, np.maximum(name & ~np.uint64(1), np.uint64(2)), np.uint64(0))
 
 
 def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, key, probe?) of all sets in all their bands."""
+    """(set, key, flag) of all sets in all their bands; flag: 0 for keys that are only indexed,
+    else 1 and how many of the set's probes may be left out (at most 254)."""
     size = np.diff(begin)
     own, last = bands.own(size), bands.last(size)
     some = np.flatnonzero(size)
@@ -105,11 +113,8 @@ def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarr
     key = A.mix(total + place)
     need = bands.h[band] + 1
     full = np.bincount(e, minlength=len(who))
-    rank_order = np.lexsort((s, -n_seg, e))
-    rank = np.empty(len(e), np.int64)
-    rank[rank_order] = np.arange(len(e)) - np.searchsorted(e[rank_order], e[rank_order])
-    probe = (band[e] == own[who[e]]) & (rank < need[e])
-    out_set, out_key, out_probe = [who[e]], [key], [probe]
+    flag = np.where(band[e] == own[who[e]], np.clip(full - need, 0, 254)[e] + 1, 0).astype(np.uint8)
+    out_set, out_key, out_flag = [who[e]], [key], [flag]
     short = full < need
     if short.any():
         part = np.cumsum(fresh) - 1  # segment of each element
@@ -124,33 +129,69 @@ def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarr
         pick = np.flatnonzero(none[entry])
         out_set.append(who[entry[pick]])
         out_key.append(A.salted(value[pick] + band[entry[pick]].astype(np.uint64), 24))
-        out_probe += [np.ones(len(k), bool) for k in out_key[1:]]
-    return np.concatenate(out_set), np.concatenate(out_key), np.concatenate(out_probe)
-
-
-def shared_counts(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Intersection sizes of the sets of side 0 (rows) and side 1 (columns), exact.
-
-    Without side 1, of those of side 0 with each other.
-    """
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    value = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    _, number, times = np.unique(value, return_inverse=True, return_counts=True)
-    again = times > 1  # others are in no intersection
-    place = np.cumsum(again) - 1
-    keep = again[number]
+        out_flag += [np.ones(len(k), np.uint8) for k in out_key[1:]]
+    return np.concatenate(out_set), np.concatenate(out_key), np.concatenate(out_flag)
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of the sets of `left` (rows) and `right` (columns), exact."""
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    value = np.concatenate([*left, *right, np.zeros(0, np.uint64)])
+    _, number = np.unique(value, return_inverse=True)
+    sides = [np.bincount(number[pick], minlength=int(number.max(initial=-1)) + 1) > 0 for pick in (owner < len(left), owner >= len(left))]
+    both = sides[0] & sides[1]  # others are in no intersection
+    place = np.cumsum(both) - 1
+    keep = both[number]
     number, owner = place[number[keep]], owner[keep]
     order = np.argsort(number, kind="stable")
     number, owner = number[order], owner[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(again.sum()), STEP):
+    for at in range(0, int(both.sum()), STEP):
         a, b = np.searchsorted(number, [at, at + STEP])
-        hit = np.zeros((len(sets), STEP), np.float32)
+        hit = np.zeros((len(left) + len(right), STEP), np.float32)
         hit[owner[a:b], number[a:b] - at] = 1
-        out += hit[left] @ hit[right].T
-    return out.astype(np.int64)
+        out += hit[: len(left)] @ hit[len(left) :].T
+    return out
+
+
+def merged_components(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, the least one that it becomes part of) of rows `left` and columns `right`
+    after joining those that `close` links; only such as move."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    row, col = at[: len(left)], at[len(left) :]
+    label = np.arange(len(names))
+    some = np.flatnonzero(close.any(axis=1))
+    close, row = close[some], row[some]
+    while True:
+        before = label
+        own, far = label[row], np.full(len(col), len(names))
+        for k in range(0, len(row), 256):  # bounds what is copied
+            part = close[k : k + 256]
+            own[k : k + 256] = np.minimum(own[k : k + 256], np.where(part, label[col], len(names)).min(axis=1))
+            far = np.minimum(far, np.where(part, own[k : k + 256, None], len(names)).min(axis=0))
+        label = label.copy()
+        np.minimum.at(label, row, own)
+        np.minimum.at(label, before[row], own)
+        np.minimum.at(label, col, far)
+        np.minimum.at(label, before[col], far)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _sets(members: DataFrame) -> DataFrame:
+    """Distinct sets: name (id), least document, size; `two` if the name stands for two sets."""
+    same = F.min("check") != F.max("check")
+    return members.where("n_shingles > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), same.alias("two"))
+
+
+def _salted(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Join of many rows a key with one row a key, the rows of a hot key dealt to SALTS parts."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", salt).join(spread, [key, "_salt"]).drop("_salt")
 
 
 def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +200,9 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
     Two documents link when den * |intersection| >= num * |union| of their distinct shingles
     of lower-cased (A-Z) words; fewer words than a shingle make one shingle.  Documents
     without words or text (null) link with nothing.  Rows that repeat an id or a null id
-    are documents of their own; a component of null ids only has a null component_id.
+    are documents of their own; a component of null ids only has a null component_id.  Very
+    long texts are read whole, alone in their chunk.  Other columns are not looked at, so
+    their names can't clash; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -167,46 +210,55 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
     total = rows.count()
     n_bucket, n_target = buckets(total), buckets(total, 5000)
 
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, _, d, o in A.chunks(*A.flat(batch.column("text"))):
-                h, begin = document_sets(d, o, shingle)
-                names.append(set_ids(h, begin))
-                sizes.append(np.diff(begin))
-            name = np.concatenate(names).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name), pa.array(np.concatenate(sizes))], names=["doc_id", "set_id", "n_shingles"])
+    def named(salt: int) -> DataFrame:
+        """Each document's set: its name, size and, under `check`, a second hash."""
 
-    members = checkpointed(rows.mapInArrow(member, f"doc_id {kind}, set_id long, n_shingles long"))
-    largest = members.agg(F.max("n_shingles")).first()[0] or 1
+        def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, checks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for _, _, d, o in A.chunks(*A.flat(batch.column("text"))):
+                    h, begin = document_sets(d, o, shingle)
+                    names.append(set_ids(h, begin, salt))
+                    checks.append(set_ids(h, begin, salt + 500))
+                    sizes.append(np.diff(begin))
+                name, check = (np.concatenate(x).view(np.int64) for x in (names, checks))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name), pa.array(check), pa.array(np.concatenate(sizes))], names=["doc_id", "set_id", "check", "n_shingles"])
+
+        return checkpointed(rows.mapInArrow(member, f"doc_id {kind}, set_id long, check long, n_shingles long"))
+
+    salt = 0
+    members = named(salt)
+    while not (sets := checkpointed(_sets(members))).where("two").isEmpty():
+        salt += 1
+        members = named(salt)
+    largest = sets.agg(F.max("size")).first()[0] or 1
     bands = Bands(num, den, int(largest))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key = np.concatenate([k for k, _ in held])
-            name = np.concatenate([n for _, n in held])
+            key, name, flag = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             high = key >> np.uint64(24)  # 40 bits beside the target's
             target = ((key & np.uint64(0xFFFFFF)) % np.uint64(n_target)).astype(np.int64)
-            pairs = list(_by_target(target, n_target, (high & np.uint64(0xFFFFFFFF)).astype(np.uint32), (high >> np.uint64(32)).astype(np.uint8), name))
+            pairs = list(_by_target(target, n_target, (high & np.uint64(0xFFFFFFFF)).astype(np.uint32), (high >> np.uint64(32)).astype(np.uint8), name, flag))
             return _rows("target", pairs)
 
         for batch in batches:
             for _, _, d, o in A.chunks(*A.flat(batch.column("text"))):
                 h, begin = document_sets(d, o, shingle)
-                names = set_ids(h, begin)
+                names = set_ids(h, begin, salt)
                 new = [k for k, n in enumerate(names.tolist()) if n and n not in seen and not seen.add(n)]
                 if len(seen) > 1_000_000:
                     seen.clear()
                 new_at = np.array(new, np.int64)
                 _, at = A.spread(begin[new_at], begin[new_at + 1])
                 sizes = np.diff(begin)[new_at]
-                who, key, probe = signatures(h[at], np.concatenate([[0], np.cumsum(sizes)]), bands)
-                held.append((key, names[new_at][who] | probe.astype(np.uint64)))
+                who, key, flag = signatures(h[at], np.concatenate([[0], np.cumsum(sizes)]), bands)
+                held.append((key, names[new_at][who], flag))
                 size += len(key)
                 if size > max(1 << 21, 64 * n_target):
                     yield flush()
@@ -215,14 +267,14 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             yield flush()
 
     def candidates(table: pa.Table) -> pa.Table:
-        low, high, name = joined(table.column("blob").to_pylist(), "u4 u1 u8")
+        low, high, ids, flag = joined(table.column("blob").to_pylist(), "u4 u1 u8 u1")
         key = high.astype(np.uint64) << np.uint64(32) | low
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
+        order = np.lexsort((flag, ids, key))
+        key, ids, flag = key[order], ids[order], flag[order]
         keep = np.ones(len(key), bool)  # of a set that comes from several tasks, the last: as probe if any is
-        keep[:-1] = (key[1:] != key[:-1]) | (name[1:] | np.uint64(1) != name[:-1] | np.uint64(1))
-        key, name = key[keep], name[keep]
-        probe, ids = (name & np.uint64(1)).astype(bool), name & ~np.uint64(1)
+        keep[:-1] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, ids, flag = key[keep], ids[keep], flag[keep]
+        probe = flag > 0
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(key)))
         n_probe = np.add.reduceat(probe.astype(np.int64), head) if len(head) else size
@@ -245,7 +297,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         kinds = [(k, raw, 0) for k, raw in _by_target((x % np.uint64(n_bucket)).astype(np.int64), n_bucket, x, y)]
         if len(big):
             group = (key[head[big]][owner] << np.uint64(16)) ^ np.uint64(int(table.column("target")[0].as_py()))
-            kinds.append((0, packed(group, ids[at]), 1))
+            kinds.append((0, packed(group, ids[at], flag[at]), 1))
         return pa.table({"bucket": pa.array([k for k, _, _ in kinds], pa.int32()), "blob": pa.array([r for _, r, _ in kinds], pa.binary()), "kind": pa.array([q for _, _, q in kinds], pa.int32())})
 
     found = checkpointed(rows.mapInArrow(index, "target int, blob binary").groupBy("target").applyInArrow(candidates, "bucket int, blob binary, kind int"))
@@ -257,7 +309,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             out: list[tuple[int, int, bytes]] = []
             for i, _, d, o in A.chunks(data, off):
                 h, begin = document_sets(d, o, shingle)
-                for k, n in enumerate(set_ids(h, begin).tolist()):
+                for k, n in enumerate(set_ids(h, begin, salt).tolist()):
                     if n and n not in seen:
                         seen.add(n)
                         out.append((n % n_bucket, n, press.compress(d[o[k] : o[k + 1]].tobytes())))
@@ -341,16 +393,20 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         return checkpointed(texts.cogroup(told.groupBy("bucket")).applyInArrow(test, "a long, b long"))
 
     def across(unsettled: DataFrame) -> DataFrame:
-        """(a, b): ties between components whose sets share a key.
+        """(a, b): ties between components, as between the open sets of a cluster and all its sets.
 
-        unsettled(id, component, first): a cluster is what shares keys with one first set, so
-        the keys of a large group of near copies make one cluster, and chance keys don't chain.
+        unsettled(id, component, first, open, size): a cluster is what shares keys with one first
+        set, so the keys of a large group of near copies make one cluster, and chance keys don't chain.
         """
-        blocks = unsettled.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-        placed = unsettled.join(blocks, "first").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-        meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        asks = meets.select("id", "component", F.xxhash64("first", low, high).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+        parts = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+        chosen = F.col("open").cast("long")
+        grid = unsettled.groupBy("first").agg(parts(F.sum(chosen), F.sum(chosen * F.col("size"))).alias("rows"), parts(F.count("*"), F.sum("size")).alias("columns"))
+        placed = _salted(unsettled, grid, "first").withColumn("h", F.xxhash64("id"))
+        row, column = F.pmod("h", F.col("rows")).cast("int"), F.pmod("h", F.col("columns")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = placed.where("open").withColumns({"i": row, "j": every("columns"), "side": F.lit(0)})
+        right = placed.where("rows > 0").withColumns({"j": column, "i": every("rows"), "side": F.lit(1)})
+        asks = left.unionByName(right).select("id", "component", F.xxhash64("first", "i", "j").alias("task"), "side")
         keyed = asks.mapInArrow(keyed_by_bucket, "bucket int, id long, component long, task long, side int")
 
         def deliver(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -364,17 +420,17 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         def compare(table: pa.Table) -> pa.Table:
             ids, comp, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
             own = unzipped(table.column("zipped").to_pylist())
-            left = np.flatnonzero(side == 0)
-            right = np.flatnonzero(side == 1) if (side == 1).any() else left
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             size = np.array([len(x) for x in own], np.int64)
-            both = shared_counts(own, side)
-            close = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
-            close &= comp[left][:, None] != comp[right][None, :]
-            a, b = np.nonzero(close)
-            a, b = left[a], right[b]
-            pair = np.column_stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])])
-            _, once = np.unique(pair, axis=0, return_index=True)
-            return pa.table({"a": ids[a[once]], "b": ids[b[once]]})
+            both = shared_counts([own[k] for k in left], [own[k] for k in right])
+            close = np.empty(both.shape, bool)
+            for k in range(0, len(left), 256):  # (n + den) * shared >= n * (sum of sizes), in whole numbers
+                part = both[k : k + 256].astype(np.int64)
+                close[k : k + 256] = (num + den) * part >= num * (size[left[k : k + 256]][:, None] + size[right][None, :])
+            moved, to = merged_components(close, comp[left], comp[right])
+            order = np.argsort(comp, kind="stable")
+            name = lambda c: ids[order[np.searchsorted(comp[order], c)]]  # noqa: E731  one set of the component
+            return pa.table({"a": name(moved), "b": name(to)})
 
         return checkpointed(sent.groupBy("task").applyInArrow(compare, "a long, b long"))
 
@@ -383,7 +439,6 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             bucket = (b.column("id").to_numpy().view(np.uint64) % np.uint64(n_bucket)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns], names=["bucket", *b.schema.names])
 
-    sets = members.where("n_shingles > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("least"))
     edges = verified(found.where("kind = 0").select("bucket", "blob"))
     label = components(sets, edges)
 
@@ -393,15 +448,21 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for raw in batch.column("blob").to_pylist():
-                    group, name = joined([raw], "u8 u8")
-                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(name.view(np.int64))], names=["group", "id"])
+                    group, name, flag = joined([raw], "u8 u8 u1")
+                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(name.view(np.int64)), pa.array(flag.astype(np.int32))], names=["group", "id", "flag"])
 
         label = checkpointed(label)
-        inside = shared.select("blob").mapInArrow(opened, "group long, id long").join(label, "id")
+        inside = shared.select("blob").mapInArrow(opened, "group long, id long, flag int").join(label, "id")
         mixed = inside.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("first")).where("x <> y")
-        unsettled = checkpointed(inside.join(mixed.select("group", "first"), "group").select("id", "component", "first").distinct())
-        if not unsettled.isEmpty():
-            label = components(sets, edges.union(across(unsettled)))
+        bad = checkpointed(_salted(inside, mixed.select("group", "first"), "group"))
+        # open: sets with more such keys than they can leave out (keys of a short set, flag 1: none)
+        open_ = checkpointed(bad.where("flag > 0").groupBy("id", "flag").agg(F.count("*").alias("n")).where("n >= flag").groupBy("id").agg(F.lit(1).alias("_one")).select("id"))
+        if not open_.isEmpty():
+            asked = bad.where("flag > 0").join(open_, "id", "left_semi").select("group", "id", F.lit(True).alias("open"))
+            groups = asked.groupBy("group").agg(F.lit(1).alias("_one")).select("group")
+            near = _salted(bad, groups, "group").join(asked, ["group", "id"], "left")
+            near = near.groupBy("id", "first").agg(F.first("component").alias("component"), F.coalesce(F.max("open"), F.lit(False)).alias("open"))
+            label = components(sets, edges.union(across(checkpointed(near.join(sets.select("id", "size"), "id")))))
     least = sets.join(label, "id").select("id", "component", "least")
     root = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(root, "component").select(F.col("id").alias("set_id"), "component_id")

@@ -1,6 +1,7 @@
 """Plain forms of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -56,6 +57,46 @@ def shingle_set(text, size=5):
     return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1)))
 
 
+def weighted_jaccard(a, b, size=5):
+    """Sum of the least over sum of the largest counts of all shingles."""
+    x, y = (Counter(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) for w in (WORD.findall(t.translate(LOW)) for t in (a, b)))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def ftrl(rows, alpha, beta, l1, l2, order, heavy):
+    """FTRL-proximal by the book, one coordinate after another; "bias" is in every row and has no L1 penalty."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        bound = 0.0 if k == "bias" else l1
+        if abs(z[k]) <= bound:
+            return 0.0
+        return -(z[k] - math.copysign(bound, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for t in order:
+        x, y = [*rows[t][0], "bias"], rows[t][1]
+        w = {k: weight(k) for k in x}
+        g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (heavy if y else 1.0)
+        for k in x:
+            sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+            z[k] += g - sigma * w[k]
+            n[k] += g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def bradley_terry(x, y, steps, l2):
+    """Gradient descent on the mean logistic loss over all preference pairs."""
+    pairs = [[a - b for a, b in zip(u, v)] for u, p in zip(x, y) for v, q in zip(x, y) if p > q]
+    w = [0.0] * len(x[0])
+    for _ in range(steps):
+        g = [l2 * c for c in w]
+        for d in pairs:
+            p = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, w))))
+            g = [c - p * a / len(pairs) for c, a in zip(g, d)]
+        w = [c - 0.5 * a for c, a in zip(w, g)]
+    return w
+
+
 def jaccard_components(rows, num=80, den=100):
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))

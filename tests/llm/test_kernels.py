@@ -11,6 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import brute
 from graphloom.llm import arrays as A
 from graphloom.llm import fingerprint, linear, packing, suffix_dedup
 from graphloom.llm.substring_dedup import SuffixAutomaton
@@ -157,3 +158,25 @@ def test_ftrl_and_ranking_learn():
     w = linear.bradley_terry(x, y)
     s = x @ w
     assert np.mean(s[y == 1][:, None] > s[y == 0][None, :]) > 0.98
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 60, 8)), int(rng.random() < 0.3)) for _ in range(200)]
+    rows = [(np.unique(np.append(x, 7)) if y else x, y) for x, y in rows]
+    model = linear.ftrl(rows, 6, 2, 1, 0.5, 1.0, 1.5, 0.1, 3, seed=3)
+    draw = np.random.default_rng(3)
+    order = [int(k) for _ in range(3) for k in draw.permutation(len(rows))]
+    ones = sum(y for _, y in rows)
+    want = brute.ftrl([([int(k) for k in x], y) for x, y in rows], 0.5, 1.0, 1.5, 0.1, order, min(4.0, max(1.0, (200 - ones) / ones)))
+    assert model.bias == pytest.approx(want.pop("bias"))
+    assert {int(k): v for k, v in zip(model.slots, model.values)} == pytest.approx(want)
+
+
+def test_bradley_terry_against_all_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 3))
+    y = (x @ [1.0, -0.5, 0.2] + rng.normal(size=40) * 1.5 > 0).astype(int)
+    mine = linear.bradley_terry(x, y, steps=4000, l2=0.05)
+    want = np.array(brute.bradley_terry(x.tolist(), y.tolist(), 300, 0.05))
+    assert np.abs(mine - want).max() < 0.05 * np.abs(want).max() + 0.03

@@ -121,6 +121,54 @@ def test_jaccard_large_group_and_pivots(spark, monkeypatch):
     assert got == sorted(brute.jaccard_components(rows))
 
 
+def test_jaccard_hot_group_without_links(spark, monkeypatch):
+    """5,000 texts near one another, most of them not linked: what pivots leave is compared block by block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 900)
+    rng = random.Random(12)
+    base, rows, have = [f"b{k}" for k in range(64)], [], np.zeros((5000, 60), np.float32)
+    for i in range(5000):
+        at = sorted(rng.sample(range(64), rng.choice([1, 2, 2, 3, 3, 4, 5])))
+        rows.append((i, " ".join(f"n{i}x{k}" if k in at else w for k, w in enumerate(base))))
+        have[i] = [not any(s <= k < s + 5 for k in at) for s in range(60)]
+    both = have @ have.T
+    parent = list(range(5000))
+    for a, b in zip(*np.nonzero(180 * both >= 80 * 120)):
+        x, y = brute.find(parent, int(a)), brute.find(parent, int(b))
+        parent[max(x, y)] = min(x, y)
+    got = sorted(map(tuple, jaccard_join.similarity_classes(docs(spark, rows)).collect()))
+    assert got == [(i, 60, brute.find(parent, i)) for i in range(5000)]
+    assert len({c for _, _, c in got}) > 2500
+
+
+def test_jaccard_names_that_collide(spark, monkeypatch):
+    """Two sets under one name make all names anew."""
+    plain = jaccard_join.set_ids
+
+    def poor(h, begin, salt=0):
+        return np.where(np.diff(begin) > 0, np.uint64(2), np.uint64(0)) if salt == 0 else plain(h, begin, salt)
+
+    monkeypatch.setattr(jaccard_join, "set_ids", poor)
+    salts = []
+    found = jaccard_join._sets
+    monkeypatch.setattr(jaccard_join, "_sets", lambda m: salts.append(m) or found(m.withColumn("set_id", F.lit(2).cast("long")) if len(salts) < 2 else m))
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "q r s t u v w")]
+    assert sorted(map(tuple, jaccard_join.similarity_classes(docs(spark, rows)).collect())) == [(1, 2, 1), (2, 2, 1), (3, 3, 3)]
+    assert len(salts) == 2
+
+
+def test_merged_components():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        left, right = rng.integers(0, 30, 40), rng.integers(0, 30, 300)
+        close = rng.random((40, 300)) < 0.003
+        parent = list(range(30))
+        for a, b in zip(*np.nonzero(close)):
+            x, y = brute.find(parent, left[a]), brute.find(parent, right[b])
+            parent[max(x, y)] = min(x, y)
+        moved, to = jaccard_join.merged_components(close, left, right)
+        assert dict(zip(moved.tolist(), to.tolist())) == {k: int(brute.find(parent, k)) for k in range(30) if brute.find(parent, k) != k}
+
+
 def test_signatures_lose_no_pair():
     """Any two sets of similarity 0.8 or more share a key of which one is a probe."""
     rng = random.Random(8)
@@ -138,9 +186,9 @@ def test_signatures_lose_no_pair():
             if rng.random() < 0.05:
                 break
         h = np.array(sorted(a) + sorted(b), np.uint64)
-        who, key, probe = jaccard_join.signatures(h, np.array([0, len(a), len(a) + len(b)]), bands)
+        who, key, flag = jaccard_join.signatures(h, np.array([0, len(a), len(a) + len(b)]), bands)
         keys = [{int(k) for k in key[who == s]} for s in (0, 1)]
-        probes = {int(k) for k in key[probe]}
+        probes = {int(k) for k in key[flag > 0]}
         assert keys[0] & keys[1] & probes or a == b, (len(a), len(b))
 
 
@@ -172,6 +220,29 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def test_embeddings_at_the_threshold(spark):
+    """Cosines of exactly 0.9 link, whatever the sums round to; components far from 1 are no matter."""
+    rows = [(1, [10.0, 0.0, 0.0, 0.0, 0.0]), (2, [9.0, 4.0, 1.0, 1.0, 1.0]), (3, [0.0, 0.0, 0.0, 0.0, 1e-30]), (4, [0.0, 0.0, 0.0, 0.0, 3e30]), (5, [9.0, 4.0, 1.0, 1.0, 1.0001])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = sorted(map(tuple, embedding_dedup.near_duplicates(df, directions=2).collect()))
+        assert got == [(1, 1, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 1, False)]
+
+
+def test_leaves_skip_only_what_is_far():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 32))
+    raw = np.float32(centre[rng.integers(0, 40, 1500)] + 0.15 * rng.normal(size=(1500, 32)))
+    axes = embedding_dedup.principal_directions(raw.astype(float), 8)
+    own = embedding_dedup.Block(raw, axes, np.ones(1500, np.int64))
+    order = np.lexsort(np.floor(own.shade / 0.45).T[::-1])
+    own = embedding_dedup.Block(raw[order], axes, np.ones(1500, np.int64))
+    links, root, (pairs, near, whole) = embedding_dedup.join_blocks(own, own, 0.9, 0.4473, True)
+    close = own.unit @ own.unit.T >= 0.9
+    assert (links == close.sum(axis=1) - 1).all() and links.sum() > 1500
+    assert whole < near / 3 and near <= pairs + 1500 * 256
+
+
 def test_urls(spark):
     rules = url_filter.rules_frame(spark, [("com", "/en/", "block"), ("a.com", "/en/7", "allow"), ("b.com", "/x", "allow"), ("b.com", "/x", "block"), (None, "/", "block"), ("c.com", None, "block"), ("d.com", "", "block")])
     urls = {
@@ -193,10 +264,20 @@ def test_urls(spark):
         assert len(rows) == len(urls) + 1
         for r in rows:
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == urls[r["url"]]
+            assert (r["at_host"], r["digest"], r["won"]) == ("z", "z", "z")
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(df, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_with_long_and_many_rules(spark):
+    """No rule is too long, and rules may have any number of lengths."""
+    long = "/" + "p" * 4500
+    rules = url_filter.rules_frame(spark, [("a.com", long, "block"), ("a.com", "", "allow")] + [("b.com", "/" + "q" * k, "block" if k % 2 else "allow") for k in range(300)])
+    urls = {"http://x.a.com" + long + "z": "block", "http://a.com/p": "allow", **{"http://b.com/" + "q" * k: "block" if k % 2 else "allow" for k in range(0, 300, 7)}, "http://b.com/" + "q" * 400: "block"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: r["verdict"] for r in url_filter.judge_urls(df, rules).collect()} == urls
+
+
 def test_bpe(spark, corpus):
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(BPE_RANKS), special_tokens={})
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -252,6 +333,15 @@ def test_fingerprints(spark, corpus):
     for i, t in rows:
         by_text.setdefault(t or "", set()).add(got[i]["fingerprint"])
     assert all(len(v) == 1 for v in by_text.values())
+    # the likeness that it estimates: generalised Jaccard similarity of the shingles with their counts
+    errors = []
+    for k, (i, _) in enumerate(rows):
+        t, follow = texts[k], texts[(k + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 2] + follow[: len(t) // 2]
+        for name, other in (("near_edited", edited), ("near_next", follow)):
+            if t.split() and other.split():
+                errors.append(got[i][name] - brute.weighted_jaccard(t, other))
+    assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.35 and np.sqrt(np.mean(np.square(errors))) < 0.06
     alone = fingerprint.compare_with_next(docs(spark, [(5, "just one text")])).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
     odd = fingerprint.compare_with_next(docs(spark, [(1, "a"), (1, "b"), (None, None), (0, "c")])).collect()
