@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +104,20 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", out: str = "finge
     return kept.mapInArrow(run, widened(kept, out, "string"))
 
 
-def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_buckets: int = 4096) -> DataFrame:
+def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's.
 
     Documents are dealt to ranges of ids whose bounds are ids of the table; the document at
     a bound also goes, as the last, to the range before, so that each range has its next
     document and nothing is gathered in one place.  Texts travel compressed, once.
 
-    Null texts are empty; null ids come last; rows of one id follow each other by text.  The
-    next document of the last is the first (of a single document: itself).
+    Ranges hold 2,000 documents or, of more than 4 million, the square root of their number,
+    so that neither the bounds nor a task grow in proportion; a task holds about 1 MB of text
+    at a time, and a longer document whole.
+
+    Ids are whole numbers.  Null texts are empty; null ids come last; rows of one id follow
+    each other by text, in one task.  The next document of the last is the first (of a single
+    document: itself).  An empty table gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
@@ -123,9 +129,9 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    count = min(buckets(n), most_buckets)
+    count = buckets(n, max(2000, isqrt(n)))
     shares = [k / count for k in range(1, count)]
-    found = rows.agg(F.percentile_approx("key", shares, 20_000)).first()[0]
+    found = rows.agg(F.percentile_approx("key", shares, max(20_000, 10 * count))).first()[0]
     bounds = np.array(sorted({least, *found}), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

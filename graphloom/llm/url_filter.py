@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.frames import free_name
+
 RULES = T.StructType(
     [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())]
 )
@@ -38,56 +40,52 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, RULES)
 
 
-def judge_urls(
-    pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", broadcast_rules: int = 200_000, max_rule_chars: int = 4096
-) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", broadcast_rules: int = 200_000) -> DataFrame:
     """pages with host, path, rule (host + path of the rule that decides, or null), verdict.
 
     A rule fits its host and all subdomains, for paths that start with the rule's.  Null
     urls and urls without `://` have an empty host and path and get the default; repeated
-    rows are each judged; an empty table stays empty; null or overlong (over
-    `max_rule_chars`) rules raise nothing and fit nothing.  Columns of `pages` named like
-    a result are replaced.
+    rows are each judged; an empty table stays empty; rules with a null in any column or an
+    empty host raise nothing and fit nothing; urls and rules of any length are read whole.
+    Columns of `pages` named like a result (host, path, rule, verdict) are replaced, all
+    others stay.
     """
     text = F.concat("host", "path")
     known = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull() & (F.length("host") > 0))
-        .where(F.length(text) <= max_rule_chars)
         .groupBy("host", "path")
-        .agg(F.max("verdict").alias("verdict"))  # block > allow
+        .agg(F.when(F.max(F.col("verdict") == "block"), "block").otherwise(F.max("verdict")).alias("verdict"))
         .select("verdict", "host", "path", F.sha2(text, 256).alias("digest"), F.length("host").alias("n_host"))
         .withColumn("short", F.substring("digest", 1, 8))
     )
     shape = known.agg(
         F.collect_set(F.size(F.split("host", r"\.", -1))), F.collect_set(F.length("path")), F.count("*")
-    ).first()  # sets of integers of at most max_rule_chars, and a count
+    ).first()  # sets of integers, at most as many as the longest rule has characters, and a count
     labels, lengths, n_rules = sorted(shape[0] or []), sorted(shape[1] or []), shape[2]
     base = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     if not n_rules:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
     parts = F.split("host", r"\.", -1)
-    hosts = F.array_compact(
-        F.array(*[F.when(F.size(parts) >= n, F.struct(F.array_join(F.slice(parts, -n, n), ".").alias("h"))) for n in labels])
-    )
-    paths = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.struct(F.substring("path", 1, n).alias("p"))) for n in lengths]))
+    fixed = lambda numbers: F.transform(F.split(F.lit(",".join(map(str, numbers))), ","), lambda n: n.cast("int"))  # noqa: E731  folded to a literal
+    hosts = F.transform(F.filter(fixed(labels), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    paths = F.transform(F.filter(fixed(lengths), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
 
     # Each place (host, path) is judged once; the partial aggregate thins a hot one before the shuffle.
+    at_host, at_path, won = (free_name(base.columns, c) for c in ("at_host", "at_path", "won"))
     place = base.groupBy(F.col("host").alias("at_host"), F.col("path").alias("at_path")).agg(F.lit(1).alias("_one")).drop("_one")
     here = {"host": F.col("at_host"), "path": F.col("at_path")}
     split_at = (
         place.withColumns(here)
         .select("at_host", "at_path", "path", F.explode(hosts).alias("x"))
-        .select("at_host", "at_path", F.col("x.h").alias("x_host"), F.explode(paths).alias("y"))
-        .select("at_host", "at_path", "x_host", F.sha2(F.concat("x_host", "y.p"), 256).alias("x_digest"))
+        .select("at_host", "at_path", F.col("x").alias("x_host"), F.explode(paths).alias("y"))
+        .select("at_host", "at_path", "x_host", F.sha2(F.concat("x_host", "y"), 256).alias("x_digest"))
         .withColumn("x_short", F.substring("x_digest", 1, 8))
     )
     small = F.broadcast(known) if n_rules <= broadcast_rules else known
     confirmed = (F.col("x_short") == F.col("short")) & (F.col("x_digest") == F.col("digest")) & (F.col("x_host") == F.col("host"))
     rule = F.concat("host", "path")
-    won = F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule).alias("chars"), F.col("n_host"))).alias("won")
-    found = split_at.join(small, confirmed).groupBy("at_host", "at_path").agg(won)
-    judged = base.drop("rule", "verdict", "at_host", "at_path", "won").join(
-        found, (F.col("host") == F.col("at_host")) & (F.col("path") == F.col("at_path")), "left"
-    )
-    return judged.withColumns({"rule": F.col("won.rule"), "verdict": F.coalesce("won.verdict", F.lit(default))}).drop("won", "at_host", "at_path")
+    best = F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule).alias("chars"), F.col("n_host"))).alias(won)
+    found = split_at.join(small, confirmed).groupBy(F.col("at_host").alias(at_host), F.col("at_path").alias(at_path)).agg(best)
+    judged = base.drop("rule", "verdict").join(found, (F.col("host") == F.col(at_host)) & (F.col("path") == F.col(at_path)), "left")
+    return judged.withColumns({"rule": F.col(f"{won}.rule"), "verdict": F.coalesce(f"{won}.verdict", F.lit(default))}).drop(won, at_host, at_path)
