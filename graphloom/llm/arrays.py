@@ -109,8 +109,8 @@ def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Prefix(BYTE[data]).of(start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    return Prefix(table[data]).of(start, end)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

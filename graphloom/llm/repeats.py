@@ -14,6 +14,17 @@ only equal anchors need to meet:
 
 The texts are shuffled once (steps 2 and 4 read the same exchange) and no step holds more
 than a bucket or a share of the distinct runs.
+
+A common anchor in many surroundings has as many distinct runs.  Those of an anchor found in
+more than WIDE buckets are therefore cut into parts by how far before the anchor a window
+starts; the windows of a part have more than the anchor in common, and that core takes the
+anchor's place.  Beyond WIDEST buckets the parts are smaller, for words single windows, so
+that surroundings that differ meet in different places.  Both ends know from step 1 which
+anchors these are, and no window is left out.
+
+Equal runs are told by 64-bit hashes of anchor and content and compared token by token
+wherever two are taken for one; should they differ, the job ends with an ArithmeticError and
+another `salt` gives other hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import buckets, small_batches
+from graphloom.llm.frames import buckets, free_name, small_batches
 
 FIRST = np.iinfo(np.int64).min
+#: Runs of anchors in more buckets than this are cut into halves, and into finer parts.
+WIDE, WIDEST = 64, 1024
+#: Bytes of text in a bucket, about, where documents are long.
+BUCKET_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -42,6 +57,17 @@ class Tokens:
     words: bool
     length: int
     gram: int
+    fine: int = 1  # windows in a part of the runs of the commonest anchors
+    salt: int = 0
+
+    @property
+    def table(self) -> np.ndarray:
+        """Values of the bytes."""
+        return A.salted(A.BYTE, self.salt) if self.salt else A.BYTE
+
+    def steps(self, level: np.ndarray) -> np.ndarray:
+        """Windows in a part at levels 0 (whole runs: 0), 1 (halves) and 2."""
+        return np.array([0, (self.length - self.gram + 2) // 2, self.fine])[level]
 
 
 @dataclass
@@ -99,6 +125,10 @@ class Cut:
     prefix: A.Prefix
     span: tuple[np.ndarray, np.ndarray] | None
 
+    def only(self, which: np.ndarray) -> Cut:
+        """These runs alone."""
+        return Cut(self.first, self.doc[which], self.at[which], self.start[which], self.last[which], self.hash[which], self.values, self.prefix, self.span)
+
     def content(self, take: np.ndarray, length: int) -> np.ndarray:
         s, e, p = self.start[take], self.last[take] + length, self.at[take]
         return A.mix(self.prefix.of(s, e) + (p - s).astype(A.U64) * A.U64(0xC2B2AE3D27D4EB4F))
@@ -108,9 +138,9 @@ def cut(data: np.ndarray, off: np.ndarray, by: Tokens) -> Cut:
     span = None
     if by.words:
         start, end, first = A.words(data, off)
-        values, span = A.word_hashes(data, start, end), (start, end)
+        values, span = A.word_hashes(data, start, end, by.table), (start, end)
     else:
-        values, first = A.BYTE[data], off
+        values, first = by.table[data], off
     size = np.diff(first)
     n_windows = np.maximum(size - by.length + 1, 0)
     some = n_windows > 0
@@ -122,6 +152,45 @@ def cut(data: np.ndarray, off: np.ndarray, by: Tokens) -> Cut:
     return Cut(first, np.searchsorted(first, at, "right") - 1, at, grams[s], grams[e], hashes[a], values, prefix, span)
 
 
+def divided(c: Cut, steps: np.ndarray, length: int) -> Cut:
+    """c, with the runs of which `steps` isn't 0 in parts of so many windows.
+
+    The windows of a part start from k * step to (k + 1) * step - 1 tokens before the anchor;
+    the hash of the tokens that all of them cover stands for the anchor's.
+    """
+    some = np.flatnonzero(steps)
+    if not len(some):
+        return c
+    at, step, whole = c.at[some], steps[some], steps == 0
+    owner, part = A.spread((at - c.last[some]) // step, (at - c.start[some]) // step + 1)
+    at, step = at[owner], step[owner]
+    start = np.maximum(c.start[some][owner], at - (part + 1) * step + 1)
+    last = np.minimum(c.last[some][owner], at - part * step)
+    core = A.mix(c.prefix.of(at - part * step, at + length + 1 - (part + 1) * step) + (part + 1).astype(A.U64) * A.U64(0x94D049BB133111EB))
+    both = lambda old, new: np.concatenate([old[whole], new])
+    return Cut(c.first, both(c.doc, c.doc[some][owner]), both(c.at, at), both(c.start, start), both(c.last, last), both(c.hash, core), c.values, c.prefix, c.span)
+
+
+def _found(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in `known` (sorted) each hash is, and whether it is there."""
+    place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    return place, known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def _same_tokens(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, head: np.ndarray) -> None:
+    """Compares the runs that are taken for one: `order` lists runs (begin, size), `head` where each distinct one begins in it."""
+    times = np.diff(np.append(head, len(order)))
+    first = np.repeat(order[head], times)
+    again = first != order
+    one, other = first[again], order[again]
+    good = (size[one] == size[other]).all()
+    if good and len(one):
+        owner, k = A.spread(np.zeros(len(one), np.int64), size[one])
+        good = (tokens[begin[one][owner] + k] == tokens[begin[other][owner] + k]).all()
+    if not good:
+        raise ArithmeticError("different runs have equal hashes; choose another salt")
+
+
 def _by_target(target: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(target, kind="stable")
     edge = np.searchsorted(target[order], np.arange(n + 1))
@@ -153,15 +222,17 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
 
     `rows` is an Arrow table with the columns of docs; apply returns a batch of `schema`.
 
-    Null texts have no tokens; a null id counts as the least; rows with equal ids are
-    different documents at equal places.
+    Null and empty texts have no tokens; a null id counts as the least; ids that aren't whole
+    numbers are in the order of their 64-bit hashes; rows with equal ids are different
+    documents at equal places, so none of them is earlier than another.
     """
     small_batches(docs.sparkSession)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST))
-    total = docs.select(doc_id).count()
-    n_bucket, n_target = buckets(total), buckets(total, 10_000)
-    bucket = F.pmod(F.xxhash64(key), F.lit(n_bucket)).cast("int")
-    rows = docs.select("*", key.alias("_key"), bucket.alias("_bucket"))
+    given = F.col(doc_id)
+    key = F.coalesce(given.cast("long") if isinstance(docs.schema[doc_id].dataType, IntegralType) else F.when(given.isNotNull(), F.xxhash64(given)), F.lit(FIRST))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n_bucket, n_target = max(buckets(total), -(-size // BUCKET_BYTES)), buckets(total, 10_000)
+    key_name, bucket_name = (free_name(docs.columns, c) for c in ("_key", "_bucket"))
+    rows = docs.select("*", key.alias(key_name), F.pmod(F.xxhash64(key, F.col(text)), F.lit(n_bucket)).cast("int").alias(bucket_name))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -177,7 +248,7 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
             return _rows("target", list(_by_target((h % A.U64(n_target)).astype(np.int64), n_target, h, b << 1 | many)))
 
         for batch in batches:
-            bucket = batch.column("_bucket").to_numpy(zero_copy_only=False)
+            bucket = batch.column(bucket_name).to_numpy(zero_copy_only=False)
             for i, j, d, o in A.chunks(*A.flat(batch.column(text))):
                 c = cut(d, o, by)
                 held.append((c.hash, bucket[i:j][c.doc].astype(np.int32)))
@@ -196,36 +267,44 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         size = np.diff(np.append(begin, len(h)))
         many = (size > 1) | (np.maximum.reduceat(b & 1, begin) > 0) if len(h) else np.zeros(0, bool)
         keep = np.repeat(many, size)
-        return _table("bucket", list(_by_target(b[keep] >> 1, n_bucket, h[keep])))
+        h, b = h[keep], b[keep] >> 1
+        order, begin = _distinct((h, b))
+        h, b = h[order][begin], b[order][begin]
+        in_buckets = np.repeat(n := np.diff(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))), n) if len(h) else b
+        level = ((in_buckets > WIDE).astype(np.uint8) + (in_buckets > WIDEST)).astype(np.uint8)
+        out = [(k, raw, wide) for wide in (0, 1) for k, raw in _by_target(b[(level > 0) == wide], n_bucket, h[(level > 0) == wide], level[(level > 0) == wide])]
+        return pa.table({"bucket": pa.array([k for k, _, _ in out], pa.int32()), "blob": pa.array([raw for _, raw, _ in out], pa.binary()), "wide": pa.array([w for _, _, w in out], pa.int32())})
 
     def runs(left: pa.Table, right: pa.Table) -> pa.Table:
-        (known,) = joined(right.column("blob").to_pylist(), "u8")
-        known = np.unique(known)
+        known, level = joined(right.column("blob").to_pylist(), "u8 u1")
+        known, pick = np.unique(known, return_index=True)
         if not len(left) or not len(known):
             return _table("target", [])
-        keys = left.column("_key").to_numpy()
+        steps, keys = by.steps(level[pick]), left.column(key_name).to_numpy()
         found = []
         for i, j, d, o in A.chunks(*A.flat(left.column(text))):
             c = cut(d, o, by)
-            place = np.searchsorted(known, c.hash)
-            hit = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == c.hash))
-            content = c.content(hit, by.length)
-            doc, start = keys[i:j][c.doc[hit]], c.start[hit] - c.first[c.doc[hit]]
-            order, begin = _distinct((c.hash[hit], content))
+            place, hit = _found(c.hash, known)
+            c = c.only(hit)
+            c = divided(c, steps[place[hit]], by.length)
+            content = c.content(np.arange(len(c.hash)), by.length)
+            doc, start = keys[i:j][c.doc], c.start - c.first[c.doc]
+            order, begin = _distinct((c.hash, content))
             # the earliest place of each distinct run, and the number of places
-            rank = np.lexsort((start, doc, content, c.hash[hit]))
-            count = np.diff(np.append(begin, len(hit)))
+            rank = np.lexsort((start, doc, content, c.hash))
+            count = np.diff(np.append(begin, len(order)))
+            every = (c.values >> A.U64(32)).astype(np.uint32) if by.words else d
+            _same_tokens(every, c.start, c.last + by.length - c.start, rank, begin)
             pick = rank[begin]
-            s, e = c.start[hit][pick], c.last[hit][pick] + by.length
-            owner, at = A.spread(s, e)
-            tokens = (c.values[at] >> A.U64(32)).astype(np.uint32) if by.words else d[at]
-            found.append((c.hash[hit][pick], content[pick], (c.at - c.start)[hit][pick], e - s - by.length + 1, doc[pick], start[pick], count, tokens, e - s))
+            s, e = c.start[pick], c.last[pick] + by.length
+            _, at = A.spread(s, e)
+            found.append((c.hash[pick], content[pick], (c.at - c.start)[pick], e - s - by.length + 1, doc[pick], start[pick], count, every[at], e - s))
         parts = [np.concatenate([f[k] for f in found]) for k in range(9)]
         merged = _merge(Runs(*parts[:8], np.concatenate([[0], np.cumsum(parts[8])])))
         target = (merged.anchor % A.U64(n_target)).astype(np.int64)
         order = np.argsort(target, kind="stable")
         edge = np.searchsorted(target[order], np.arange(n_target + 1))
-        bucket = left.column("_bucket")[0].as_py()
+        bucket = left.column(bucket_name)[0].as_py()
         out = []
         for k in np.flatnonzero(np.diff(edge)):
             pick = order[edge[k] : edge[k + 1]]
@@ -254,22 +333,29 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         )))
 
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
-        anchor, content, lo, hi, at_doc, at_start = joined(right.column("blob").to_pylist(), "u8 u8 i2 i2 i8 i8")
+        kinds = right.column("wide").to_pylist()
+        answers, common = ([b for b, k in zip(right.column("blob").to_pylist(), kinds, strict=True) if k == kind] for kind in (0, 1))
+        wide, level = joined(common, "u8 u1")
+        wide, pick = np.unique(wide, return_index=True)
+        steps = by.steps(level[pick])
+        anchor, content, lo, hi, at_doc, at_start = joined(answers, "u8 u8 i2 i2 i8 i8")
         order = np.lexsort((content, anchor))
         anchor, content, lo, hi, at_doc, at_start = (x[order] for x in (anchor, content, lo, hi, at_doc, at_start))
         name = A.mix(anchor) ^ content
         order = np.argsort(name, kind="stable")
         name, anchor, content, lo, hi, at_doc, at_start = (x[order] for x in (name, anchor, content, lo, hi, at_doc, at_start))
         known = np.unique(anchor)
-        keys, out = left.column("_key").to_numpy(), []
-        given = left.select([c for c in left.column_names if c not in ("_key", "_bucket")])
+        keys, out = left.column(key_name).to_numpy(), []
+        given = left.select([c for c in left.column_names if c not in (key_name, bucket_name)])
         for i, j, d, o in A.chunks(*A.flat(left.column(text))):
             c = cut(d, o, by)
             n_token = len(c.values)
             mask = np.zeros(n_token, bool)
             if len(known) and len(c.hash):
-                place = np.searchsorted(known, c.hash)
-                hit = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == c.hash))
+                if len(wide):
+                    place, hit = _found(c.hash, wide)
+                    c = divided(c, np.where(hit, steps[place], 0), by.length)
+                hit = np.flatnonzero(_found(c.hash, known)[1])
                 mine = c.content(hit, by.length)
                 want = A.mix(c.hash[hit]) ^ mine
                 a, b = np.searchsorted(name, want, "left"), np.searchsorted(name, want, "right")
@@ -283,11 +369,12 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         return pa.Table.from_batches(out) if out else empty.empty_table()
 
     empty = to_arrow_schema(schema)
-    dealt = rows.groupBy("_bucket")
-    sent = rows.select("_bucket", text).mapInArrow(anchors, "target int, blob binary")
-    back = sent.groupBy("target").applyInArrow(repeated, "bucket int, blob binary")
+    dealt = rows.groupBy(bucket_name)
+    sent = rows.select(bucket_name, text).mapInArrow(anchors, "target int, blob binary")
+    back = sent.groupBy("target").applyInArrow(repeated, "bucket int, blob binary, wide int")
     met = dealt.cogroup(back.groupBy("bucket")).applyInArrow(runs, "target int, blob binary")
     told = met.groupBy("target").applyInArrow(resolved, "bucket int, blob binary")
+    told = told.withColumn("wide", F.lit(0)).union(back.where("wide = 1"))
     return dealt.cogroup(told.groupBy("bucket")).applyInArrow(finished, schema)
 
 
@@ -296,6 +383,7 @@ def _merge(r: Runs) -> Runs:
     order, begin = _distinct((r.anchor, r.content))
     if not len(order):
         return r
+    _same_tokens(r.tokens, r.begin[:-1], np.diff(r.begin), order, begin)
     first = np.lexsort((r.start, r.doc, r.content, r.anchor))[begin]
     count = np.add.reduceat(r.count[order], begin)
     _, at = A.spread(r.begin[first], r.begin[first + 1])

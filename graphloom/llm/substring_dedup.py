@@ -138,7 +138,13 @@ WORDS20 = Tokens(words=True, length=20, gram=6)
 
 
 def repeated_word_digests(docs: DataFrame, by: Tokens = WORDS20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: what is left without words of earlier windows."""
+    """doc_id, n_words, n_removed, kept_sha256: what is left without words of earlier windows.
+
+    Null and empty texts have no words and an empty rest; long texts are read whole.  A null id
+    counts as the least, rows of one id as being at the same place, so that neither loses a
+    word to the other; ids that aren't whole numbers are in the order of their hashes.  Other
+    columns are not looked at; an empty table gives no rows.
+    """
 
     def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:
         kept, edge = kept_words(data, c, gone)
@@ -157,7 +163,8 @@ def without_repeated_words(docs: DataFrame, by: Tokens = WORDS20, doc_id: str =
 
     A text that loses words has the others joined by one space, and its `chars` column, if
     there is one, counts again; all others, null and empty ones too, stay as they are.
-    Every row stays, even if nothing is left of its text.
+    Every row stays, even if nothing is left of its text, and every other column, whatever its
+    name.  Ids as in `repeated_word_digests`; an empty table stays empty.
     """
 
     def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:

@@ -9,6 +9,8 @@ right parts, and a class of two or more is a repeat.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,16 +77,22 @@ def merge_sort(text: np.ndarray, prefix: A.Prefix, at: np.ndarray, size: np.ndar
 
 
 def neighbours(text: np.ndarray, prefix: A.Prefix, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order and, for each place in it, the extension shared with the one before (-1: another group)."""
-    order = merge_sort(text, prefix, at, size, group)
-    a, b = order[:-1], order[1:]
-    most = np.minimum(size[a], size[b])
-    shared = common(prefix, at[a], at[b], most)
-    owner, k = A.spread(np.zeros(len(a), np.int64), np.minimum(shared + 1, most))
-    same = text[at[a][owner] + k] == text[at[b][owner] + k]
-    true = np.bincount(owner[same & (k < shared[owner])], minlength=len(a))
-    if (true != shared).any() or (same & (k == shared[owner])).any():
-        raise ArithmeticError("hash collision in the suffix sort; choose another base")
+    """Sorted order and, for each place in it, the extension shared with the one before (-1: another group).
+
+    The extensions of neighbours are compared byte by byte; if hashes were wrong anywhere, the
+    sort is done again with other values of the bytes, as often as it takes.
+    """
+    for salt in count(1):
+        order = merge_sort(text, prefix, at, size, group)
+        a, b = order[:-1], order[1:]
+        most = np.minimum(size[a], size[b])
+        shared = common(prefix, at[a], at[b], most)
+        owner, k = A.spread(np.zeros(len(a), np.int64), np.minimum(shared + 1, most))
+        same = text[at[a][owner] + k] == text[at[b][owner] + k]
+        true = np.bincount(owner[same & (k < shared[owner])], minlength=len(a))
+        if (true == shared).all() and not (same & (k == shared[owner])).any():
+            break
+        prefix = A.Prefix(A.salted(A.BYTE, 30 + salt)[text])
     lcp = np.concatenate([[-1], np.where(group[a] == group[b], shared, -1)]) if len(order) else np.zeros(0, np.int64)
     return order, lcp
 
@@ -133,11 +141,16 @@ def repeated_runs(runs: Runs, length: int) -> Answers:
     return which, lo, hi, np.full(len(which), FIRST), np.full(len(which), -1)
 
 
-BYTES200 = Tokens(words=False, length=200, gram=64)
+BYTES200 = Tokens(words=False, length=200, gram=64, fine=8)
 
 
 def repeated_byte_digests(docs: DataFrame, by: Tokens = BYTES200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left without repeated windows."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left without repeated windows.
+
+    Null texts are empty; long texts are read whole; ids play no part, so null and repeated ones
+    do no harm and a row that repeats another loses all of its windows, as the other does.
+    Other columns are not looked at; an empty table gives no rows.
+    """
 
     def apply(rows, data, off, c: Cut, gone) -> pa.RecordBatch:
         ones = np.concatenate([[0], np.cumsum(gone)])

@@ -26,11 +26,12 @@ def kept_words(rows, length):
     for (doc, _), w in zip(rows, words):
         for s in range(len(w) - length + 1):
             places[tuple(w[s : s + length])].append((doc, s))
+    first = {w: min(p) for w, p in places.items()}
     out = []
     for (doc, _), w in zip(rows, words):
         gone = set()
         for s in range(len(w) - length + 1):
-            if min(places[tuple(w[s : s + length])]) < (doc, s):
+            if first[tuple(w[s : s + length])] < (doc, s):
                 gone.update(range(s, s + length))
         out.append((w, [x for k, x in enumerate(w) if k not in gone], len(gone)))
     return out
