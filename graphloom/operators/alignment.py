@@ -30,7 +30,8 @@ def authority_id(iri: Column) -> Column:
 
 def browse_url(iri: Column) -> Column:
     """The address of a page for people."""
-    return F.when(authority(iri) == "wikidata", F.replace(iri, F.lit("/entity/"), F.lit("/wiki/"))).otherwise(iri)
+    page = F.concat(F.lit("https://www.geonames.org/"), authority_id(iri))
+    return F.when(authority(iri) == "wikidata", F.replace(iri, F.lit("/entity/"), F.lit("/wiki/"))).when(page.isNotNull() & (authority(iri) == "geonames"), page).otherwise(iri)
 
 
 def judge_links(links: DataFrame, facts: DataFrame, countries: dict[str, str], successors: dict[str, list[str]], historical: list[str], slug: str = "slug", target: str = "target") -> DataFrame:
@@ -59,3 +60,12 @@ def judge_links(links: DataFrame, facts: DataFrame, countries: dict[str, str], s
     for test, v, n in steps[1:]:
         verdict, note = verdict.when(test, v), note.when(test, n)
     return rows.withColumns({"judgment": verdict.otherwise("incorrect"), "note": note.otherwise("other country")}).drop("_kind", "_has", "_want", "_also", "target_id")
+
+
+def crosswalk(mine: DataFrame, theirs: DataFrame, links: str, code: str = "code", pattern: str = r"(Q\d+)$") -> DataFrame:
+    """Rows of two vocabularies that go with one code: a column of `mine`, the end of a link in `theirs`.
+
+    The codes are taken out of the links, so that the join is one of equal keys.
+    """
+    found = theirs.withColumn("_link", F.explode(links)).withColumn(code, F.nullif(F.regexp_extract("_link", pattern, 1), F.lit(""))).where(F.col(code).isNotNull())
+    return mine.join(found.drop("_link", links).distinct(), code)

@@ -10,12 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Words that decide how a mention is resolved.
-PRONOUNS = "i we he she they me us him her them my our his their hers theirs ourselves myself themselves himself herself it".split()
+PRONOUNS = [
+    "i", "we", "he", "she", "they", "me", "us", "him", "her", "them", "my", "our", "his", "their", "hers", "theirs", "ourselves", "myself", "themselves", "himself", "herself", "it",
+]
 SELF, GROUP = {"i", "me", "myself"}, {"we", "us", "ourselves"}
 HE, SHE, THEY = {"he", "him", "his"}, {"she", "her", "hers"}, {"they", "them", "their", "theirs"}
 OWNED = {"his", "her", "hers", "their", "theirs"}
-MALE = "father brother uncle grandfather husband son dad papa grandpa boy man men boys sons brothers uncles grandfathers".split()
-FEMALE = "mother sister aunt grandmother wife daughter mom mama grandma girl woman women girls daughters sisters aunts grandmothers".split()
+MALE = [
+    "father", "brother", "uncle", "grandfather", "husband", "son", "dad", "papa", "grandpa", "boy", "man", "men", "boys", "sons", "brothers", "uncles", "grandfathers",
+]
+FEMALE = [
+    "mother", "sister", "aunt", "grandmother", "wife", "daughter", "mom", "mama", "grandma", "girl", "woman", "women", "girls", "daughters", "sisters", "aunts", "grandmothers",
+]
 
 _STARTS = re.compile(rf"({'|'.join(PRONOUNS)})\b", re.I)
 _THIRD = re.compile(rf"({'|'.join(sorted(HE | SHE | THEY))})\b", re.I)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import humanise
+from graphloom.functions.text import humanise, nt_unescape, slug
+from graphloom.operators.ordered import distinct_slugs
 
 
 def drop_lines(lines: DataFrame, *needles: str, line: str = "line") -> DataFrame:
@@ -23,12 +26,14 @@ def graph_of(line: Column) -> Column:
 def rewrite_iris(lines: DataFrame, mapping: DataFrame, pattern: str, line: str = "line") -> DataFrame:
     """IRIs that match the pattern replaced by mapping(old, new); others stay.
 
-    Lines without such an IRI never reach the join.  Places within a line are kept by number.
+    Lines without such an IRI never reach the join.  A line goes by two 64-bit hashes of its
+    text, so a partition that is computed again names it as before; equal lines are rewritten
+    once.  Places within a line are kept by number.
     """
     hit = F.col(line).rlike(pattern)
     plain = lines.where(~F.coalesce(hit, F.lit(False)))
-    numbered = lines.where(hit).withColumn("_n", F.monotonically_increasing_id())
-    found = numbered.select("_n", F.posexplode(F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))).alias("_k", "_x"))
+    numbered = lines.where(hit).withColumn("_n", F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")))
+    found = numbered.dropDuplicates(["_n"]).select("_n", F.posexplode(F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))).alias("_k", "_x"))
     new = found.join(mapping.select(F.col("old").alias("_x"), F.col("new").alias("_y")), "_x", "left")
     iris = new.groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_y", "_x").alias("v")))), lambda s: s["v"]).alias("_v"))
     between = F.split(line, pattern, -1)
@@ -40,7 +45,7 @@ def rewrite_iris(lines: DataFrame, mapping: DataFrame, pattern: str, line: str =
 def complete_labels(quads: DataFrame, kind: str, label: str, base: str, graph: str) -> DataFrame:
     """(s, p, o, g) rows for subjects under `base` without a label or type: humanised names, first letters up."""
     mine = quads.where(F.col("s").startswith(base)).select("s").distinct()
-    tail = F.substring(F.col("s"), len(base) + 1, 4096)
+    tail = F.substr(F.col("s"), F.lit(len(base) + 1))
     literal = lambda c: F.struct(F.lit("literal").alias("kind"), c.alias("value"), F.lit(None).cast("string").alias("datatype"), F.lit("en").alias("lang"))
     has = lambda p: quads.where(F.col("p") == p).select("s")
     names = mine.join(has(label), "s", "left_anti").select("s", F.lit(label).alias("p"), literal(humanise(tail)).alias("o"), F.lit(graph).alias("g"))
@@ -70,3 +75,21 @@ def check_counts(before: int, after: int, dropped: int) -> None:
     """Raises unless every line is either kept or dropped."""
     if before != after + dropped:
         raise Contaminated(f"{before} lines in, {after} out, {dropped} dropped")
+
+
+def slug_map(dumps: list[DataFrame], number: str, label: str, base: str, line: str = "value") -> DataFrame:
+    """old, new: addresses by name for numbered ones, over several dumps.
+
+    `number` is a pattern whose group is the number; the label of a number is that of the first
+    dump that has one (the least of several there).  Of numbers with one slug the least keeps
+    it, the others get theirs behind it.
+    """
+    iri, told = f"<({number})>", []
+    for k, lines in enumerate(dumps):
+        rows = lines.where(F.col(line).contains(f"<{label}>") & F.col(line).rlike(f"^{iri}"))
+        name = nt_unescape(F.regexp_extract(line, r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1))
+        told.append(rows.select(F.regexp_extract(line, f"^{iri}", 1).alias("old"), F.regexp_extract(line, f"^{iri}", 2).cast("long").alias("n"), name.alias("name"), F.lit(k).alias("dump")))
+    every = reduce(DataFrame.unionByName, told)
+    first = every.groupBy("old", "n").agg(F.min(F.struct("dump", "name"))["name"].alias("name"))
+    named = distinct_slugs(first.withColumn("slug", slug(F.col("name"))), "slug", "n", "unique")
+    return named.select("old", F.concat(F.lit(base), "unique").alias("new"))

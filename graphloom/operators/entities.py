@@ -72,3 +72,16 @@ def place_topics(topics: DataFrame, segments: DataFrame, interview: str, part: s
     cut = cut.withColumns({"_from": F.floor((F.col(part) - 1) * step), "_to": F.least(F.floor(F.col(part) * step), F.col("_n"))}).where("_from < _to")
     here = segments.withColumnsRenamed({interview: "_i", ordinal: "_at"})
     return cut.join(here, (F.col(interview) == F.col("_i")) & (F.col("_from") == F.col("_at"))).drop("_n", "_m", "_from", "_to", "_i", "_at")
+
+
+def enriched(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
+    """base with the columns of extra by key, and `matched`; a column that both have keeps the base's value on a miss.
+
+    Of several extra rows of a key any one is taken.
+    """
+    one = extra.dropDuplicates([key])
+    both = [c for c in one.columns if c != key and c in base.columns]
+    told = one.withColumnsRenamed({c: f"_new_{c}" for c in both}).withColumn("_hit", F.lit(True))
+    found = base.join(told, key, "left")
+    found = found.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in both} | {"matched": F.coalesce("_hit", F.lit(False))})
+    return found.drop("_hit", *[f"_new_{c}" for c in both])

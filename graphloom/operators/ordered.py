@@ -57,3 +57,14 @@ def distinct_slugs(df: DataFrame, slug: str, number: str, out: str = "unique_slu
     """The row of least number keeps a slug, the others get `-number` behind it."""
     w = Window.partitionBy(slug).orderBy(number)
     return df.withColumn(out, F.when(F.row_number().over(w) == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col(number).cast("string"))))
+
+
+def numeric_suffix(id: Column, separator: str = "_") -> Column:
+    """The number behind the last separator of an id, to sort by; null (first) if there is none."""
+    return F.substring_index(id, separator, -1).try_cast("long")
+
+
+def category_rank(x: Column, order: list[str]) -> Column:
+    """Place of a category in an explicit order; others and null come after them."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), x)
+    return F.when(place > 0, place).otherwise(len(order) + 1)

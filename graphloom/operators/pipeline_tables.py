@@ -111,3 +111,9 @@ def embed(rows: DataFrame, text_column: str, provider, out: str = "embedding") -
         return pd.Series(list(provider(texts.tolist())))
 
     return rows.withColumn(out, call(F.col(text_column)))
+
+
+def embedding_quads(rows: DataFrame, key: str, embedding: str, model: str, base: str = "urn:utterance:", graph: str = "embeddings") -> DataFrame:
+    """Four quads for each row with a vector: type, dimension, model and the row that it is of."""
+    some = rows.where(F.size(embedding) > 0)
+    return as_quads(some, F.concat(F.lit(base), F.col(key)), graph, {"type": F.lit("Embedding"), "dimension": F.size(embedding), "model": F.lit(model), "of": F.col(key)})

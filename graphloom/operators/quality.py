@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.stats import kappa, share
@@ -63,3 +63,39 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed:
     w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     ranked = rows.withColumn("_r", F.row_number().over(w))
     return ranked.join(quota, ranked[stratum].eqNullSafe(quota["_s"])).where("_r <= _q").drop("_s", "_n", "_q", "_r")
+
+
+def averages(figures: DataFrame, value: str = "precision") -> DataFrame:
+    """One row from `precision`: macro (mean of the strata), micro, unsure_rate (of the judged), blank_rate."""
+    total = lambda c: F.sum(c)
+    judged = total("correct") + total("incorrect") + total("unsure")
+    return figures.agg(
+        F.avg(value).alias("macro"), share(total("correct"), total("correct") + total("incorrect")).alias("micro"),
+        share(total("unsure"), judged).alias("unsure_rate"), share(total("blank"), judged + total("blank")).alias("blank_rate"),
+    )
+
+
+def totals(table: DataFrame, **figures: Column) -> DataFrame:
+    """One row of figures, in one scan; zero where there is nothing to count."""
+    return table.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in figures.items()])
+
+
+def facts(rows: DataFrame, key: str, first: dict[str, str], sets: dict[str, str], order: list[str]) -> DataFrame:
+    """One row a key: the first value by `order` of some columns (nulls don't count), the sorted set of others."""
+    place = F.struct(*[F.col(c) for c in order])
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(n) for n, c in first.items()]
+    return rows.groupBy(key).agg(*firsts, *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()])
+
+
+def dangling(links: DataFrame, to: str, nodes: DataFrame, key: str) -> DataFrame:
+    """One row: links, dangling (links whose end isn't a node, each time), orphans (the different ends)."""
+    ends = links.groupBy(F.col(to).alias("_to")).agg(F.count("*").alias("_n"))
+    missing = ends.join(nodes.select(F.col(key).alias("_to")).distinct().withColumn("_hit", F.lit(True)), "_to", "left")
+    lost = F.col("_hit").isNull() & F.col("_to").isNotNull()
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return missing.agg(n(F.sum("_n")).alias("links"), n(F.sum(F.when(lost, F.col("_n")))).alias("dangling"), n(F.count_if(lost)).alias("orphans"))
+
+
+def simple_sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """`size` rows by a seeded hash of their key; ties by the key itself."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)

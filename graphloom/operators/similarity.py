@@ -71,17 +71,19 @@ def assign_cells(
     """(vectors with their cell, centroids, probes): k-means on a bounded sample, every row indexed.
 
     Centroids are at most 4096; each vector goes to the one of greatest inner product.
-    Probes are as many cells as queries need for `recall` of their k nearest: among all
+    A null vector has no cell.  Probes are as many cells as queries need for `recall` of their k nearest: among all
     rows up to twice the sample, beyond that among as many rows as the sample has that the
     centroids were not fitted on.  An empty table has no centroids and no probes.
     """
     import numpy as np
 
     n = vectors.count()
-    rows = vectors.select(key, embedding).where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(2 * sample).collect()
-    if not rows:
+    some = vectors.select(key, embedding).where(F.col(embedding).isNotNull() & F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(2 * sample)
+    held = some.toArrow().combine_chunks()  # bounded by `sample`; numbers, not Python objects
+    if not len(held):
         return vectors.withColumn("cell", F.lit(None).cast("int")), [], 0
-    every, ids = np.array([r[embedding] for r in rows], float), np.array([r[key] for r in rows])
+    lists = held.column(embedding).combine_chunks()
+    every, ids = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1).astype(float), held.column(key).to_numpy()
     x = every[:sample] / np.maximum(np.linalg.norm(every[:sample], axis=1, keepdims=True), 1e-12)
     cells = min(coarse_cells(n), len(x))
     rng = np.random.default_rng(seed)
@@ -99,7 +101,11 @@ def assign_cells(
     def cell(v):
         import pandas as pd
 
-        return pd.Series((np.stack(v.to_numpy()) @ centres.T).argmax(axis=1).astype("int32"))
+        out = pd.Series([None] * len(v), dtype="Int32")
+        some = v.notna().to_numpy()
+        if some.any():
+            out[some] = (np.stack(v[some].to_numpy()) @ centres.T).argmax(axis=1).astype("int32")
+        return out
 
     return vectors.withColumn("cell", cell(F.col(embedding))), centres.tolist(), probes
 
@@ -112,6 +118,18 @@ def probe(indexed: DataFrame, centroids: list[list[float]], probes: int, query:
     return nearest(indexed.where(F.col("cell").isin([int(c) for c in best])), query, key, embedding, k)
 
 
+def vector_index(vectors: DataFrame, key: str, embedding: str, path: str, dimension: int, allowed: DataFrame | None = None, flat: int = 100_000) -> dict:
+    """Writes the vectors of one dimension, and of the allowed keys if given, as Parquet with the cells
+    of a coarse quantiser if there are more than `flat`; returns what `nearest_of_all` needs and how many were left out."""
+    rows = vectors.where(F.col(key).isNotNull() & (F.size(embedding) == dimension)).select(key, embedding)
+    if allowed is not None:
+        rows = rows.join(allowed.select(key).distinct(), key, "left_semi")
+    n, total = rows.count(), vectors.count()
+    cells = assign_cells(rows, key, embedding) if n > flat else (rows.withColumn("cell", F.lit(0)), [], 0)
+    cells[0].write.mode("overwrite").parquet(path)
+    return {"cells": (vectors.sparkSession.read.parquet(path), cells[1], cells[2]), "rows": n, "skipped": total - n}
+
+
 def _best(score, k: int):
     """Column numbers of the k greatest scores of each row, -1 where there are fewer; of equal ones the first columns."""
     import numpy as np

@@ -29,11 +29,20 @@ def is_variable(x: str | None) -> bool:
     return x is not None and x.startswith("?")
 
 
+def tag_column(variable: str) -> str:
+    """The hidden column that holds the language tag of a variable's literal."""
+    return f"_lang_{variable}"
+
+
 class Graphs:
-    """quads(s, p, o, g) with o as text: the value of a term; typed comparison stays with the caller."""
+    """quads(s, p, o, g) with o as text: the value of a term; typed comparison stays with the caller.
+
+    If there is a column `lang` too, the tags of the variables named in `tagged` are bound
+    beside their values.
+    """
 
-    def __init__(self, quads: DataFrame):
-        self.quads = quads
+    def __init__(self, quads: DataFrame, tagged: frozenset[str] = frozenset()):
+        self.quads, self.tagged = quads, tagged if "lang" in quads.columns else frozenset()
 
     def match(self, pattern: Pattern) -> DataFrame:
         """Bindings of one pattern; a variable that occurs twice must match itself."""
@@ -49,7 +58,8 @@ class Graphs:
                 rows = rows.where(F.col(column) == F.col(seen[x]))
             else:
                 seen[x] = column
-        found = rows.select(*[F.col(c).alias(x[1:]) for x, c in seen.items()])
+        tags = [F.coalesce("lang", F.lit("")).alias(tag_column(x[1:])) for x, c in seen.items() if c == "o" and x[1:] in self.tagged]
+        found = rows.select(*[F.col(c).alias(x[1:]) for x, c in seen.items()], *tags)
         return found.distinct() if pattern.g is None else found  # the union of graphs is a set
 
     def bgp(self, *patterns: Pattern) -> DataFrame:

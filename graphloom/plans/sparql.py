@@ -3,7 +3,7 @@
 Supported: PREFIX, basic patterns with `;`, `,`, `a` and `[]`, GRAPH (constant or variable, nested),
 OPTIONAL, FILTER, VALUES, BIND, UNION, MINUS, sub-selects, quoted triples on the subject
 side, GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET, DISTINCT and aggregates.  Terms are compared by value: an IRI is its
-text, a literal its lexical form without type and tag.  Without GRAPH a pattern matches the
+text, a literal its lexical form without type and tag; LANG reads the tags of quads with a column `lang`.  Without GRAPH a pattern matches the
 union of all graphs.  Groups without a shared variable raise an error instead of making a
 cross product; joins on variables that an OPTIONAL may leave unbound are plain equi-joins.
 """
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.algebra import Graphs, Pattern, join
+from graphloom.plans.algebra import Graphs, Pattern, join, tag_column
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<tag>@[a-zA-Z][a-zA-Z-]*)|(?P<var>[?$]\w+)
@@ -338,6 +338,10 @@ class _Parser:
         self.take("(")
         if name in _AGGREGATES:
             return self.aggregate(name, df)
+        if name == "LANG":
+            hidden = tag_column(self.variable())
+            self.take(")")
+            return F.coalesce(F.col(hidden), F.lit("")) if hidden in df.columns else F.lit("")
         x: list[Column] = []
         while not self.accept(")"):
             x.append(self.expression(df))
@@ -349,7 +353,8 @@ class _Parser:
             "IF": lambda: F.when(x[0], x[1]).otherwise(x[2]), "BOUND": lambda: x[0].isNotNull(), "REPLACE": lambda: F.regexp_replace(s[0], s[1], s[2]),
             "REGEX": lambda: F.regexp_like(s[0], F.concat(F.lit("(?i)"), s[1]) if len(s) > 2 else s[1]), "ABS": lambda: F.abs(x[0].try_cast("double")), "ROUND": lambda: F.round(x[0].try_cast("double")),
             "SUBSTR": lambda: F.substring(s[0], x[1].cast("int"), x[2].cast("int") if len(x) > 2 else F.length(s[0])), "INTEGER": lambda: x[0].try_cast("double").cast("long"), "FLOAT": lambda: x[0].try_cast("double"),
-            "DOUBLE": lambda: x[0].try_cast("double"), "DECIMAL": lambda: x[0].try_cast("double"), "STRING": lambda: s[0], "STRBEFORE": lambda: F.substring_index(s[0], s[1], 1),
+            "DOUBLE": lambda: x[0].try_cast("double"), "DECIMAL": lambda: x[0].try_cast("double"), "STRING": lambda: s[0], "STRBEFORE": lambda: F.when(F.contains(s[0], s[1]), F.substr(s[0], F.lit(1), F.instr(s[0], s[1]) - 1)).otherwise(""),
+            "STRAFTER": lambda: F.when(F.contains(s[0], s[1]), F.substr(s[0], F.instr(s[0], s[1]) + F.length(s[1]))).otherwise(""),
         }.get(name)
         if made is None:
             raise QueryError(f"unknown function {raw}")
@@ -435,7 +440,7 @@ class _Parser:
         end, self.at = self.at, head
         names, columns, aggregated = [], [], False
         if self.accept("*"):
-            names = [c for c in df.columns if not c.startswith("_b")]
+            names = [c for c in df.columns if not c.startswith(("_b", tag_column("")))]
             columns = [F.col(f"`{c}`") for c in names]
         while self.kind() == "var" or self.peek() == "(":
             if self.kind() == "var":
@@ -531,4 +536,5 @@ def run(text: str, quads: DataFrame, annotations: DataFrame | None = None) -> Da
 
     annotations(s, p, o, ap, ao), if given, answer quoted triples.
     """
-    return _Parser(text, Graphs(quads), annotations).query()
+    tagged = frozenset(re.findall(r"\bLANG\s*\(\s*[?$](\w+)", text, re.I))
+    return _Parser(text, Graphs(quads, tagged), annotations).query()

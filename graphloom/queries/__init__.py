@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
-from graphloom.queries import graph, ordered, statistics, text_queries, texts  # noqa: F401
+from graphloom.queries import graph, ordered, served, statistics, tables, text_queries, texts  # noqa: F401
 from graphloom.queries.registry import ORACLE, QUERIES  # noqa: F401

@@ -63,7 +63,7 @@ _TERMS = ["erea", "onea"]
     SELECT doc_id, round(sum(tf * ln(1 + total / df)), 6) AS score FROM i JOIN d USING (term), n GROUP BY 1 HAVING count(*) = 2""")
 def inverted_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search.search(search.inverted_index(docs, "doc_id", "text"), _TERMS, "doc_id", docs.count())
+    return search.search(search.inverted_index(docs, "doc_id", "text", only=_TERMS), _TERMS, "doc_id", docs.count())
 
 
 @query()
@@ -75,7 +75,7 @@ def typo_tolerant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH h AS (SELECT DISTINCT doc_id FROM {_TOKENS} AND term = 'erea') SELECT source, count(DISTINCT doc_id) AS hits FROM h JOIN documents USING (doc_id) GROUP BY 1")
 def word_period_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = search.inverted_index(docs, "doc_id", "text").where("term = 'erea'")
+    hits = search.inverted_index(docs, "doc_id", "text", only=["erea"])
     return search.distribution(hits, docs.select("doc_id", "source"), "doc_id", "source")
 
 

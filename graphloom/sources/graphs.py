@@ -55,6 +55,14 @@ def thesaurus(lines: DataFrame) -> DataFrame:
     return terms.where("label IS NOT NULL").select(F.regexp_extract(iri, r"([^/:#]+)$", 1).alias("term_id"), iri.alias("iri"), nt_unescape(F.col("label")).alias("label"), "broader").withColumn("key", canon_key(F.col("label"), " ;,"))
 
 
+def code_pairs(lines: DataFrame) -> DataFrame:
+    """slug, code: each place of an alignment vocabulary with each Q number that it is matched to, once."""
+    told = _statements(lines, "number", "line").where("subject IS NOT NULL")
+    codes = F.explode(F.regexp_extract_all("line", F.lit(r"wikidata\.org/(?:entity|wiki)/(Q\d+)"), F.lit(1)))
+    slug = F.regexp_extract(F.btrim("subject", F.lit("<>")), r"([^/:#]+)$", 1)
+    return told.where(F.col("line").contains("exactMatch")).select(slug.alias("slug"), codes.alias("code")).distinct()
+
+
 def alignment(lines: DataFrame) -> DataFrame:
     """term_id, exact_matches, close_matches, confidence (the last one told)."""
     told = _statements(lines, "number", "line")

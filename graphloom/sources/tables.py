@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,15 +35,39 @@ def utterances(spark: SparkSession, path: str, order: list[str] = ("part_number"
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """A CSV with header, in the first encoding that leaves no replacement characters in its first rows."""
-    df = None
+    """A CSV with header, in the first encoding in which all of its bytes are text.
+
+    UTF-8 is checked on every line as it stands in the file; any other encoding is taken as
+    one in which every byte is a character.
+    """
+    whole = spark.read.text(path).select(F.is_valid_utf8("value").alias("ok"))
     for encoding in encodings:
-        reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
-        df = (reader.schema(schema) if schema else reader).csv(path)
-        text = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns])
-        if df.limit(1000).where(text.contains("�")).isEmpty():
-            return df
-    return df
+        if encoding.upper() != "UTF-8" or whole.where("NOT ok").isEmpty():
+            break
+    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def keyed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row a key, the last by `order`: how a file read line by line into a dictionary ends up."""
+    other = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*other), F.struct(*order))
+    return rows.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in other])
+
+
+def words(spark: SparkSession, path: str) -> list[str]:
+    """A word list from a text file, one or more words a line: stop words, vocabularies; a query-sized list."""
+    return sorted({w for r in spark.read.text(path).collect() for w in r[0].split()})
+
+
+def mart(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A mart written before, or None if it isn't there."""
+    try:
+        return spark.read.json(f"{folder}/{name}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
 
 
 def topics(wide: DataFrame, segment: str, source: str) -> DataFrame:

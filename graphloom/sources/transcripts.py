@@ -50,11 +50,15 @@ def paragraphs(xml: bytes) -> list[tuple[str, int | None, int | None, str | None
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Utterances of all *.xml below a folder; a broken file gives none.
+    """Utterances of all *.xml below a folder; a broken file gives none."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(folder))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Utterances of files (path, content).
 
     Numbers come from names like `123.1.xml` (else null); durations from the times.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
