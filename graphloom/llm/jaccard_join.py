@@ -211,20 +211,28 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
     n_bucket, n_target = buckets(total), buckets(total, 5000)
 
     def named(salt: int) -> DataFrame:
-        """Each document's set: its name, size and, under `check`, a second hash."""
+        """Each document's set: its name, size and, under `check`, a second hash; with the first of each name in a task its compressed text."""
 
         def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            press, seen = zstandard.ZstdCompressor(level=3), set()
             for batch in batches:
-                names, checks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                names, checks, sizes, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
                 for _, _, d, o in A.chunks(*A.flat(batch.column("text"))):
                     h, begin = document_sets(d, o, shingle)
                     names.append(set_ids(h, begin, salt))
                     checks.append(set_ids(h, begin, salt + 500))
                     sizes.append(np.diff(begin))
-                name, check = (np.concatenate(x).view(np.int64) for x in (names, checks))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name), pa.array(check), pa.array(np.concatenate(sizes))], names=["doc_id", "set_id", "check", "n_shingles"])
+                    for k, n in enumerate(names[-1].tolist()):
+                        texts.append(press.compress(d[o[k] : o[k + 1]].tobytes()) if n and n not in seen else None)
+                        seen.add(n)
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                name = np.concatenate(names)
+                bucket = (name % np.uint64(n_bucket)).astype(np.int32)
+                columns = [batch.column("doc_id"), pa.array(name.view(np.int64)), pa.array(np.concatenate(checks).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(bucket), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "check", "n_shingles", "bucket", "zipped"])
 
-        return checkpointed(rows.mapInArrow(member, f"doc_id {kind}, set_id long, check long, n_shingles long"))
+        return checkpointed(rows.mapInArrow(member, f"doc_id {kind}, set_id long, check long, n_shingles long, bucket int, zipped binary"))
 
     salt = 0
     members = named(salt)
@@ -302,25 +310,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
 
     found = checkpointed(rows.mapInArrow(index, "target int, blob binary").groupBy("target").applyInArrow(candidates, "bucket int, blob binary, kind int"))
 
-    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, seen = zstandard.ZstdCompressor(level=3), set()
-        for batch in batches:
-            data, off = A.flat(batch.column("text"))
-            out: list[tuple[int, int, bytes]] = []
-            for i, _, d, o in A.chunks(data, off):
-                h, begin = document_sets(d, o, shingle)
-                for k, n in enumerate(set_ids(h, begin, salt).tolist()):
-                    if n and n not in seen:
-                        seen.add(n)
-                        out.append((n % n_bucket, n, press.compress(d[o[k] : o[k + 1]].tobytes())))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array(np.array([x[1] for x in out], np.uint64).view(np.int64)), pa.array([x[2] for x in out], pa.binary())],
-                names=["bucket", "set_id", "zipped"],
-            )
-
-    texts = rows.mapInArrow(zipped, "bucket int, set_id long, zipped binary").groupBy("bucket")
+    texts = members.where("zipped IS NOT NULL").select("bucket", "set_id", "zipped").groupBy("bucket")
 
     def unzipped(raws: list[bytes]) -> list[np.ndarray]:
         """The sets of the texts, in bounded chunks."""
