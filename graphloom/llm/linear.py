@@ -1,7 +1,7 @@
 """Training samples, FTRL-proximal logistic regression, Bradley-Terry ranking; text features.
 
-Learners run on the driver over a bounded sample (parameters `sample_docs` and
-`sample_bytes`); scoring is a narrow map over all documents with the weights in the task.
+Learners see a bounded sample (parameters `sample_docs` and `sample_bytes`); scoring is a
+narrow map over all documents with the weights in the task.
 """
 
 from __future__ import annotations
@@ -39,8 +39,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, tex
         if total > sample_bytes and chosen:
             break
         chosen.append((row["_id"], row["_y"]))
-    spark = docs.sparkSession
-    picked = spark.createDataFrame(dict(chosen).items(), "_id long, _y int") if chosen else spark.createDataFrame([], "_id long, _y int")
+    picked = docs.sparkSession.createDataFrame(list(dict(chosen).items()), f"_id {docs.schema[doc_id].dataType.simpleString()}, _y int")
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").select("_id", "text", F.col("_y").alias("label"))
 
 
@@ -99,34 +98,31 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, n: int, skips: int, alph
     says how likely label 1 is.
     """
     size = 1 << bits
-    z, q = np.zeros(size + 1), np.zeros(size + 1)  # the last coordinate is the bias, without penalty
+    z, q = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(seed)
-    slots = [np.append(s, size) for s, _ in rows]
-    penalty = np.full(size + 1, l1)
-    penalty[size] = 0
+    bias_z = bias_q = 0.0  # the bias is a coordinate without L1 penalty
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zi = z[at]
-        return np.where(np.abs(zi) <= penalty[at], 0.0, -(zi - np.sign(zi) * penalty[at]) / ((beta + np.sqrt(q[at])) / alpha + l2))
+    def weights(zi: np.ndarray | float, qi: np.ndarray | float, penalty: float):
+        return np.where(np.abs(zi) <= penalty, 0.0, -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(qi)) / alpha + l2))
 
     ones = sum(y for _, y in rows)
     heavy = min(most_weight, max(1.0, (len(rows) - ones) / max(ones, 1)))
     if 0 < ones < len(rows):
         for _ in range(epochs):
             for k in order.permutation(len(rows)):
-                at, y = slots[k], rows[k][1]
-                w = weights(at)
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                at, y = rows[k]
+                w, bias = weights(z[at], q[at], l1), float(weights(bias_z, bias_q, 0.0))
+                g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
                 g *= heavy if y else 1.0
-                sigma = (np.sqrt(q[at] + g * g) - np.sqrt(q[at])) / alpha
-                z[at] += g - sigma * w
+                z[at] += g - (np.sqrt(q[at] + g * g) - np.sqrt(q[at])) / alpha * w
                 q[at] += g * g
-        w = weights(np.arange(size + 1))
+                bias_z += g - (np.sqrt(bias_q + g * g) - np.sqrt(bias_q)) / alpha * bias
+                bias_q += g * g
+        w, bias = weights(z, q, l1), float(weights(bias_z, bias_q, 0.0))
     else:
-        w = np.zeros(size + 1)
-        w[size] = 0.0 if not rows else (4.0 if rows[0][1] else -4.0)
-    live = np.flatnonzero(w[:size])
-    return SparseWeights(bits, n, skips, float(w[size]), live, w[live])
+        w, bias = np.zeros(size), 0.0 if not rows else (4.0 if rows[0][1] else -4.0)
+    live = np.flatnonzero(w)
+    return SparseWeights(bits, n, skips, bias, live, w[live])
 
 
 # --- dense features of form ---------------------------------------------------------------

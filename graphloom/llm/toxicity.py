@@ -29,8 +29,9 @@ def fit_toxicity(
 ) -> SparseWeights:
     """Weights learnt from a bounded sample of the labelled rows outside fold 0.
 
-    The rows' distinct features are made where the texts lie; the driver gets those of at
-    most sample_docs rows with at most sample_bytes of text.  No labelled rows: no weights.
+    The rows' distinct features are made where the texts lie; one task gets those of at most
+    sample_docs rows with at most sample_bytes of text and learns, and the driver gets the
+    non-zero weights.  No labelled rows: no weights.
     """
     small_batches(docs.sparkSession)
     rows = sample_rows(docs, labels, label, doc_id, text, sample_docs, sample_bytes)
@@ -45,11 +46,20 @@ def fit_toxicity(
                 cut = np.searchsorted(pair >> BITS, np.arange(j - i + 1))
                 low = (pair & ((1 << BITS) - 1)).astype(np.int32)
                 out += [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array(out, pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(np.zeros(len(out), np.int32))], names=["id", "y", "x", "all"])
 
-    seen = rows.mapInArrow(run, "id long, y int, x binary").collect()
-    seen.sort(key=lambda r: (r["id"], bytes(r["x"])))  # the same model whatever the partitions
-    return ftrl([(np.frombuffer(r["x"], np.int32), r["y"]) for r in seen], BITS, 2, 1, alpha, 1.0, l1, 0.0, epochs)
+    def learn(table: pa.Table) -> pa.Table:
+        rows = zip(table.column("id").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True)
+        seen = [(np.frombuffer(x, np.int32), y) for _, x, y in sorted(rows)]  # the same model whatever the partitions
+        model = ftrl(seen, BITS, 2, 1, alpha, 1.0, l1, 0.0, epochs)
+        return pa.table({"bias": [model.bias], "slots": pa.array([model.slots.tolist()], pa.list_(pa.int64())), "weights": pa.array([model.values.tolist()], pa.list_(pa.float64()))})
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    features = rows.mapInArrow(run, f"id {kind}, y int, x binary, all int")
+    found = features.groupBy("all").applyInArrow(learn, "bias double, slots array<long>, weights array<double>").collect()
+    if not found:
+        return ftrl([], BITS, 2, 1, alpha, 1.0, l1, 0.0, epochs)
+    return SparseWeights(BITS, 2, 1, found[0]["bias"], np.array(found[0]["slots"], np.int64), np.array(found[0]["weights"], float))
 
 
 def score_toxicity(docs: DataFrame, model: SparseWeights, text: str = "text", out: str = "score") -> DataFrame:
