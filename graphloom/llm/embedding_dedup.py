@@ -4,8 +4,11 @@ Cosine at least t of two unit vectors means a distance of at most eps = sqrt(2 -
 vectors are projected on leading principal directions, where distances can only shrink,
 and sorted by the grid cells of side eps that they fall into.  The sequence is cut into
 blocks; pairs of intervals of blocks are joined recursively, those whose boxes are further
-apart than eps are skipped, and within two blocks the same goes on down to small
-leaves, whose vectors are compared by matrix products in double precision.
+apart than eps are skipped, and within two blocks the same goes on down to small leaves.
+In two leaves, pairs are skipped whose cosine can't reach t: that of their projections and
+the most that the rests can add, the product of their lengths.  Only pairs that pass this
+bound are compared in all dimensions, in double precision; where rounding could decide,
+by exactly rounded sums.
 
 Equal vectors count once, however many they are; a pair of blocks returns, for each
 vector, its number of links and one tie to its local component, never its links.
@@ -14,7 +17,7 @@ vector, its number of links and one tie to its local component, never its links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, floor, sqrt
+from math import ceil, floor, fsum, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import checkpointed, components
-from graphloom.llm.repeats import joined, packed
+from graphloom.llm.frames import checkpointed, components, small_batches
 
 LEAF = 256
+#: More blocks than this make blocks larger instead: their boxes go to every task.
+MOST_BOXES = 1 << 17
+#: Rows of block pairs that are broadcast at most; more are joined by a shuffle.
+FEW_PAIRS = 200_000
+#: Two cosines closer than this are told apart by exactly rounded sums.
+UNSURE = 1e-11
 
 
 def principal_directions(sample: np.ndarray, most: int) -> np.ndarray:
@@ -59,15 +67,59 @@ def near_intervals(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: n
     return out
 
 
-def join_blocks(x: np.ndarray, px: np.ndarray, nx: np.ndarray, y: np.ndarray, py: np.ndarray, ny: np.ndarray, t: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the rows of x to the rows of y (unit vectors), weighed by the counts ny, and
-    the other way by nx; and for each row the least row of its local component.
+class Block:
+    """Vectors with what the join needs of them: unit vectors, projections with the length of
+    the rest behind them, and how many rows each stands for."""
+
+    def __init__(self, raw: np.ndarray, axes: np.ndarray, many: np.ndarray):
+        self.raw, self.many = raw, many
+        self.unit = raw.astype(np.float64)
+        self.unit /= np.abs(self.unit).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+        self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
+        self.shade = self.unit @ axes
+        rest = np.sqrt(np.maximum(0, 1 - (self.shade**2).sum(axis=1)))
+        self.bound = np.column_stack([self.shade, rest + 1e-9])
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+
+def at_least(x: np.ndarray, y: np.ndarray, t: float) -> bool:
+    """Whether the cosine of two vectors is at least t, by exactly rounded sums."""
+    x, y = (v.astype(np.float64) / 2.0 ** floor(np.log2(np.abs(v).max())) for v in (x, y))
+    dot, xx, yy = (fsum((u * v).tolist()) for u, v in ((x, y), (x, x), (y, y)))
+    return dot / (sqrt(xx) * sqrt(yy)) >= t
+
+
+def close_pairs(x: Block, y: Block, a: int, b: int, c: int, d: int, t: float) -> tuple[np.ndarray, int]:
+    """Which of rows a to b of x and c to d of y have a cosine of at least t; and how many pairs
+    were compared in all dimensions."""
+    may = x.bound[a:b] @ y.bound[c:d].T >= t - 1e-9
+    seen = int(may.sum())
+    cosine = np.full(may.shape, -2.0)
+    if seen * 16 < may.size:
+        i, j = np.nonzero(may)
+        cosine[i, j] = np.einsum("ij,ij->i", x.unit[a + i], y.unit[c + j])
+    else:
+        cosine = x.unit[a:b] @ y.unit[c:d].T
+        seen = may.size
+    close = cosine >= t
+    for i, j in zip(*np.nonzero(np.abs(cosine - t) < UNSURE), strict=True):
+        close[i, j] = at_least(x.raw[a + i], y.raw[c + j], t)
+    return close, seen
+
+
+def join_blocks(x: Block, y: Block, t: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of the rows of x to the rows of y, weighed by how many rows each stands for; for
+    each row the least row of its local component; and how many pairs there are, how many are
+    in leaves that may be near, and how many were compared in all dimensions.
 
     Rows of y are numbered after those of x; if the blocks are the same, y is x.
     """
     n = len(x)
     total = n if same else n + len(y)
     links, root = np.zeros(total, np.int64), np.arange(total)
+    work = np.array([n * (n - 1) // 2 if same else n * len(y), 0, 0])
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -76,20 +128,21 @@ def join_blocks(x: np.ndarray, px: np.ndarray, nx: np.ndarray, y: np.ndarray, py
         return i
 
     cuts_x, cuts_y = np.arange(0, n, LEAF), np.arange(0, len(y), LEAF)
-    low_x, high_x = np.minimum.reduceat(px, cuts_x), np.maximum.reduceat(px, cuts_x)
-    low_y, high_y = np.minimum.reduceat(py, cuts_y), np.maximum.reduceat(py, cuts_y)
+    low_x, high_x = np.minimum.reduceat(x.shade, cuts_x), np.maximum.reduceat(x.shade, cuts_x)
+    low_y, high_y = np.minimum.reduceat(y.shade, cuts_y), np.maximum.reduceat(y.shade, cuts_y)
     shift = 0 if same else n
     for i, j in near_intervals(low_x, high_x, low_y, high_y, eps, same):
         a, c = i * LEAF, j * LEAF
         b, d = min(a + LEAF, n), min(c + LEAF, len(y))
-        close = x[a:b] @ y[c:d].T >= t
+        close, seen = close_pairs(x, y, a, b, c, d, t)
+        work += [0, (b - a) * (d - c), seen]
         if same and i == j:
             np.fill_diagonal(close, False)
         if not close.any():
             continue
-        links[a:b] += close @ ny[c:d]
+        links[a:b] += close @ y.many[c:d]
         if not (same and i == j):
-            links[shift + c : shift + d] += close.T @ nx[a:b]
+            links[shift + c : shift + d] += close.T @ x.many[a:b]
         # local components of this leaf pair: least row label over links, to a fixed point
         rows, cols = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
         part = close[np.ix_(rows, cols)]
@@ -106,33 +159,39 @@ def join_blocks(x: np.ndarray, px: np.ndarray, nx: np.ndarray, y: np.ndarray, py
             u, v = find(int(u)), find(int(v))
             if u != v:
                 root[max(u, v)] = min(u, v)
-    return links, np.array([find(k) for k in range(total)], np.int64), np.arange(total)
+    return links, np.array([find(k) for k in range(total)], np.int64), work
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", directions: int = 10, block: int = 4096, most_blocks: int = 1024, sample: int = 4000
-) -> DataFrame:
+KEY = "k struct<a:long,b:long>"
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", directions: int = 20, block: int = 16_384, sample: int = 4000) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row; see the module.
 
     Null, empty and zero vectors and such with a null or non-finite component link with
     nothing, nor do vectors of different lengths.  Rows of one id are vectors of their own;
-    rows with a null id link with nothing and have a null component and kept = false.  The principal
-    directions come from a bounded sample; they decide what is skipped quickly, never what links.
+    rows with a null id link with nothing and have a null component and kept = false.  Equal
+    vectors are told by 128-bit hashes.  The principal directions come from a bounded sample;
+    they decide what is skipped quickly, never what links.  Blocks hold about `block` vectors,
+    more once there are MOST_BOXES of them.  Other columns are not looked at; an empty table
+    gives no rows.
     """
+    small_batches(vectors.sparkSession)
     e = F.col("e")
     kind = vectors.schema[vec_id].dataType.simpleString()
-    raw = vectors.select(F.col(vec_id).alias("vec_id"), F.transform(F.col(embedding), lambda v: v.cast("double")).alias("e"))
+    plain = vectors.schema[embedding].dataType.simpleString() in ("array<float>", "array<double>")
+    raw = vectors.select(F.col(vec_id).alias("vec_id"), (F.col(embedding) if plain else F.transform(F.col(embedding), lambda v: v.cast("double"))).alias("e"))
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
     valid = F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False))
-    rows = raw.select("vec_id", "e", valid.alias("ok"), F.xxhash64("e").alias("k"), F.xxhash64(F.lit(1), "e").alias("k2"))
-    classes = rows.where("ok").groupBy("k", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min_by("e", "vec_id").alias("e"))
+    key = F.struct(F.xxhash64("e").alias("a"), F.xxhash64(F.lit(1), "e").alias("b"))
+    rows = raw.select("vec_id", "e", valid.alias("ok"), key.alias("k"))
+    classes = rows.where("ok").groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min_by("e", "vec_id").alias("e"))
     classes = checkpointed(classes.withColumn("dim", F.size("e")))
     parts = [
-        _join_dimension(classes.where(F.col("dim") == r["dim"]), r["n"], threshold, directions, block, most_blocks, sample)
+        _join_dimension(classes.where(F.col("dim") == r["dim"]), r["n"], threshold, directions, block, sample)
         for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()  # one row a vector length
     ]
-    spark = vectors.sparkSession
-    found = spark.createDataFrame([], "k long, links long, tie long")
+    found = vectors.sparkSession.createDataFrame([], f"{KEY}, links long, tie struct<a:long,b:long>")
     for p in parts:
         found = found.union(p)
     found = checkpointed(found)
@@ -148,78 +207,102 @@ def near_duplicates(
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _join_dimension(classes: DataFrame, n: int, t: float, directions: int, block: int, most_blocks: int, sample: int) -> DataFrame:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _join_dimension(classes: DataFrame, n: int, t: float, directions: int, block: int, sample: int) -> DataFrame:
     """(k, links, tie) from every pair of near blocks of vectors of one length."""
     eps = sqrt(max(0.0, 2 - 2 * t)) + 1e-9
     some = np.array([r["e"] for r in classes.orderBy("k").select("e").limit(sample).collect()], np.float64)  # bounded by `sample`
+    some /= np.abs(some).max(axis=1, keepdims=True)
     some /= np.linalg.norm(some, axis=1, keepdims=True)
     axes = principal_directions(some, min(directions, some.shape[1]))
+    d = axes.shape[1]
     cells = ceil(2 / eps) + 2
-    deep = min(axes.shape[1], floor(46 / np.log2(cells)))
+    deep = min(d, floor(46 / np.log2(cells)))
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("e").flatten().to_numpy().reshape(len(b), -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            p = x @ axes
-            cell = np.clip(np.floor((p[:, :deep] + 1) / eps), 0, cells - 1).astype(np.int64)
-            k = b.column("k").to_numpy()
-            place = np.zeros(len(b), np.int64)
-            for d in range(deep):
-                place = place * cells + cell[:, d]
-            place = place << 16 | (A.mix(k.view(np.uint64)) >> np.uint64(48)).astype(np.int64)  # splits hot cells
-            raw = [packed(v, q) for v, q in zip(x, p, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), pa.array(place), pa.array(raw, pa.binary())], names=["k", "n", "place", "raw"])
-
-    seq = checkpointed(classes.select("k", "n", "e").mapInArrow(ordered, "k long, n long, place long, raw binary"))
-    count = min(most_blocks, max(1, -(-n // block)))
-    cut = seq.agg(F.percentile_approx("place", [q / count for q in range(1, count)] or [0.5], 20_000)).first()[0]
-    edges = np.array(sorted(set(cut)) if count > 1 else [], np.int64)
+    def places(keys: np.ndarray, shade: np.ndarray) -> np.ndarray:
+        """Grid order: the number of the cell, then 16 bits of the key, which split a hot cell."""
+        cell = np.clip(np.floor((shade[:, :deep] + 1) / eps), 0, cells - 1).astype(np.int64)
+        place = np.zeros(len(shade), np.int64)
+        for k in range(deep):
+            place = place * cells + cell[:, k]
+        return place << 16 | (A.mix(keys.view(np.uint64)) >> np.uint64(48)).astype(np.int64)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(b: pa.RecordBatch) -> tuple[Block, np.ndarray]:
+        own = Block(_matrix(b.column("e")), axes, b.column("n").to_numpy())
+        return own, places(b.column("k").field("a").to_numpy(), own.shade)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.searchsorted(edges, b.column("place").to_numpy(), "right")
-            yield b.append_column("block", pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(placed(b)[1])], names=["place"])
 
-    blocks = seq.mapInArrow(dealt, "k long, n long, place long, raw binary, block int")
+    vectors = classes.select("k", "n", "e")
+    count = min(MOST_BOXES, max(1, -(-n // block)))
+    shares = [q / count for q in range(1, count)] or [0.5]
+    cut = vectors.mapInArrow(ordered, "place long").agg(F.percentile_approx("place", shares, max(20_000, 10 * count))).first()[0]
+    edges = np.array(sorted(set(cut)) if count > 1 else [], np.int64)
 
     def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[int, np.ndarray] = {}
         high: dict[int, np.ndarray] = {}
         for b in batches:
-            for at, raw in zip(b.column("block").to_pylist(), b.column("raw"), strict=True):
-                p = joined([raw.as_py()], "f8 f8")[1]
-                low[at] = np.minimum(low.get(at, p), p)
-                high[at] = np.maximum(high.get(at, p), p)
+            own, place = placed(b)
+            for at in np.unique(to := np.searchsorted(edges, place, "right")).tolist():
+                part = own.shade[to == at]
+                low[at] = np.minimum(low.get(at, np.inf), part.min(axis=0))
+                high[at] = np.maximum(high.get(at, -np.inf), part.max(axis=0))
         keys = sorted(low)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([low[k].tolist() for k in keys], pa.list_(pa.float64())), pa.array([high[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["block", "low", "high"])
 
-    # At most most_blocks boxes a task reach the driver.
-    d = axes.shape[1]
-    box = blocks.mapInArrow(boxed, "block int, low array<double>, high array<double>")
+    # One box a block reaches the driver: at most MOST_BOXES.
+    box = vectors.mapInArrow(boxed, "block int, low array<double>, high array<double>")
     sides = [F.min(F.col("low")[k]).alias(f"l{k}") for k in range(d)] + [F.max(F.col("high")[k]).alias(f"h{k}") for k in range(d)]
-    boxes = {r["block"]: r for r in box.groupBy("block").agg(*sides).collect()}
-    names = sorted(boxes)
-    low = np.array([[boxes[b][f"l{k}"] for k in range(d)] for b in names]) - 1e-9
-    high = np.array([[boxes[b][f"h{k}"] for k in range(d)] for b in names]) + 1e-9
-    near = near_intervals(low, high, low, high, eps, True)
-    pairs = sorted({(names[min(i, j)], names[max(i, j)]) for i, j in near})
-    spark = classes.sparkSession
-    goes = [(b, p) for p, (i, j) in enumerate(pairs) for b in {i, j}]
-    partner = spark.createDataFrame(goes, "block int, pair int")  # at most most_blocks ** 2 rows
-    sent = blocks.join(F.broadcast(partner), "block").select("pair", "block", "k", "n", "place", "raw")
+    boxes = box.groupBy("block").agg(*sides).orderBy("block").collect()
+    names = np.array([r["block"] for r in boxes], np.int32)
+    low = np.array([[r[f"l{k}"] for k in range(d)] for r in boxes]) - 1e-9
+    high = np.array([[r[f"h{k}"] for k in range(d)] for r in boxes]) + 1e-9
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, i, j): the block takes part in the pair i, j; pairs that may be near only."""
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                other = [j for _, j in near_intervals(low[k : k + 1], high[k : k + 1], low[k:], high[k:], eps, False)]
+                i, j = np.full(len(other), names[k]), names[k:][other]
+                goes, stays = np.concatenate([i, j[j != names[k]]]), np.concatenate([np.arange(len(i)), np.flatnonzero(j != names[k])])
+                yield pa.RecordBatch.from_arrays([pa.array(goes), pa.array(i[stays]), pa.array(j[stays])], names=["block", "i", "j"])
+
+    partner = checkpointed(classes.sparkSession.range(len(names)).mapInArrow(met, "block int, i int, j int"))
+    if partner.count() <= FEW_PAIRS:
+        partner = F.broadcast(partner)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("block", pa.array(np.searchsorted(edges, placed(b)[1], "right").astype(np.int32)))
+
+    kind = classes.schema["e"].dataType.simpleString()
+    sent = vectors.mapInArrow(dealt, f"{KEY}, n long, e {kind}, block int").join(partner, "block")
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = pairs[table.column("pair")[0].as_py()]
-        at = table.column("block").to_numpy()
-        place, key, many = (table.column(c).to_numpy() for c in ("place", "k", "n"))
-        v, p = joined(table.column("raw").to_pylist(), "f8 f8")
-        v, p = v.reshape(len(at), -1), p.reshape(len(at), -1)
-        pick = [np.flatnonzero(at == b) for b in (i, j)]
-        x, y = (q[np.lexsort((key[q], place[q]))] for q in pick)
-        links, root, _ = join_blocks(v[x], p[x], many[x], v[y], p[y], many[y], t, eps, i == j)
-        every = x if i == j else np.concatenate([x, y])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        at, key = table.column("block").to_numpy(), table.column("k").combine_chunks()
+        a, b = key.field("a").to_numpy(), key.field("b").to_numpy()
+        every = Block(_matrix(table.column("e")), axes, table.column("n").to_numpy())
+        order = np.lexsort((b, a, places(a, every.shade)))
+
+        def part(number: int) -> tuple[Block, np.ndarray]:
+            pick = order[at[order] == number]
+            one = Block.__new__(Block)
+            one.raw, one.many, one.unit, one.shade, one.bound = (v[pick] for v in (every.raw, every.many, every.unit, every.shade, every.bound))
+            return one, pick
+
+        (x, own), (y, other) = part(i), part(j)
+        links, root, _ = join_blocks(x, y, t, eps, i == j)
+        rows = own if i == j else np.concatenate([own, other])
         some = np.flatnonzero(links > 0)
-        return pa.table({"k": key[every[some]], "links": links[some], "tie": key[every[root[some]]]})
+        return pa.table({"k": key.take(pa.array(rows[some])), "links": links[some], "tie": key.take(pa.array(rows[root[some]]))})
 
-    return sent.groupBy("pair").applyInArrow(compare, "k long, links long, tie long")
+    return sent.groupBy("i", "j").applyInArrow(compare, f"{KEY}, links long, tie struct<a:long,b:long>")
