@@ -1,11 +1,11 @@
 """Best-fit packing of documents into token sequences under several capacities.
 
 Documents are tokenized where they lie.  Each task packs the pieces it has: the pieces by
-falling length, each into the open sequence that fits best.  A sequence's residual is a
-vector of tokens, documents and attention cost (sum of squared lengths); a piece must fit
-in every one, and the sequence with the least weighted dot product of residual and piece
-(or the least residual norm) takes it.  A task wastes less than a sequence or so, however
-large the input, and nothing is shuffled.  Sequence ids hold the task's number.
+falling length, each into the open sequence that fits best (`Packer`).  A sequence's residual
+is a vector of tokens, documents and attention cost (sum of squared lengths); a piece must
+fit in every one.  Sequences stay open from one batch of pieces to the next.  A task wastes
+less than a sequence or so, however large the input, and nothing is shuffled.  Sequence ids
+hold the task's number.
 """
 
 from __future__ import annotations
@@ -67,46 +67,66 @@ def pieces(length: int, most: int) -> list[tuple[int, int]]:
     return cuts
 
 
+class Packer:
+    """Open sequences, and the vector best fit of pieces into them.
+
+    A sequence's residual is a vector: tokens, documents and attention cost left, as shares of
+    the limits.  A piece may only go where it fits in all three.  Of those it takes the
+    sequence with the least weighted dot product of residual and need: what it needs most is
+    then scarcest there, so that the least is left over; with one capacity that is plain best
+    fit.  by="norm" takes the least weighted norm of what would be left.  Ties go to the
+    sequence opened first.  A piece that breaks the cost limit by itself gets a sequence of
+    its own.  A sequence is closed once the smallest piece so far wouldn't fit, and beyond
+    most_open the fullest ones are; that costs tokens at most, never a constraint.
+    """
+
+    def __init__(self, tokens: int, documents: int, cost: float, weights: tuple[float, float, float], by: str = "dot", most_open: int = 4096):
+        self.limit, self.w, self.by, self.most_open = np.array([tokens, documents, cost], float), np.array(weights, float), by, most_open
+        self.tokens, self.made, self.n_open, self.least = tokens, 0, 0, tokens
+        self.left, self.used, self.name = np.zeros((1024, 3)), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def close(self, at: int) -> None:
+        self.n_open -= 1
+        for x in (self.left, self.used, self.name):
+            x[at] = x[self.n_open]
+
+    def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence number and offset of each piece, the longest placed first; lengths are at most `tokens`."""
+        where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        self.least = min(self.least, int(lengths.min(initial=self.tokens)))
+        for i in np.argsort(-lengths, kind="stable"):
+            size = int(lengths[i])
+            need = np.array([size, 1, float(size) * size]) / self.limit
+            at = -1
+            if self.n_open:
+                room = self.left[: self.n_open]
+                fits = (room >= need - 1e-12).all(axis=1)
+                if fits.any():
+                    score = room @ (self.w * need) if self.by == "dot" else (self.w * (room - need) ** 2).sum(axis=1)
+                    score = np.where(fits, score, np.inf)
+                    best = np.flatnonzero(score == score.min())
+                    at = int(best[np.argmin(self.name[best])])
+            if at < 0:
+                if self.n_open == self.most_open:
+                    self.close(int(np.argmax(self.used[: self.n_open])))
+                if self.n_open == len(self.left):
+                    self.left, self.used, self.name = (np.concatenate([x, x * 0]) for x in (self.left, self.used, self.name))
+                at, self.n_open = self.n_open, self.n_open + 1
+                self.left[at], self.used[at], self.name[at] = 1.0, 0, self.made
+                self.made += 1
+            where[i], offset[i] = self.name[at], self.used[at]
+            self.left[at] -= need
+            self.used[at] += size
+            if self.tokens - self.used[at] < self.least:
+                self.close(at)
+        return where, offset
+
+
 def best_fit(
     lengths: np.ndarray, tokens: int, documents: int, cost: float, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), by: str = "dot"
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece; lengths are at most `tokens`.
-
-    A piece alone in a sequence is placed even if it breaks the cost capacity by itself.
-    Ties: the piece that comes first, the sequence opened first.
-    """
-    n = len(lengths)
-    where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    limit = np.array([tokens, documents, cost], float)
-    w = np.array(weights, float)
-    left = np.zeros((1024, 3))  # residuals of the open sequences, as shares of the limits
-    used = np.zeros(1024, np.int64)
-    name = np.zeros(1024, np.int64)
-    n_open, made = 0, 0
-    least = int(lengths.min()) if n else 0
-    for i in np.argsort(-lengths, kind="stable"):
-        size = int(lengths[i])
-        need = np.array([size, 1, float(size) * size]) / limit
-        at = -1
-        if n_open:
-            room = left[:n_open]
-            fits = (room >= need - 1e-12).all(axis=1)
-            if fits.any():
-                score = room @ (w * need) if by == "dot" else (w * (room - need) ** 2).sum(axis=1)
-                at = int(np.argmin(np.where(fits, score, np.inf)))
-        if at < 0:
-            if n_open == len(left):
-                left, used, name = np.concatenate([left, left * 0]), np.concatenate([used, used * 0]), np.concatenate([name, name * 0])
-            at, n_open = n_open, n_open + 1
-            left[at], used[at], name[at] = 1.0, 0, made
-            made += 1
-        where[i], offset[i] = name[at], used[at]
-        left[at] -= need
-        used[at] += size
-        if tokens - used[at] < least:  # nothing else can come in
-            n_open -= 1
-            left[at], used[at], name[at] = left[n_open], used[n_open], name[n_open]
-    return where, offset
+    """Sequence number and offset of each piece of one batch."""
+    return Packer(tokens, documents, cost, weights, by).place(lengths)
 
 
 def pack_documents(
@@ -122,34 +142,37 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A document is its token ids and a closing 0; longer ones are cut (`pieces`).  Without
-    max_documents and max_cost these two never bind.  Null and empty texts are one token;
-    repeated rows are packed as often as they come; an empty table gives no rows.
+    A document is its token ids and a closing 0; longer ones are cut (`pieces`).  A sequence
+    holds at most max_tokens tokens, max_documents pieces and an attention cost of max_cost
+    (the sum of the squared lengths; a piece dearer than that is alone in its sequence).
+    Without max_documents and max_cost these two are as large as can be, never bind and count
+    for ties only.  Null and empty texts are one token; repeated rows and null ids are packed
+    as often as they come; long texts are read whole; other columns are not looked at; an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     documents, cost = max_documents or max_tokens, max_cost or float(max_tokens) ** 2
+    weights = (1.0, 1.0 if max_documents else 1e-6, 1.0 if max_cost else 1e-6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = document_encoder(tokenizer_file)
-        task, made = TaskContext.get().partitionId() << 40, 0
+        task, packer = TaskContext.get().partitionId() << 40, Packer(max_tokens, documents, cost, weights, by)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal made
             doc, piece, start, length, crc, ids = zip(*rows, strict=True)
-            where, offset = best_fit(np.array(length, np.int64), max_tokens, documents, cost, by=by)
+            where, offset = packer.place(np.array(length, np.int64))
             columns = [
                 pa.array(doc, kind),
                 pa.array(piece, pa.int32()),
                 pa.array(start, pa.int64()),
                 pa.array(length, pa.int64()),
                 pa.array(crc, pa.int64()),
-                pa.array(where + (task + made)),
+                pa.array(where + task),
                 pa.array(offset),
             ]
             if with_ids:
                 columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
-            made += int(where.max()) + 1
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -30,10 +30,20 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_links_at_038(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join at a threshold that some vectors of every table reach: at 0.9 most tables have no link at all."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.38)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def packing_with_three_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packing with at most 8 documents and half of the attention cost of one full document a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_documents=8, max_cost=2048.0**2 / 2)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
 
@@ -68,7 +78,9 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "embedding_links_at_038": embedding_links_at_038,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "packing_with_three_capacities": packing_with_three_capacities,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
