@@ -180,3 +180,35 @@ def test_bradley_terry_against_all_pairs():
     mine = linear.bradley_terry(x, y, steps=4000, l2=0.05)
     want = np.array(brute.bradley_terry(x.tolist(), y.tolist(), 300, 0.05))
     assert np.abs(mine - want).max() < 0.05 * np.abs(want).max() + 0.03
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 40), max_size=25), max_size=3), st.integers(1, 6), st.integers(200, 1600), st.sampled_from(["dot", "norm"]))
+def test_packer_against_a_plain_loop(batches, documents, cost, by):
+    """Three capacities that bind: every piece goes where a plain search over all sequences puts it."""
+    limit, weights = (40, documents, float(cost)), (1.0, 0.7, 0.4)
+    packer = packing.Packer(*limit, weights, by)
+    held = []  # lengths in each sequence
+    for lengths in [[1], *batches]:  # a piece of 1 keeps all but full sequences open
+        where, offset = packer.place(np.array(lengths, np.int64))
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            n, best = lengths[i], None
+            need = (n / limit[0], 1 / limit[1], n * n / limit[2])
+            for k, h in enumerate(held):
+                left = (1 - sum(h) / limit[0], 1 - len(h) / limit[1], 1 - sum(x * x for x in h) / limit[2])
+                if all(r >= q - 1e-9 for r, q in zip(left, need)):
+                    score = sum(w * (r * q if by == "dot" else (r - q) ** 2) for w, r, q in zip(weights, left, need))
+                    if best is None or score < best[0] - 1e-9:
+                        best = (score, k)
+            at = best[1] if best else len(held)
+            if at == len(held):
+                held.append([])
+            mine = int(where[i])
+            if mine != at:  # equal scores may differ in the last digit
+                h = held[mine]
+                left = (1 - sum(h) / limit[0], 1 - len(h) / limit[1], 1 - sum(x * x for x in h) / limit[2])
+                assert sum(w * (r * q if by == "dot" else (r - q) ** 2) for w, r, q in zip(weights, left, need)) == pytest.approx(best[0])
+            assert offset[i] == sum(held[mine])
+            held[mine].append(n)
+    for h in held:
+        assert sum(h) <= 40 and len(h) <= documents and (sum(x * x for x in h) <= cost or len(h) == 1)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from graphloom.llm import bpe, embedding_dedup, fingerprint, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from graphloom.llm import arrays as A
+from graphloom.llm import bpe, embedding_dedup, fingerprint, jaccard_join, packing, quality, repeats, substring_dedup, suffix_dedup, toxicity, url_filter
 from graphloom.llm.tokenizer import load_ranks
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +98,53 @@ def test_substring_dedup_boundaries(spark):
         assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (n, brute.sha(" ".join(kept).encode())), i
 
 
+@pytest.mark.parametrize("wide,widest", [(1, 1 << 20), (0, 2)])
+def test_runs_of_common_anchors_in_parts(spark, corpus, monkeypatch, wide, widest):
+    """Halves, and the finest parts, give what whole runs give."""
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "WIDEST", widest)
+    test_substring_dedup(spark, corpus)
+    test_suffix_dedup(spark, corpus)
+    test_suffix_dedup_boundaries(spark)
+    test_substring_dedup_boundaries(spark)
+
+
+def test_common_phrase_in_many_contexts(spark):
+    """A phrase of 25 words in 50,000 different surroundings."""
+    rng, phrase = random.Random(5), " ".join(f"p{k}" for k in range(25))
+    rows = [(k, f"{' '.join(f'a{rng.randrange(10**6)}' for _ in range(8))} {phrase} {' '.join(f'z{rng.randrange(10**6)}' for _ in range(8))}") for k in range(50_000)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_word_digests(docs(spark, rows)).collect()}
+    assert got == {k: n for (k, _), (_, _, n) in zip(rows, brute.kept_words(rows, 20))} and min(got.values()) == 0 and got[49_999] >= 25
+
+
+def test_repeats_with_clashing_names_and_other_ids(spark):
+    long = sentence(random.Random(1), 50)
+    rows = [("b", long, 1, 2), ("a", long, 3, 4), (None, long, 5, 6), (None, long, 7, 8), ("c", None, 9, 10), ("d", "", 11, 12)]
+    df = spark.createDataFrame(rows, "name string, body string, _key int, _BUCKET int")
+    got = substring_dedup.without_repeated_words(df, doc_id="name", text="body")
+    assert got.columns == ["name", "body", "_key", "_BUCKET"]
+    got = sorted(map(tuple, got.collect()), key=lambda r: r[2])
+    # null ids come first, and neither of two at the same place gives way
+    assert got == [("b", "", 1, 2), ("a", "", 3, 4), *rows[2:]]
+    left = suffix_dedup.repeated_byte_digests(df, doc_id="name", text="body").collect()
+    assert sorted(r["n_removed"] for r in left) == [0, 0] + [len(long)] * 4
+
+
+def test_repeats_tell_runs_apart():
+    """Equal hashes of different runs end the job; in the suffix sort they only make it start again."""
+    ones = np.ones(2, np.int64)
+    runs = repeats.Runs(np.zeros(2, np.uint64), np.zeros(2, np.uint64), ones, ones, ones, ones, ones, np.array([1, 2, 1, 3], np.uint8), np.array([0, 2, 4]))
+    with pytest.raises(ArithmeticError):
+        repeats._merge(runs)
+    text = np.frombuffer(b"banana.bandana", np.uint8)
+    at = np.arange(14)
+    poor = A.Prefix(np.zeros(14, np.uint64))
+    order, lcp = suffix_dedup.neighbours(text, poor, at, 14 - at, np.zeros(14, np.int64))
+    raw = bytes(text)
+    assert [raw[k:] for k in order] == sorted(raw[k:] for k in range(14))
+    assert lcp[0] == -1 and max(lcp) == 3
+
+
 def test_jaccard(spark, corpus):
     rows = corpus + [(None, "null id text"), (None, "null id text"), (3, "repeated id")]
     got = sorted(map(tuple, jaccard_join.similarity_classes(docs(spark, rows, CLASHES)).collect()), key=str)
@@ -315,6 +363,12 @@ def test_packing(spark, corpus):
         total += sum(r["length"] for r in s)
     assert len(by_sequence) <= total / 2048 + 6  # one open sequence a task
     assert packing.pack_documents(docs(spark, []), BPE_JSON).count() == 0
+    bound = packing.pack_documents(docs(spark, rows), BPE_JSON, max_documents=3, max_cost=60_000.0).collect()
+    by_sequence = {}
+    for r in bound:
+        by_sequence.setdefault(r["sequence_id"], []).append(r["length"])
+    assert max(map(len, by_sequence.values())) == 3 and len(bound) == len(packed)
+    assert all(sum(n * n for n in s) <= 60_000 or len(s) == 1 for s in by_sequence.values())
 
 
 def test_fingerprints(spark, corpus):

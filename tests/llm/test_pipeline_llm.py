@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -42,6 +43,25 @@ def test_one_row_of_near_copies(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_stages_on_odd_tables(spark, sf_dir, tmp_path):
+    """Nulls, empty and repeated texts, repeated and null ids, columns named like the stages' own; and no rows at all."""
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    odd = spark.createDataFrame([(None, None), (None, ""), (5, None), (900001, "the same words twice in the table here"), (900001, "the same words twice in the table here")], "doc_id long, text string")
+    rows = good.unionByName(odd, allowMissingColumns=True)
+    for name in ("_score", "_key", "_row", "_bucket", "many", "least", "score"):
+        rows = rows.withColumn(name, F.lit(7))
+    for empty in (False, True):
+        docs = rows.limit(0) if empty else rows
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{empty}-{k}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < 4:
+                assert docs.columns == rows.columns
+                assert docs.where("_score <> 7 OR _key <> 7 OR _row <> 7 OR many <> 7 OR least <> 7").count() == 0
+        assert (docs.count() == 0) == empty
+
+
 def test_run_rereads_what_stages_wrote(spark, sf_dir, monkeypatch):
     read = []
 
