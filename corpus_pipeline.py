@@ -1,7 +1,9 @@
 """Corpus pipeline: documents in, packed training sequences out, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all
-but the last return the columns of documents.
+but the last return the columns of documents.  Null and empty texts are scored like texts
+without features and link with nothing; null and repeated ids are documents of their own;
+further columns stay as they are, whatever their names; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -14,19 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, packing, quality, substring_dedup, toxicity
-from graphloom.llm.frames import checkpointed, shared_folder, table
+from graphloom.llm.frames import checkpointed, free_name, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below a half."""
-    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, out="_score").where(F.col("_score") < 0.5).drop("_score")
+    model, score = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "_score")
+    return toxicity.score_toxicity(docs, model, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that rank above the quality threshold."""
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), cut=0.3)
-    return quality.score_quality(docs, model, out="_score").where(F.col("_score") >= 0.3).drop("_score")
+    model, score = quality.fit_quality(docs, table(spark, sf_dir, "labels"), cut=0.3), free_name(docs.columns, "_score")
+    return quality.score_quality(docs, model, out=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +37,20 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null ids come last; of rows with one id the least hash of the text, and of rows with one
     id and text the least row stays.  Texts without words link with nothing and all stay.
     """
-    text = F.col("text")
+    text, own, row = F.col("text"), free_name(docs.columns, "_key"), free_name(docs.columns, "_row")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
     classes = jaccard_join.similarity_classes(docs.select(key.alias("doc_id"), "text"))
     held = classes.where("n_shingles = 0 OR doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("size"), F.count("*").alias("n"))
-    held = checkpointed(held.select(F.col("doc_id").alias("_row"), (F.expr("n > 1 AND size > 0")).alias("_many")))
-    keyed = docs.withColumn("_key", key)
+    held = checkpointed(held.select(F.col("doc_id").alias(row), (F.expr("n > 1 AND size > 0")).alias("many")))
+    keyed = docs.withColumn(own, key)
     # each field apart, so that null ids meet
-    same = reduce(lambda x, y: x & y, [F.col(f"_key.{c}").eqNullSafe(F.col(f"_row.{c}")) for c in ("id", "h", "g")])
-    kept = keyed.join(held.where("NOT _many"), same, "left_semi").select(docs.columns)
-    many = held.where("_many")
+    same = reduce(lambda x, y: x & y, [F.col(f"{own}.{c}").eqNullSafe(F.col(f"{row}.{c}")) for c in ("id", "h", "g")])
+    kept = keyed.join(held.where("NOT many").select(row), same, "left_semi").select(docs.columns)
+    many = held.where("many").select(row)
     if many.isEmpty():
         return kept
-    one = keyed.join(many, same, "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_least"))
-    return kept.unionByName(one.select("_least.*"))
+    one = keyed.join(many, same, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("least"))
+    return kept.unionByName(one.select("least.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
