@@ -121,16 +121,21 @@ def classify(x: Column, lexicon: dict[str, list[str]]) -> Column:
 
 def lexicon_score(label: Column, lexicon: dict[str, tuple], default: tuple) -> Column:
     """Struct v0, v1, … of the entry equal to the label, else of the first that holds it or is held by it."""
-    key = F.lower(normalise(label))
 
     def entry(values: tuple) -> Column:
         return F.struct(*[F.lit(float(v)).alias(f"v{k}") for k, v in enumerate(values)])
 
-    pick = None
-    for test in (lambda k: key == k, lambda k: key.contains(k) | F.lit(k).contains(key)):
+    known = F.create_map(*[c for name, values in lexicon.items() for c in (F.lit(name), entry(values))])
+
+    def score(key: Column) -> Column:
+        part = None
         for name, values in lexicon.items():
-            pick = F.when(test(name), entry(values)) if pick is None else pick.when(test(name), entry(values))
-    return pick.otherwise(entry(default))
+            test = key.contains(name) | F.lit(name).contains(key)
+            part = F.when(test, entry(values)) if part is None else part.when(test, entry(values))
+        return F.coalesce(F.element_at(known, key), part.otherwise(entry(default)))
+
+    # the key is made once a label, however many entries it is compared with
+    return F.get(F.transform(F.array(F.lower(normalise(label))), score), F.lit(0))
 
 
 def emotion_category(label: Column) -> Column:

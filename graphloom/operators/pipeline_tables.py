@@ -56,18 +56,52 @@ def event_times(events: DataFrame, key: str, when: str) -> DataFrame:
     return rows.select(key, "t.start_year", "t.end_year", "t.precision", temporal.bucket(F.col("t.start_year"), F.col("t.end_year"), F.col("t.period")).alias("bucket"))
 
 
-def build_quads(events: DataFrame, key: str = "utterance_hash", base: str = "urn:graph:") -> DataFrame:
-    """Distinct quads (s, p, o, g) of events with their labels, emotions and times."""
+def build_quads(events: DataFrame, key: str = "utterance_hash", base: str = "urn:graph:", only: list[str] | None = None) -> DataFrame:
+    """Distinct quads (s, p, o, g) of events with their labels, emotions and times; with `only`, of these predicates.
+
+    One scan: each event gives an array of its quads.
+    """
     event = F.concat(F.lit(f"{base}event:"), F.col(key))
-    plain = as_quads(events, event, "events", {"participant": F.nullif("who", F.lit("")), "whatText": F.nullif("what", F.lit("")), "placeText": F.nullif("where", F.lit(""))})
-    labels = event_labels(events, key, "what").select(event.alias("s"), F.concat(F.lit("has_"), F.col("kind")).alias("p"), F.col("name").alias("o"), F.lit("events").alias("g"))
-    feelings = event_emotions(events, key, "emotion")
-    node = F.concat(F.lit(f"{base}emotion:"), F.col(key), F.lit(":"), text.slug(F.col("label")))
-    values = as_quads(feelings, node, "annotations", {"emotionLabel": F.col("label"), "valence": F.col("valence"), "arousal": F.col("arousal"), "intensity": F.col("intensity"), "category": F.col("category")})
-    ties = feelings.select(event.alias("s"), F.lit("emotion").alias("p"), node.alias("o"), F.lit("annotations").alias("g"))
-    times = event_times(events, key, "when")
-    spans = as_quads(times, event, "events", {"startYear": F.col("start_year"), "endYear": F.col("end_year"), "temporalBucket": F.col("bucket")})
-    return plain.unionByName(labels).unionByName(values).unionByName(ties).unionByName(spans).distinct()
+    wanted = lambda p: only is None or p in only
+
+    def quad(s: Column, p: str, o: Column, g: str) -> Column:
+        return F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(g).alias("g"))
+
+    parts = [F.array(*found)] if (found := [quad(event, p, F.nullif(c, F.lit("")), "events") for p, c in (("participant", "who"), ("whatText", "what"), ("placeText", "where")) if wanted(p)]) else []
+    kinds = {"activity": lexicon.ACTIVITIES, "mode": lexicon.MODES, "cause": lexicon.CAUSES, "historical": lexicon.HISTORICAL}
+    labelled = lambda p: lambda name: quad(event, p, name, "events")
+    parts += [F.transform(lexicon.classify(F.col("what"), words), labelled(f"has_{kind}")) for kind, words in kinds.items() if wanted(f"has_{kind}")]
+    rows = events
+    values = {"emotionLabel": "label", "valence": "v0", "arousal": "v1", "intensity": "v2", "category": "category"}
+    felt = [p for p in (*values, "emotion") if wanted(p)]
+    if felt:
+
+        def told(label: Column) -> Column:
+            made = {"node": F.concat(F.lit(f"{base}emotion:"), F.col(key), F.lit(":"), text.slug(label)), "label": label}
+            if {"valence", "arousal", "intensity"} & set(felt):
+                made["score"] = lexicon.lexicon_score(label, lexicon.VAD, lexicon.VAD_DEFAULT)
+            if "category" in felt:
+                made["category"] = lexicon.emotion_category(label)
+            return F.struct(*[c.alias(n) for n, c in made.items()])
+
+        def of(x: Column) -> Column:
+            value = lambda c: x[c] if c in ("label", "category") else x["score"][c]
+            ties = [quad(event, "emotion", x["node"], "annotations")] if "emotion" in felt else []
+            return F.array(*[quad(x["node"], p, value(values[p]), "annotations") for p in felt if p != "emotion"], *ties)
+
+        rows = rows.withColumn("_felt", F.transform(lexicon.split_emotions(F.col("emotion")), told))
+        parts.append(F.flatten(F.transform("_felt", of)))
+    if wanted("startYear") or wanted("endYear") or wanted("temporalBucket"):
+        rows = rows.withColumn("_t", temporal.parse_when(F.col("when")))
+        t = F.col("_t")
+        times = {"startYear": t["start_year"], "endYear": t["end_year"], "temporalBucket": temporal.bucket(t["start_year"], t["end_year"], t["period"])}
+        spans = F.array(*[quad(event, p, c, "events") for p, c in times.items() if wanted(p)])
+        parts.append(F.when(t.isNotNull(), spans).otherwise(F.array().cast(_QUADS)))
+    every = F.concat(*[F.coalesce(p, F.array().cast(_QUADS)) for p in parts])
+    return rows.select(F.explode(every).alias("q")).select("q.*").where("o IS NOT NULL").distinct()
+
+
+_QUADS = "array<struct<s:string,p:string,o:string,g:string>>"
 
 
 def valence_by_activity(quads: DataFrame) -> DataFrame:
@@ -76,7 +110,8 @@ def valence_by_activity(quads: DataFrame) -> DataFrame:
 
     graph = Graphs(quads)
     left = graph.match(Pattern("?e", "has_activity", "?activity", "events"))
-    right = graph.bgp(Pattern("?e", "emotion", "?m", "annotations"), Pattern("?m", "valence", "?v", "annotations"), Pattern("?m", "arousal", "?a", "annotations"))
+    values = graph.star("m", "annotations", v="valence", a="arousal")
+    right = join(graph.match(Pattern("?e", "emotion", "?m", "annotations")), values)
     return join(left, right).groupBy("activity").agg(
         F.count("*").alias("events"), F.avg(F.col("v").try_cast("double")).alias("avg_valence"), F.avg(F.col("a").try_cast("double")).alias("avg_arousal")
     )

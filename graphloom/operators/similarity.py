@@ -9,16 +9,44 @@ from graphloom.functions.vectors import dot, normalised
 from graphloom.operators.ordered import top_k
 
 
-def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: int = 5, threshold: float = 0.82) -> DataFrame:
+def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: int = 5, threshold: float = 0.82, block_rows: int = 2000) -> DataFrame:
     """src, dst, score within each group: dst is among the k nearest of src, src < dst, score >= threshold.
 
-    An equi-join on the group; ties in score go to the lesser key.
+    A group is cut into blocks; two blocks meet once, as a matrix product that gives the k
+    nearest in either direction, and those are merged.  Ties in score go to the lesser key.
+    Rows without group, key or vector, and vectors of another length, aren't compared.
     """
+    import numpy as np
+    import pyarrow as pa
+
     unit = vectors.select(F.col(group).alias("group"), F.col(key).alias("key"), normalised(F.col(embedding)).alias("v"))
-    a, b = unit.select("group", F.col("key").alias("src"), F.col("v").alias("x")), unit.select("group", F.col("key").alias("dst"), F.col("v").alias("y"))
-    pairs = a.join(b, "group").where("src <> dst").select("group", "src", "dst", F.round(dot(F.col("x"), F.col("y")), 6).alias("score"))
-    near = top_k(pairs, k, ["group", "src"], [F.desc("score"), F.asc("dst")])
-    return near.where((F.col("score") >= threshold) & (F.col("src") < F.col("dst"))).select("src", "dst", "score")
+    unit = unit.where("group IS NOT NULL AND key IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
+    sizes = unit.groupBy("group", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    placed = unit.join(sizes, ["group", "dim"]).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = placed.select("group", "dim", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key", "v")
+    kinds = {c: met.schema[c].dataType.simpleString() for c in ("group", "key")}
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        keys, mine = table.column("key").combine_chunks(), table.column("mine").to_numpy()
+        low, high = (np.flatnonzero(mine == table.column(c)[0].as_py()) for c in ("low", "high"))
+        ids = keys.dictionary_encode().indices.to_numpy()
+        found = []
+        for a, b in [(low, high)] + [(high, low)] * (not np.array_equal(low, high)):
+            score = np.round(x[a] @ x[b].T, 6)
+            score[ids[a][:, None] == ids[b][None, :]] = -np.inf
+            if score.size:
+                i, j = _best(score, k)
+                found.append((a[i], b[j], score[i, j]))
+        src, dst, score = (np.concatenate(f) if found else np.zeros(0, t) for f, t in zip(list(zip(*found, strict=True)) or [[], [], []], (int, int, float), strict=True))
+        column = lambda c, at: table.column(c).combine_chunks().take(pa.array(at, pa.int64()))
+        return pa.table({"group": column("group", src), "src": keys.take(pa.array(src, pa.int64())), "dst": keys.take(pa.array(dst, pa.int64())), "score": pa.array(score, pa.float64())})
+
+    pairs = met.groupBy("group", "dim", "low", "high").applyInArrow(near, f"group {kinds['group']}, src {kinds['key']}, dst {kinds['key']}, score double")
+    best = top_k(pairs, k, ["group", "src"], [F.desc("score"), F.asc("dst")])
+    return best.where((F.col("score") >= threshold) & (F.col("src") < F.col("dst"))).select("src", "dst", "score")
 
 
 def nearest(vectors: DataFrame, query: list[float], key: str, embedding: str, k: int, skip: object = None) -> DataFrame:

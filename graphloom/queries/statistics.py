@@ -133,7 +133,7 @@ def valence_per_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed events to labels, emotions and quads, and back by a join of two graphs: the flagship."""
     case = lambda k: "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{v[k]}'" for t, v in _EVENT.items()) + " END"
     rows = table(spark, sf_dir, "events").selectExpr("cast(event_id AS string) AS utterance_hash", "'' AS who", f"{case(0)} AS what", "'not stated' AS `where`", "'1942' AS `when`", f"{case(1)} AS emotion")
-    found = valence_by_activity(build_quads(rows))
+    found = valence_by_activity(build_quads(rows, only=["has_activity", "emotion", "valence", "arousal"]))
     return found.select("activity", "events", F.round("avg_valence", 6).alias("avg_valence"), F.round("avg_arousal", 6).alias("avg_arousal"))
 
 

@@ -15,9 +15,11 @@ QUAD = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+
 def parse_quads(lines: DataFrame, line: str = "value") -> DataFrame:
     """s, p, o, g, ok: parsed lines; blank lines and comments are skipped, others that don't parse have ok = false."""
     rows = lines.where((F.trim(line) != "") & ~F.ltrim(F.col(line)).startswith("#"))
-    part = lambda k: F.regexp_extract(line, QUAD, k)
+    # the pattern runs once a line; a line has no line feed, so one can part the groups
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace(line, QUAD, "\n".join(f"${k}" for k in range(1, 9))), "\n", -1))
+    ok = F.size("_parts") == 8
+    part = lambda k: F.when(ok, F.get("_parts", F.lit(k - 1))).otherwise("")
     none = lambda c: F.nullif(c, F.lit(""))
-    ok = F.col(line).rlike(QUAD)
     kind = F.when(part(3) != "", "iri").when(part(7) != "", "blank").otherwise("literal")
     o = F.struct(
         kind.alias("kind"), F.when(part(3) != "", part(3)).when(part(7) != "", part(7)).otherwise(nt_unescape(part(4))).alias("value"), none(part(5)).alias("datatype"), none(part(6)).alias("lang")
