@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import temporal
+from graphloom.operators import alignment
 from graphloom.operators.ordered import top_k
 from graphloom.operators.similarity import similar_edges
 from graphloom.plans.algebra import Graphs, Pattern, annotated, as_quads, group_concat, join, optional, values
@@ -102,13 +103,21 @@ def similarity_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).orderBy(F.desc("score"), "src", "dst").limit(50)
 
 
-@query(f"""WITH {_SIMILAR} SELECT e.src, e.dst, a.label AS label, e.score FROM edges e JOIN embeddings a ON a.vec_id = e.src JOIN embeddings b ON b.vec_id = e.dst
-           WHERE a.label < 5 ORDER BY e.score DESC, e.src, e.dst LIMIT 40""")
+@query(f"""WITH {_SIMILAR} SELECT e.src, e.dst, a.label AS label, c.c_name AS src_name, d.c_name AS dst_name, n.n_name AS src_place, m.n_name AS dst_place, e.score
+           FROM edges e JOIN embeddings a ON a.vec_id = e.src JOIN embeddings b ON b.vec_id = e.dst JOIN customer c ON c.c_custkey = e.src JOIN customer d ON d.c_custkey = e.dst
+           JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN nation m ON m.n_nationkey = d.c_nationkey ORDER BY e.score DESC, e.src, e.dst LIMIT 40""")
 def chain_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    left = names.where("label < 5").withColumnRenamed("vec_id", "src")
-    right = names.select(F.col("vec_id").alias("dst"))
-    return join(join(_edges(spark, sf_dir), left), right).select("src", "dst", "label", "score").orderBy(F.desc("score"), "src", "dst").limit(40)
+    """The most alike pairs with what both ends are called and where they are: a chain of seven joins."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    graph = Graphs(quads(spark, sf_dir, "customer", "nation"))
+    people = graph.bgp(Pattern("?c", "name", "?name", "customer"), Pattern("?c", "nation", "?n", "customer"), Pattern("?n", "name", "?place", "nation"))
+    people = people.select(F.substring_index("c", ":", -1).cast("long").alias("vec_id"), "name", "place")
+    rows = _edges(spark, sf_dir)
+    for end in ("src", "dst"):
+        rows = join(rows, people.withColumnsRenamed({"vec_id": end, "name": f"{end}_name", "place": f"{end}_place"}))
+    rows = join(join(rows, labels.withColumnRenamed("vec_id", "src")), labels.select(F.col("vec_id").alias("dst")))
+    found = rows.select("src", "dst", "label", "src_name", "dst_name", "src_place", "dst_place", "score")
+    return found.orderBy(F.desc("score"), "src", "dst").limit(40)
 
 
 @query("SELECT n_name AS name, r_name AS source FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
@@ -131,7 +140,7 @@ def entity_card_multi_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT c_name AS name, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-          WHERE contains(lower(o_orderpriority), 'urgent') AND contains(lower(c_mktsegment), 'house') ORDER BY name LIMIT 50""")
+          WHERE contains(lower(o_orderpriority), 'urgent') AND contains(lower(c_mktsegment), 'house')""")
 def text_filter_three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graphs(quads(spark, sf_dir, "orders", "customer", "nation"))
     rows = graph.bgp(
@@ -139,22 +148,23 @@ def text_filter_three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         Pattern("?c", "nation", "?n", "customer"), Pattern("?n", "name", "?place", "nation"), Pattern("?c", "name", "?name", "customer"),
     )
     kept = rows.where(F.lower("priority").contains("urgent") & F.lower("segment").contains("house"))
-    return kept.select("name", "priority").distinct().orderBy("name").limit(50)
+    return kept.select("name", "priority").distinct()
 
 
-@query("SELECT o_orderkey AS order_key, o_orderpriority AS priority FROM orders WHERE contains(o_orderpriority, 'HIGH') OR contains(o_orderpriority, 'LOW') ORDER BY 1 LIMIT 100")
+@query("SELECT o_orderkey AS order_key, o_orderpriority AS priority FROM orders WHERE contains(o_orderpriority, 'HIGH') OR contains(o_orderpriority, 'LOW')")
 def disjunctive_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Graphs(quads(spark, sf_dir, "orders")).match(Pattern("?o", "priority", "?priority", "orders"))
     kept = rows.where(F.col("priority").contains("HIGH") | F.col("priority").contains("LOW"))
-    return kept.select(F.substring_index("o", ":", -1).cast("long").alias("order_key"), "priority").orderBy("order_key").limit(100)
+    return kept.select(F.substring_index("o", ":", -1).cast("long").alias("order_key"), "priority")
 
 
-@query("""SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#1') THEN 'first' WHEN starts_with(p_brand, 'Brand#2') THEN 'second' ELSE 'other' END AS authority,
-                 replace(p_brand, 'Brand#', 'brand/') AS browse FROM part""")
+@query("""SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#1') THEN 'wikidata' WHEN starts_with(p_brand, 'Brand#2') THEN 'geonames' ELSE 'other' END AS authority,
+                 CASE WHEN starts_with(p_brand, 'Brand#1') THEN 'https://www.wikidata.org/wiki/Q' || p_size WHEN starts_with(p_brand, 'Brand#2') THEN 'https://www.geonames.org/' || p_size ELSE 'https://example.org/' || p_size END AS browse FROM part""")
 def authority_nested_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brand = F.col("p_brand")
-    kind = F.when(brand.startswith("Brand#1"), "first").otherwise(F.when(brand.startswith("Brand#2"), "second").otherwise("other"))
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("authority"), F.replace(brand, F.lit("Brand#"), F.lit("brand/")).alias("browse"))
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    iri = F.when(brand.startswith("Brand#1"), F.concat(F.lit("https://www.wikidata.org/entity/Q"), size)).when(brand.startswith("Brand#2"), F.concat(F.lit("https://sws.geonames.org/"), size, F.lit("/")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", iri.otherwise(F.concat(F.lit("https://example.org/"), size)).alias("iri"))
+    return rows.select("p_partkey", alignment.authority(F.col("iri")).alias("authority"), alignment.browse_url(F.col("iri")).alias("browse"))
 
 
 @query("SELECT o_custkey AS customer, o_orderkey AS order_key, year(o_orderdate) AS year, o_orderstatus AS status FROM orders WHERE o_custkey IN (3, 4, 5)")
@@ -173,11 +183,15 @@ def labels_of_any_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(t.contains("err") | t.contains("view") | t.contains("sign")).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT event_id, user_id, CAST(floor(epoch(ts) * 1000) AS BIGINT) AS ms FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 30")
+@query("SELECT DISTINCT event_id, user_id, CAST(floor(epoch(ts) * 1000) AS BIGINT) AS ms FROM events WHERE event_type = 'error'")
 def media_of_marked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type = 'error'")
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms")
-    return rows.select("event_id", "user_id", ms).distinct().orderBy("event_id").limit(30)
+    """The recording and the place in it of each segment with a marker, from three graphs."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    said = as_quads(table(spark, sf_dir, "events"), F.concat(F.lit("urn:event:"), "event_id"), "transcripts", {"start": ms})
+    graph = Graphs(quads(spark, sf_dir, "events").unionByName(said))
+    marked = graph.bgp(Pattern("?e", "type", "error", "events"), Pattern("?e", "user", "?u", "events"), Pattern("?e", "start", "?ms", "transcripts"))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return marked.select(number("e").alias("event_id"), number("u").alias("user_id"), F.col("ms").cast("long").alias("ms")).distinct()
 
 
 @query("""SELECT o_orderpriority AS priority, count(DISTINCT o_custkey) AS customers, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1""")

@@ -198,6 +198,15 @@ def interview_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(rows).select("interview_id", "max_part_number", "total_chars", "all_speakers", "parts_count")
 
 
+@query("""SELECT conv_id AS interview_id, sum(len(regexp_extract_all(text, '[^\\s\\x{0085}\\p{Z}]+'))) AS total_words, round(sum((turn + 1) * 0.025), 6) AS minutes FROM conversations GROUP BY 1""")
+def interview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("interview_id"), F.col("turn").alias("part_number"), F.col("role").alias("speakers"), text.word_count(F.col("text")).alias("word_count"),
+        F.length("text").alias("char_count"), ((F.col("turn") + 1) * 1500 / 60000).alias("duration_minutes"),
+    )
+    return summary(rows).select("interview_id", "total_words", F.round("total_duration_minutes", 6).alias("minutes"))
+
+
 _LINES = """SELECT '<urn:customer:' || c_custkey || '> <urn:p:' || CASE WHEN c_nationkey % 3 = 0 THEN 'concept' ELSE 'name' END || '> "' || c_name || '" <urn:g:' || CASE WHEN c_nationkey % 5 = 0 THEN 'concepts' ELSE 'people' END || '> .' AS line FROM customer"""
 
 
