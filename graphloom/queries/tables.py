@@ -105,12 +105,12 @@ def metadata_of_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(people, "o_custkey", "left").select("o_orderkey", "segment")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, max_by(o_orderstatus, o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_orderkey AS k, max_by(l_returnflag, l_linenumber * 100000 + l_partkey) AS v FROM lineitem GROUP BY 1)
+@query("""WITH a AS (SELECT o_orderkey AS k, max_by(o_orderstatus, o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_orderkey AS k, max_by(l_returnflag, l_linenumber * 100000000 + l_partkey * 100 + ascii(l_returnflag)) AS v FROM lineitem GROUP BY 1)
     SELECT k, a.v AS first, b.v AS second FROM a JOIN b USING (k)""")
 def keyed_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two annotators' files by key, the last row of a key counts; keys that both have."""
     one = tables.keyed(table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "o_orderstatus AS first", "o_totalprice AS at"), "k", ["at"])
-    other = tables.keyed(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_returnflag AS second", "l_linenumber * 100000 + l_partkey AS at"), "k", ["at"])
+    other = tables.keyed(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_returnflag AS second", "l_linenumber * 100000000 + l_partkey * 100 + ascii(l_returnflag) AS at"), "k", ["at"])
     return one.drop("at").join(other.drop("at"), "k")
 
 

@@ -49,9 +49,9 @@ def csv(spark: SparkSession, path: str, schema: StructType | None = None, encodi
 
 
 def keyed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row a key, the last by `order`: how a file read line by line into a dictionary ends up."""
+    """One row a key, the last by `order` (of equal ones the greatest): how a file read line by line into a dictionary ends up."""
     other = [c for c in rows.columns if c != key]
-    last = F.max_by(F.struct(*other), F.struct(*order))
+    last = F.max(F.struct(*order, *[c for c in other if c not in order]))
     return rows.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in other])
 
 
