@@ -24,6 +24,7 @@ ACTIVITIES = {
     "selection": [r"\bselection\b", r"\bselected\b", r"\bchose\b.*life|death"],
     "testimony": [r"\btestif(y|ied)\b", r"\bwitness(ed|ing)?\b", r"\btestimon(y|ies)\b"],
 }
+# Ways of travel; patterns by label.
 MODES = {
     "train": [r"\bby train\b", r"\btrain\b", r"\brailway\b", r"\bcattle car\b"],
     "truck": [r"\bby truck\b", r"\btruck\b", r"\blorry\b"],
@@ -32,6 +33,7 @@ MODES = {
     "ship": [r"\bby ship\b", r"\bboat\b", r"\bvessel\b", r"\bsail(ed)?\b"],
     "car": [r"\bby car\b", r"\bautomobile\b"],
 }
+# Causes; patterns by label.
 CAUSES = {
     "antisemitic_policy": [r"\banti[- ]?semit", r"\banti[- ]?jew", r"\bnazi\b", r"\bdecree\b", r"\bnuremberg\b", r"\bjewish law\b"],
     "war_operation": [r"\binvasion\b", r"\bwar\b", r"\bfront\b", r"\bbomb(ed|ing)?\b", r"\boccupation\b", r"\bsurrender\b"],
@@ -39,6 +41,7 @@ CAUSES = {
     "family_reason": [r"\bfamily\b", r"\bmother\b", r"\bfather\b", r"\bchildren\b", r"\bparent\b"],
     "economic": [r"\bjob\b", r"\bwork\b", r"\bpoverty\b", r"\bmoney\b"],
 }
+# Historical events; patterns by label.
 HISTORICAL = {
     "Kristallnacht": [r"\bkristallnacht\b", r"\bnight of broken glass\b", r"\bnovember (pogrom|1938)\b"],
     "Shoah_Deportations": [r"\bdeport", r"\btransport.*camp\b"],
@@ -85,6 +88,7 @@ VAD = {
     "disbelief": (-0.40, 0.65, 0.55),
 }
 VAD_DEFAULT = (0.0, 0.5, 0.5)
+# Words of each category of emotions; patterns by label.
 CATEGORIES = {
     "positive": ["happiness", "joy", "relief", "gratitude", "hope", "love", "pride", "determination", "surprise"],
     "negative_high_arousal": ["fear", "terror", "anger", "rage", "despair", "trauma", "helplessness"],

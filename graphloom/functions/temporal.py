@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_nothing
 
+# What a year and a month look like, and two years as a range.
 _YEAR = r"1[89]\d{2}|20\d{2}"
 _MONTH = r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_PAIR = rf"({_YEAR})\s*[-–to]+\s*({_YEAR})"
 # Relative expressions (in order) and the years they stand for.
 RELATIVE = {
     "pre_war": ([r"\bbefore the war\b", r"\bpre[- ]?war\b", r"\bbefore 1939\b"], None, 1939),
@@ -41,7 +43,7 @@ def parse_when(x: Column) -> Column:
         )
 
     day, month = rf"{_MONTH}\s+\d{{1,2}},?\s+({_YEAR})", rf"{_MONTH}\s+({_YEAR})"
-    pair = rf"({_YEAR})\s*[-–to]+\s*({_YEAR})"
+    pair = _PAIR
     one = lambda p, k=1: F.regexp_extract(text, p, k).try_cast("int")
     years = F.transform(F.regexp_extract_all(text, F.lit(rf"\b({_YEAR})\b"), F.lit(1)), lambda y: y.cast("int"))
     a, b = one(pair), one(pair, 2)

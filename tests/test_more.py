@@ -1,5 +1,6 @@
 """Files, stores, marts, search, similarity and coreference on small inputs, against plain loops where there is no SQL."""
 
+import json
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.config import Config
 from graphloom.functions import lexicon
 from graphloom.operators import coref, dump, entities, pipeline_tables, quality, search, similarity
 from graphloom.plans import sparql
@@ -258,3 +260,12 @@ def test_coref_against_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "i int, k int, who string, name string, sex string").repartition(7)
     got = {(r["i"], r["k"]): (r["who"], r["who_method"]) for r in coref.resolve_mentions(df, "i", ["k"], "who", "name", "sex").collect()}
     assert got == want
+
+
+def test_config(spark, tmp_path):
+    told = {"paths": {"workspace_root": "data", "events_parquet": "e.parquet", "out": "s3://b/out"}, "build": {"interview_ids": "all"}}
+    (tmp_path / "c.json").write_text(json.dumps(told))
+    c = Config.read(spark, str(tmp_path / "c.json"), home="/home/x/")
+    assert c.path("events_parquet") == "/home/x/data/e.parquet" and c.path("out") == "s3://b/out"
+    assert c.get("build", "interview_ids") == "all" and c.get("build", "none", 3) == 3 and c.get("other", "x") is None
+    assert Config.of({"paths": {"workspace_root": "/r", "a": "b"}}, "/h").path("a") == "/r/b"
