@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of frames that nothing refers to any more.
+
+    It learns of them when the driver's garbage is collected, which by itself may be long
+    after a checkpoint made them useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(columns: list[str], name: str) -> str:
     """`name`, with underscores before it until no column is called so (whatever the case)."""
     taken = {c.lower() for c in columns}

@@ -27,22 +27,24 @@ name, and if two sets ever shared one, all names are made again with another sal
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import buckets, checkpointed, components, small_batches
+from graphloom.llm.frames import buckets, checkpointed, components, small_batches, tidied
 from graphloom.llm.repeats import _by_target, _rows, _table, joined, packed
 
 #: A key with more pairs than this uses a pivot first.
 PIVOT_PAIRS = 12
 #: Sets and shingles in a block, about, and shingles in one step of the matrix product.
-BLOCK, BLOCK_SHINGLES, STEP = 4096, 1 << 21, 1024
+BLOCK, BLOCK_SHINGLES, STEP = 2048, 1 << 20, 1024
+#: Ratio of one bin of sizes.
+BIN = 1.02
 #: Parts of a hot group's rows in a join by its key.
 SALTS = 32
 
@@ -90,6 +92,11 @@ def set_ids(h: np.ndarray, begin: np.ndarray, salt: int = 0) -> np.ndarray:
     return np.where(n > 0, np.maximum(name & ~np.uint64(1), np.uint64(2)), np.uint64(0))
 
 
+def size_bins(size: np.ndarray) -> np.ndarray:
+    """Number, modulo 256, of the logarithmic bin of each size; sets of one key differ by far less than 128 bins."""
+    return (np.floor(np.log(np.maximum(size, 1)) / np.log(BIN)).astype(np.int64) % 256).astype(np.uint8)
+
+
 def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, key, flag) of all sets in all their bands; flag: 0 for keys that are only indexed,
     else 1 and how many of the set's probes may be left out (at most 254)."""
@@ -241,18 +248,19 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
         members = named(salt)
     largest = sets.agg(F.max("size")).first()[0] or 1
     bands = Bands(num, den, int(largest))
+    most_bins = ceil(log(den / num) / log(BIN))  # sets in bins further apart can't link
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key, name, flag = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, name, flag, bins = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             high = key >> np.uint64(24)  # 40 bits beside the target's
             target = ((key & np.uint64(0xFFFFFF)) % np.uint64(n_target)).astype(np.int64)
-            pairs = list(_by_target(target, n_target, (high & np.uint64(0xFFFFFFFF)).astype(np.uint32), (high >> np.uint64(32)).astype(np.uint8), name, flag))
+            pairs = list(_by_target(target, n_target, (high & np.uint64(0xFFFFFFFF)).astype(np.uint32), (high >> np.uint64(32)).astype(np.uint8), name, flag, bins))
             return _rows("target", pairs)
 
         for batch in batches:
@@ -266,7 +274,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
                 _, at = A.spread(begin[new_at], begin[new_at + 1])
                 sizes = np.diff(begin)[new_at]
                 who, key, flag = signatures(h[at], np.concatenate([[0], np.cumsum(sizes)]), bands)
-                held.append((key, names[new_at][who], flag))
+                held.append((key, names[new_at][who], flag, size_bins(sizes)[who]))
                 size += len(key)
                 if size > max(1 << 21, 64 * n_target):
                     yield flush()
@@ -275,31 +283,34 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             yield flush()
 
     def candidates(table: pa.Table) -> pa.Table:
-        low, high, ids, flag = joined(table.column("blob").to_pylist(), "u4 u1 u8 u1")
+        low, high, ids, flag, bins = joined(table.column("blob").to_pylist(), "u4 u1 u8 u1 u1")
         key = high.astype(np.uint64) << np.uint64(32) | low
         order = np.lexsort((flag, ids, key))
-        key, ids, flag = key[order], ids[order], flag[order]
+        key, ids, flag, bins = key[order], ids[order], flag[order], bins[order]
         keep = np.ones(len(key), bool)  # of a set that comes from several tasks, the last: as probe if any is
         keep[:-1] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, ids, flag = key[keep], ids[keep], flag[keep]
+        key, ids, flag, bins = key[keep], ids[keep], flag[keep], bins[keep]
         probe = flag > 0
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(key)))
         n_probe = np.add.reduceat(probe.astype(np.int64), head) if len(head) else size
         live = (size > 1) & (n_probe > 0)
         many = live & (n_probe * (size - 1) > PIVOT_PAIRS)
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # places of pairs
         small = np.flatnonzero(live & ~many)
         owner, left = A.spread(head[small], head[small] + size[small])
         owner, left = owner[probe[left]], left[probe[left]]
         again, right = A.spread(head[small][owner], (head + size)[small][owner])
-        a.append(ids[left[again]])
-        b.append(ids[right])
+        a.append(left[again])
+        b.append(right)
         big = np.flatnonzero(many)
         owner, at = A.spread(head[big], head[big] + size[big])
-        a.append(ids[head[big][owner]])
-        b.append(ids[at])
+        a.append(head[big][owner])
+        b.append(at)
         x, y = np.concatenate(a), np.concatenate(b)
+        apart = (bins[x] - bins[y]).astype(np.int8)  # numbers of bins are known modulo 256
+        near = np.abs(apart.astype(np.int64)) <= most_bins
+        x, y = ids[x[near]], ids[y[near]]
         pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y], axis=0)
         x, y = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
         kinds = [(k, raw, 0) for k, raw in _by_target((x % np.uint64(n_bucket)).astype(np.int64), n_bucket, x, y)]
@@ -429,7 +440,9 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             bucket = (b.column("id").to_numpy().view(np.uint64) % np.uint64(n_bucket)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns], names=["bucket", *b.schema.names])
 
+    tidied(docs.sparkSession)
     edges = verified(found.where("kind = 0").select("bucket", "blob"))
+    tidied(docs.sparkSession)
     label = components(sets, edges)
 
     shared = found.where("kind = 1")
@@ -443,14 +456,20 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
 
         label = checkpointed(label)
         inside = shared.select("blob").mapInArrow(opened, "group long, id long, flag int").join(label, "id")
-        mixed = inside.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("first")).where("x <> y")
-        bad = checkpointed(_salted(inside, mixed.select("group", "first"), "group"))
-        # open: sets with more such keys than they can leave out (keys of a short set, flag 1: none)
-        open_ = checkpointed(bad.where("flag > 0").groupBy("id", "flag").agg(F.count("*").alias("n")).where("n >= flag").groupBy("id").agg(F.lit(1).alias("_one")).select("id"))
-        if not open_.isEmpty():
-            asked = bad.where("flag > 0").join(open_, "id", "left_semi").select("group", "id", F.lit(True).alias("open"))
-            groups = asked.groupBy("group").agg(F.lit(1).alias("_one")).select("group")
-            near = _salted(bad, groups, "group").join(asked, ["group", "id"], "left")
+        mixed = inside.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("first"), F.count("*").alias("many")).where("x <> y")
+        bad = checkpointed(_salted(inside, mixed.select("group", "first", "many"), "group"))
+        # a set leaves out the commonest of these keys, flag - 1 of them (of a short set, flag 1: none)
+        own = Window.partitionBy("id", "flag")
+        ranked = bad.where("flag > 0").select("group", "id", "flag", "first", F.row_number().over(own.orderBy(F.desc("many"), "group")).alias("rank"))
+        asked = checkpointed(ranked.where("rank >= flag").select("group", "id", "first", F.lit(True).alias("open")))
+        if not asked.isEmpty():
+            # keys that share open sets share a cluster: twice, the least name among the keys of its open sets
+            cluster = asked.withColumnRenamed("first", "cluster")
+            for _ in range(2):
+                by_set = cluster.groupBy("id").agg(F.min("cluster").alias("cluster"))
+                by_key = cluster.select("group", "id").join(by_set, "id").groupBy("group").agg(F.min("cluster").alias("cluster"))
+                cluster = cluster.select("group", "id").join(by_key, "group")
+            near = _salted(bad.drop("first"), by_key.withColumnRenamed("cluster", "first"), "group").join(asked.drop("first"), ["group", "id"], "left")
             near = near.groupBy("id", "first").agg(F.first("component").alias("component"), F.coalesce(F.max("open"), F.lit(False)).alias("open"))
             label = components(sets, edges.union(across(checkpointed(near.join(sets.select("id", "size"), "id")))))
     least = sets.join(label, "id").select("id", "component", "least")
