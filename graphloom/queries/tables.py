@@ -124,6 +124,15 @@ def slug_map_over_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.slug_map(inputs, r"urn:sfi:(\d+)", "urn:label", "urn:place:")
 
 
+@query("""SELECT '<urn:c:' || c_custkey || '> <urn:p> <' || CASE WHEN n_nationkey % 2 = 0 THEN 'urn:place:' || lower(n_name) ELSE 'urn:sfi:' || n_nationkey END || '> <' ||
+    CASE WHEN c_custkey % 10 % 2 = 0 THEN 'urn:place:nation_' || (c_custkey % 10) ELSE 'urn:sfi:' || (c_custkey % 10) END || '> .' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def rewrite_many_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several addresses a line, those that have a new one replaced."""
+    mapping = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("urn:sfi:"), "n_nationkey").alias("old"), F.concat(F.lit("urn:place:"), F.lower("n_name")).alias("new"))
+    line = F.format_string("<urn:c:%d> <urn:p> <urn:sfi:%d> <urn:sfi:%d> .", "c_custkey", "c_nationkey", F.col("c_custkey") % 10)
+    return dump.rewrite_iris(table(spark, sf_dir, "customer").select(line.alias("line")), mapping, r"urn:sfi:\d+")
+
+
 # --- aggregates ----------------------------------------------------------------------------
 
 
