@@ -66,7 +66,10 @@ def inverted_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.inverted_index(docs, "doc_id", "text", only=_TERMS), _TERMS, "doc_id", docs.count())
 
 
-@query()
+@query(f"""WITH i AS (SELECT doc_id, term, count(*) AS tf FROM {_TOKENS} GROUP BY 1, 2), w(wanted) AS (VALUES ('erthion'), ('thean')),
+    h AS (SELECT wanted, doc_id, sum(tf) AS tf FROM i JOIN w ON term = wanted OR levenshtein(term, wanted) <= 1 GROUP BY 1, 2),
+    d AS (SELECT wanted, count(*) AS df FROM h GROUP BY 1), n AS (SELECT count(*) AS total FROM documents)
+    SELECT doc_id, round(sum(tf * ln(1 + total / df)), 6) AS score FROM h JOIN d USING (wanted), n GROUP BY 1 HAVING count(*) = 2""")
 def typo_tolerant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return search.search(search.inverted_index(docs, "doc_id", "text"), ["erthion", "thean"], "doc_id", docs.count(), typos=1)
