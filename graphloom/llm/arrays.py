@@ -23,7 +23,7 @@ _INVERSE = U64(pow(int(_ODD), -1, 1 << 64))
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Bytes of text handled at once; a longer single document is its own chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

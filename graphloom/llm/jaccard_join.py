@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
 from graphloom.llm.frames import buckets, checkpointed, components, small_batches, tidied
-from graphloom.llm.repeats import _by_target, _rows, _table, joined, packed
+from graphloom.llm.repeats import _by_target, _rows, joined, packed
 
 #: A key with more pairs than this uses a pivot first.
 PIVOT_PAIRS = 12
@@ -425,7 +425,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             size = np.array([len(x) for x in own], np.int64)
             both = shared_counts([own[k] for k in left], [own[k] for k in right])
             close = np.empty(both.shape, bool)
-            for k in range(0, len(left), 256):  # (n + den) * shared >= n * (sum of sizes), in whole numbers
+            for k in range(0, len(left), 256):  # (num + den) * shared >= num * (sum of sizes), in whole numbers
                 part = both[k : k + 256].astype(np.int64)
                 close[k : k + 256] = (num + den) * part >= num * (size[left[k : k + 256]][:, None] + size[right][None, :])
             moved, to = merged_components(close, comp[left], comp[right])
