@@ -128,11 +128,13 @@ STOP_WORDS = "a about after all also am an and any are as at be because been but
 
 
 def tokens(x: Column, stop: list[str] | None = None) -> Column:
-    """Words of three letters or more (inner ' and - allowed), lower case, without stop words."""
-    found = F.regexp_extract_all(F.lower(x), F.lit("([a-z][a-z'-]{2,})"), F.lit(1))
-    clean = F.transform(found, lambda t: F.btrim(F.replace(t, F.lit("'"), F.lit("")), F.lit("-")))
-    words = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
-    return F.filter(clean, lambda t: (F.length(t) >= 3) & ~F.array_contains(words, t))
+    """Words of three letters or more (inner - allowed, ' taken out), lower case, without stop words.
+
+    One pattern over the text; stop words are looked up in a set.
+    """
+    found = F.regexp_extract_all(F.replace(F.lower(x), F.lit("'"), F.lit("")), F.lit("([a-z][a-z-]+[a-z])"), F.lit(1))
+    words = STOP_WORDS if stop is None else stop
+    return F.filter(found, lambda t: ~t.isin(list(words))) if words else found
 
 
 def combined(*parts: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import Config
 from graphloom.functions import lexicon
+from graphloom.functions.text import tokens
 from graphloom.operators import coref, dump, entities, pipeline_tables, quality, search, similarity
 from graphloom.plans import sparql
 from graphloom.session import scratch
@@ -269,3 +270,14 @@ def test_config(spark, tmp_path):
     assert c.path("events_parquet") == "/home/x/data/e.parquet" and c.path("out") == "s3://b/out"
     assert c.get("build", "interview_ids") == "all" and c.get("build", "none", 3) == 3 and c.get("other", "x") is None
     assert Config.of({"paths": {"workspace_root": "/r", "a": "b"}}, "/h").path("a") == "/r/b"
+
+
+def test_tokens_against_a_plain_loop(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcABx--'' é1\n", k=rng.randrange(0, 40))) for _ in range(3000)] + [None, "", "it's rock'n'roll -- the o'-x a--b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r["k"]: r["w"] for r in df.select("k", tokens(F.col("t"), ["abc", "the"]).alias("w")).collect()}
+    for k, t in enumerate(texts):
+        if t is not None:
+            clean = [w.replace("'", "").strip("-") for w in re.findall(r"[a-z][a-z'-]{2,}", t.lower())]
+            assert got[k] == [w for w in clean if len(w) >= 3 and w not in ("abc", "the")], t
