@@ -16,8 +16,8 @@ def norm(x: Column) -> Column:
 
 def normalised(x: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
-    n = norm(x)
-    return F.transform(x, lambda v: v.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    scaled = lambda n: F.transform(x, lambda v: v.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return F.get(F.transform(F.array(norm(x)), scaled), F.lit(0))  # the norm is made once a vector
 
 
 def cosine(x: Column, y: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import dot, normalised
+from graphloom.functions.vectors import dot
 from graphloom.operators.ordered import top_k
 
 
@@ -14,12 +14,13 @@ def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: i
 
     A group is cut into blocks; two blocks meet once, as a matrix product that gives the k
     nearest in either direction, and those are merged.  Ties in score go to the lesser key.
-    Rows without group, key or vector, and vectors of another length, aren't compared.
+    Rows without group, key or vector, vectors with a null and vectors of another length aren't
+    compared; a zero vector scores 0.
     """
     import numpy as np
     import pyarrow as pa
 
-    unit = vectors.select(F.col(group).alias("group"), F.col(key).alias("key"), normalised(F.col(embedding)).alias("v"))
+    unit = vectors.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(embedding).alias("v"))
     unit = unit.where("group IS NOT NULL AND key IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
     sizes = unit.groupBy("group", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
     placed = unit.join(sizes, ["group", "dim"]).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
@@ -29,13 +30,15 @@ def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: i
 
     def near(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).astype(float)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = x / np.where(length == 0, 1.0, length)
         keys, mine = table.column("key").combine_chunks(), table.column("mine").to_numpy()
         low, high = (np.flatnonzero(mine == table.column(c)[0].as_py()) for c in ("low", "high"))
         ids = keys.dictionary_encode().indices.to_numpy()
         found = []
         for a, b in [(low, high)] + [(high, low)] * (not np.array_equal(low, high)):
-            score = np.round(x[a] @ x[b].T, 6)
+            score = np.nan_to_num(np.round(x[a] @ x[b].T, 6), nan=-np.inf)
             score[ids[a][:, None] == ids[b][None, :]] = -np.inf
             if score.size:
                 i, j = _best(score, k)
