@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, embedding_dedup, fingerprint, jaccard_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from graphloom.llm import bpe, compaction, conversations, embedding_dedup, fingerprint, jaccard_join, packing, pii, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from graphloom.llm.corpus_rules import URL_RULES
 from graphloom.llm.frames import table
 from graphloom.llm.linear import fold
@@ -73,6 +73,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted(table(spark, sf_dir, "clicks"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
@@ -86,4 +98,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_pii": op11_pii,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_compaction": op13_compaction,
 }
