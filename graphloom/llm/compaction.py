@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.frames import checkpointed, free_name, shared_folder
+from graphloom.llm.frames import checkpointed, free_name, quoted, shared_folder
 
 #: Parts of a day's rows where its number of rows meets them.
 SALTS = 32
@@ -47,14 +47,14 @@ def dealt(df: DataFrame, total: int, at: str, key: str, day: str, lot: str, piec
     of nothing, 0) gives lot, floor(h / 16) modulo 1 + floor(rows of the day / S(lots)), and
     piece, the lesser of two base-4 digits of h.  A day's number of rows meets them salted.
     """
-    h, salt, n = (free_name([*df.columns, day, lot, piece], c) for c in ("_h", "_salt", "_n"))
+    h, salt, n, same_day, same_salt = (free_name([*df.columns, day, lot, piece], c) for c in ("_h", "_salt", "_n", "_d", "_s"))
     keyed = df.withColumns({day: F.unix_date(F.col(at).cast("date")).cast("long"), h: F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))})
     keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(h), F.lit(SALTS)).cast("int"))
-    sizes = keyed.groupBy(F.col(day).alias("d")).agg(F.count("*").alias(n)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = keyed.join(sizes.hint("merge"), F.col(day).eqNullSafe(F.col("d")) & (F.col(salt) == F.col("s")))
+    sizes = keyed.groupBy(F.col(day).alias(same_day)).agg(F.count("*").alias(n)).withColumn(same_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = keyed.join(sizes.hint("merge"), F.col(day).eqNullSafe(F.col(same_day)) & (F.col(salt) == F.col(same_salt)))
     low = lambda by: F.floor(F.col(h) / by) % 4
     made = {lot: F.floor(F.col(h) / 16) % (1 + F.floor(F.col(n) / share(total, lots))), piece: F.least(low(1), low(4))}
-    return out.withColumns(made).select(*df.columns, day, lot, piece)
+    return out.withColumns(made).select(*quoted(df.columns), day, lot, piece)
 
 
 class Group:

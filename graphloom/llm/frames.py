@@ -67,6 +67,11 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """The names as select() takes them, whatever they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def buckets(rows: int, each: int = 2000, least: int = 96) -> int:
     """How many buckets keep about `each` documents in one; grows with the input."""
     return max(least, -(-rows // each))

@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from graphloom.llm import arrays as A
-from graphloom.llm.frames import checkpointed, free_name, small_batches
+from graphloom.llm.frames import checkpointed, free_name, quoted, small_batches
 from graphloom.llm.linear import WORDLIKE
 
 KINDS = ("email", "ip", "card", "phone")
@@ -237,7 +237,7 @@ def personal_spans(docs: DataFrame, keep: list[str] | None = None, text: str = "
     wanted = bloom(rules)
     some = bool(wanted.bits.any())
     columns = [c for c in keep or docs.columns if c not in ("_base", "_added", "_hits")]
-    read = docs.select(*(f"`{c}`" for c in columns if c != text), F.col(f"`{text}`"))
+    read = docs.select(*quoted([*(c for c in columns if c != text), text]))
     row = free_name([*columns, "_base", "_added", "_hits"], "_row")
     shape = StructType([*(docs.schema[c] for c in columns), StructField("_base", _SPANS), StructField("_hits", _HITS)])
     kinds = [f.type for f in to_arrow_schema(shape)][-2:]
@@ -258,7 +258,7 @@ def personal_spans(docs: DataFrame, keep: list[str] | None = None, text: str = "
     hits = found.where(with_any).select(row, F.explode("_hits").alias("h")).select(row, "h.*").join(rules.select("t", "action"), "t")
     span = F.struct("start", (F.col("action") + len(KINDS)).cast("long").alias("kind"), "end")
     added = hits.groupBy(row).agg(F.sort_array(F.collect_list(span)).alias("_added"))
-    out = [*(f"`{c}`" for c in columns), "_base", "_added"]
+    out = [*quoted(columns), "_base", "_added"]
     plain = found.where(~with_any).withColumn("_added", none)
     return plain.select(*out).union(found.where(with_any).join(added, row, "left").withColumn("_added", F.coalesce("_added", none)).select(*out))
 
