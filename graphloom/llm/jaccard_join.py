@@ -45,6 +45,8 @@ PIVOT_PAIRS = 12
 BLOCK, BLOCK_SHINGLES, STEP = 2048, 1 << 20, 1024
 #: Ratio of one bin of sizes.
 BIN = 1.02
+#: Buckets that one copy of a text is sent for.
+SENDS = 64
 #: Parts of a hot group's rows in a join by its key.
 SALTS = 32
 
@@ -363,9 +365,20 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, shingle:
             order = np.argsort(ids, kind="stable")
             at = order[np.searchsorted(ids[order], name)] if len(name) else np.zeros(0, np.int64)
             raw = left.column("zipped")
-            return pa.table({"bucket": pa.array(to.astype(np.int32)), "blob": pa.array([packed(name[k : k + 1], np.frombuffer(raw[int(i)].as_py(), np.uint8)) for k, i in enumerate(at)], pa.binary()), "kind": pa.array(np.full(len(to), 2, np.int32))})
-
-        sent = texts.cogroup(asked.where("kind = 0").groupBy("bucket")).applyInArrow(send, "bucket int, blob binary, kind int")
+            # one copy for as many as SENDS buckets; the copies themselves are made one at a time, by explode
+            turn = np.lexsort((to, name))
+            name, to, at = name[turn], to[turn].astype(np.int32), at[turn]
+            begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            ends = np.append(begin, len(name))
+            owner, _ = A.spread(np.zeros(len(begin), np.int64), -(-np.diff(ends) // SENDS))
+            part = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            low = begin[owner] + part * SENDS
+            high = np.minimum(low + SENDS, ends[owner + 1])
+            blobs = [packed(name[a : a + 1], np.frombuffer(raw[int(at[a])].as_py(), np.uint8)) for a in low]
+            return pa.table({"to": pa.array([to[a:b] for a, b in zip(low, high, strict=True)], pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary())})
+
+        sent = texts.cogroup(asked.where("kind = 0").groupBy("bucket")).applyInArrow(send, "to array<int>, blob binary")
+        sent = sent.select(F.explode("to").alias("bucket"), "blob", F.lit(2).alias("kind"))
 
         def test(left: pa.Table, right: pa.Table) -> pa.Table:
             what = np.array(right.column("kind").to_pylist(), np.int64)

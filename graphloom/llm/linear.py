@@ -24,23 +24,27 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, sample_docs: int, sample_bytes: int, seed: int = 7) -> DataFrame:
-    """(text, label) of at most sample_docs labelled rows outside fold 0, of at most sample_bytes.
+    """(text, label) of at most sample_docs labelled ids outside fold 0, of at most sample_bytes.
 
-    Chosen by a hash of the id, so the choice doesn't depend on order or partitions.  Rows
-    with a null id, text or label are left out; of an id labelled twice the largest label counts.
+    Chosen by a hash of the id, so the choice doesn't depend on order or partitions; the first
+    of them is taken even if it alone has more bytes.  Of an id with several rows the text
+    of least hash counts, once; of an id labelled twice the largest label.  Rows with a
+    null id, text or label are left out.
     """
     mark = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (fold(F.col(doc_id)) != 0))
     mark = mark.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    ids = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.octet_length(text).alias("_n"))
-    first = ids.join(mark, "_id").orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(sample_docs)
+    named = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
+    ids = named.select("_id", "_h", F.octet_length("text").alias("_n")).groupBy("_id").agg(F.min(F.struct("_h", "_n")).alias("row"))
+    first = ids.join(mark, "_id").select("_id", "_y", "row.*").orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(sample_docs)
     total, chosen = 0, []
     for row in first.collect():  # bounded by sample_docs
         total += row["_n"]
         if total > sample_bytes and chosen:
             break
-        chosen.append((row["_id"], row["_y"]))
-    picked = docs.sparkSession.createDataFrame(list(dict(chosen).items()), f"_id {docs.schema[doc_id].dataType.simpleString()}, _y int")
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").select("_id", "text", F.col("_y").alias("label"))
+        chosen.append((row["_id"], row["_h"], row["_y"]))
+    picked = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema[doc_id].dataType.simpleString()}, _h long, label int")
+    # rows that repeat an id and its text are one: joined in each task, then once more
+    return named.join(F.broadcast(picked), ["_id", "_h"]).groupBy("_id", "label").agg(F.min("text").alias("text")).select("_id", "text", "label")
 
 
 # --- hashed word n-grams and skip-grams -------------------------------------------------

@@ -22,9 +22,10 @@ anchor's place.  Beyond WIDEST buckets the parts are smaller, for words single w
 that surroundings that differ meet in different places.  Both ends know from step 1 which
 anchors these are, and no window is left out.
 
-Equal runs are told by 64-bit hashes of anchor and content and compared token by token
-wherever two are taken for one; should they differ, the job ends with an ArithmeticError and
-another `salt` gives other hashes.
+Runs travel with their text: bytes, or words with one space behind each.  Equal runs are told
+by 64-bit hashes of anchor and content and compared byte by byte wherever two are taken for
+one; should they differ, the job ends with an ArithmeticError and another `salt` gives other
+hashes.  Resolvers compare the text too, so no word is taken for another.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ class Runs:
     doc: np.ndarray  # earliest place: document and first token
     start: np.ndarray
     count: np.ndarray  # number of places
-    tokens: np.ndarray  # of all runs, one after the other
-    begin: np.ndarray  # n + 1
+    text: np.ndarray  # bytes of all runs, one after the other
+    begin: np.ndarray  # n + 1, in bytes
 
 
 #: (run, first window, end window, document, start): these windows are removed wherever they start later than the place.
@@ -125,6 +126,18 @@ class Cut:
     prefix: A.Prefix
     span: tuple[np.ndarray, np.ndarray] | None
 
+    def spelt(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's tokens as text, words with one space behind each, and where each begins (n + 1)."""
+        if self.span is None:
+            return data, np.arange(len(data) + 1)
+        start, end = self.span
+        _, at = A.spread(start, end + 1)
+        text = np.append(data, np.uint8(0x20))[at]
+        edge = np.concatenate([[0], np.cumsum(end - start + 1)])
+        if len(start):
+            text[edge[1:] - 1] = 0x20
+        return text, edge
+
     def only(self, which: np.ndarray) -> Cut:
         """These runs alone."""
         return Cut(self.first, self.doc[which], self.at[which], self.start[which], self.last[which], self.hash[which], self.values, self.prefix, self.span)
@@ -177,18 +190,20 @@ def _found(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
 
 
-def _same_tokens(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, head: np.ndarray) -> None:
-    """Compares the runs that are taken for one: `order` lists runs (begin, size), `head` where each distinct one begins in it."""
+def gathered(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The slices [begin, end), one after the other."""
+    return np.concatenate([np.zeros(0, text.dtype), *(text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))])
+
+
+def _same_text(text: np.ndarray, begin: np.ndarray, end: np.ndarray, order: np.ndarray, head: np.ndarray) -> None:
+    """Compares the runs that are taken for one: `order` lists runs (begin, end), `head` where each distinct one begins in it."""
     times = np.diff(np.append(head, len(order)))
     first = np.repeat(order[head], times)
     again = first != order
-    one, other = first[again], order[again]
-    good = (size[one] == size[other]).all()
-    if good and len(one):
-        owner, k = A.spread(np.zeros(len(one), np.int64), size[one])
-        good = (tokens[begin[one][owner] + k] == tokens[begin[other][owner] + k]).all()
-    if not good:
-        raise ArithmeticError("different runs have equal hashes; choose another salt")
+    raw = memoryview(np.ascontiguousarray(text)).cast("B")
+    for one, other in zip(first[again].tolist(), order[again].tolist(), strict=True):
+        if raw[begin[one] : end[one]].tobytes() != raw[begin[other] : end[other]].tobytes():
+            raise ArithmeticError("different runs have equal hashes; choose another salt")
 
 
 def _by_target(target: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -232,7 +247,10 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     n_bucket, n_target = max(buckets(total), -(-size // BUCKET_BYTES)), buckets(total, 10_000)
     key_name, bucket_name = (free_name(docs.columns, c) for c in ("_key", "_bucket"))
-    rows = docs.select("*", key.alias(key_name), F.pmod(F.xxhash64(key, F.col(text)), F.lit(n_bucket)).cast("int").alias(bucket_name))
+    # a row's bucket is told by its content, as it is asked twice; rows without text are never asked and lie anywhere
+    bare = F.coalesce(F.octet_length(text), F.lit(0)) == 0
+    place = F.when(bare, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(key, F.col(text)))
+    rows = docs.select("*", key.alias(key_name), F.pmod(place, F.lit(n_bucket)).cast("int").alias(bucket_name))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -293,12 +311,12 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
             # the earliest place of each distinct run, and the number of places
             rank = np.lexsort((start, doc, content, c.hash))
             count = np.diff(np.append(begin, len(order)))
-            every = (c.values >> A.U64(32)).astype(np.uint32) if by.words else d
-            _same_tokens(every, c.start, c.last + by.length - c.start, rank, begin)
+            spelt, edge = c.spelt(d)
+            low, high = edge[c.start], edge[c.last + by.length]
+            _same_text(spelt, low, high, rank, begin)
             pick = rank[begin]
-            s, e = c.start[pick], c.last[pick] + by.length
-            _, at = A.spread(s, e)
-            found.append((c.hash[pick], content[pick], (c.at - c.start)[pick], e - s - by.length + 1, doc[pick], start[pick], count, every[at], e - s))
+            n_windows = (c.last - c.start)[pick] + 1
+            found.append((c.hash[pick], content[pick], (c.at - c.start)[pick], n_windows, doc[pick], start[pick], count, gathered(spelt, low[pick], high[pick]), (high - low)[pick]))
         parts = [np.concatenate([f[k] for f in found]) for k in range(9)]
         merged = _merge(Runs(*parts[:8], np.concatenate([[0], np.cumsum(parts[8])])))
         target = (merged.anchor % A.U64(n_target)).astype(np.int64)
@@ -308,19 +326,17 @@ def repeated_windows(docs: DataFrame, by: Tokens, resolve: Resolver, apply: Call
         out = []
         for k in np.flatnonzero(np.diff(edge)):
             pick = order[edge[k] : edge[k + 1]]
-            _, at = A.spread(merged.begin[pick], merged.begin[pick + 1])
             m = merged
             out.append((int(k), packed(
                 m.anchor[pick], m.content[pick], m.shift[pick].astype(np.int16), m.windows[pick].astype(np.int16), m.doc[pick], m.start[pick].astype(np.int64),
-                m.count[pick].astype(np.int64), m.tokens[at], np.full(len(pick), bucket, np.int32),
+                m.count[pick].astype(np.int64), gathered(m.text, m.begin[pick], m.begin[pick + 1]), np.diff(m.begin)[pick].astype(np.int32), np.full(len(pick), bucket, np.int32),
             )))
         return _table("target", out)
 
     def resolved(table: pa.Table) -> pa.Table:
-        kinds = "u8 u8 i2 i2 i8 i8 i8 " + ("u4" if by.words else "u1") + " i4"
-        anchor, content, shift, windows, doc, start, count, tokens, bucket = joined(table.column("blob").to_pylist(), kinds)
-        begin = np.concatenate([[0], np.cumsum(windows.astype(np.int64) + by.length - 1)])
-        every = Runs(anchor, content, shift.astype(np.int64), windows.astype(np.int64), doc, start, count, tokens, begin)
+        anchor, content, shift, windows, doc, start, count, text, size, bucket = joined(table.column("blob").to_pylist(), "u8 u8 i2 i2 i8 i8 i8 u1 i4 i4")
+        begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+        every = Runs(anchor, content, shift.astype(np.int64), windows.astype(np.int64), doc, start, count, text, begin)
         one = _merge(every)
         which, lo, hi, at_doc, at_start = resolve(one, by.length)
         # back to every bucket that has the run
@@ -383,14 +399,12 @@ def _merge(r: Runs) -> Runs:
     order, begin = _distinct((r.anchor, r.content))
     if not len(order):
         return r
-    _same_tokens(r.tokens, r.begin[:-1], np.diff(r.begin), order, begin)
+    _same_text(r.text, r.begin[:-1], r.begin[1:], order, begin)
     first = np.lexsort((r.start, r.doc, r.content, r.anchor))[begin]
     count = np.add.reduceat(r.count[order], begin)
-    _, at = A.spread(r.begin[first], r.begin[first + 1])
-    size = r.begin[first + 1] - r.begin[first]
-    return Runs(
-        r.anchor[first], r.content[first], r.shift[first], r.windows[first], r.doc[first], r.start[first], count, r.tokens[at], np.concatenate([[0], np.cumsum(size)])
-    )
+    low, high = r.begin[first], r.begin[first + 1]
+    text = gathered(r.text, low, high)
+    return Runs(r.anchor[first], r.content[first], r.shift[first], r.windows[first], r.doc[first], r.start[first], count, text, np.concatenate([[0], np.cumsum(high - low)]))
 
 
 def grouped(r: Runs) -> tuple[np.ndarray, np.ndarray]:

@@ -90,7 +90,9 @@ def earliest_windows(runs: Runs, length: int) -> Answers:
     for a, b in zip(edges[:-1], edges[1:], strict=False):
         shard = mixed[a:b]
         automaton = SuffixAutomaton()
-        texts = [runs.tokens[runs.begin[r] : runs.begin[r + 1]].tolist() for r in shard]
+        number: dict[bytes, int] = {}  # words by their bytes
+        words = [runs.text[runs.begin[r] : runs.begin[r + 1]].tobytes().split(b" ")[:-1] for r in shard]
+        texts = [[number.setdefault(w, len(number)) for w in t] for t in words]
         for t in texts:
             automaton.add(t)
         streams = [automaton.matches(t, length)[length - 1 :] for t in texts]

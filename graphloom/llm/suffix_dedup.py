@@ -107,9 +107,9 @@ def repeated_runs(runs: Runs, length: int) -> Answers:
         own = group[mixed]
         begin, end = runs.begin[mixed], runs.begin[mixed + 1]
         anchor = begin + runs.shift[mixed]
-        prefix = A.Prefix(A.BYTE[runs.tokens])
-        order_r, lcp_r = neighbours(runs.tokens, prefix, anchor, end - anchor, own)
-        flipped = np.ascontiguousarray(runs.tokens[::-1])
+        prefix = A.Prefix(A.BYTE[runs.text])
+        order_r, lcp_r = neighbours(runs.text, prefix, anchor, end - anchor, own)
+        flipped = np.ascontiguousarray(runs.text[::-1])
         back = A.Prefix(A.BYTE[flipped])
         n = len(flipped)
         order_l, lcp_l = neighbours(flipped, back, n - anchor, anchor - begin, own)

@@ -431,3 +431,70 @@ def test_classifiers(spark):
     none = marks.limit(0)
     assert {r["score"] for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, none)).collect()} == {0.5}
     assert quality.score_quality(df.limit(0), quality.fit_quality(df, none)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def colliding_words():
+    """Pairs of words whose 64-bit hashes agree in their upper 32 bits."""
+    words = [f"word{k}" for k in range(400_000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, end, _ = A.words(raw, np.array([0, len(raw)]))
+    high = A.word_hashes(raw, start, end) >> np.uint64(32)
+    order = np.argsort(high, kind="stable")
+    same = np.flatnonzero(high[order][1:] == high[order][:-1])
+    return [(words[order[k]], words[order[k + 1]]) for k in same]
+
+
+def test_substring_dedup_tells_colliding_words_apart(spark, colliding_words):
+    """Documents that differ only in words with alike hashes keep all their words."""
+    assert len(colliding_words) > 5
+    rng = random.Random(2)
+    rows = []
+    for a, b in colliding_words[:8]:
+        lead = sentence(rng, 19)
+        rows += [(len(rows), f"{lead} {a}"), (len(rows) + 1, f"{lead} {b}"), (len(rows) + 2, f"{lead}\n{a} end")]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_word_digests(docs(spark, rows)).collect()}
+    for (i, _), (w, kept, n) in zip(rows, brute.kept_words(rows, 20)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), n, brute.sha(" ".join(kept).encode())), i
+    assert sum(r["n_removed"] for r in got.values()) == 8 * 20
+
+
+def test_automaton_numbers_words_by_their_bytes(colliding_words):
+    """Runs of one anchor in one shard whose last words have alike hashes share no window."""
+    a, b = (" ".join([*(f"x{k}" for k in range(19)), w, ""]).encode() for w in colliding_words[0])
+    ones = np.ones(2, np.int64)
+    text = np.frombuffer(a + b, np.uint8)
+    runs = repeats.Runs(np.zeros(2, np.uint64), np.arange(2).astype(np.uint64), ones, ones, np.arange(2), ones, ones, text, np.array([0, len(a), len(a) + len(b)]))
+    which, lo, hi, doc, start = substring_dedup.earliest_windows(runs, 20)
+    assert list(zip(which, doc)) == [(0, 0), (1, 1)]
+
+
+def test_rows_without_text_lie_anywhere(spark):
+    """A third of all rows with null ids and texts is spread over buckets, and none is lost."""
+    rows = [(None, None)] * 300 + [(None, "")] * 100 + [(k, f"{k} {sentence(random.Random(3), 25)}") for k in range(600)]
+    got = substring_dedup.repeated_word_digests(docs(spark, rows)).collect()
+    assert len(got) == 1000 and sum(r["n_removed"] > 0 for r in got) == 599
+    assert sum(r["doc_id"] is None for r in got) == 400
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    from graphloom.llm.linear import fold, sample_rows
+
+    rows = [(7, f"text {k % 900}") for k in range(5000)] + [(k, "x" * 50) for k in range(100, 400)] + [(None, "n"), (3, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in [7, 3, *range(100, 400)]] + [(7, 1), (7, 0)], "doc_id long, toxic int")
+    seven = spark.range(1).select((fold(F.lit(7)) != 0).alias("in")).first()["in"]
+    got = sample_rows(docs(spark, rows), labels, "toxic", "doc_id", "text", 100, 1 << 20).collect()
+    assert len(got) == 100 and len({r["_id"] for r in got}) == 100
+    every = sample_rows(docs(spark, rows), labels, "toxic", "doc_id", "text", 1000, 1 << 20).collect()
+    assert sum(r["_id"] == 7 for r in every) == seven and all(r["label"] == (1 if r["_id"] == 7 else r["_id"] % 2) for r in every)
+    assert sum(len(r["text"]) for r in sample_rows(docs(spark, rows), labels, "toxic", "doc_id", "text", 1000, 2000).collect()) <= 2000
+
+
+def test_a_pivot_with_partners_in_many_buckets(spark, monkeypatch):
+    """One text is sent to all its partners' buckets, few buckets a copy."""
+    monkeypatch.setattr(jaccard_join, "SENDS", 3)
+    rng = random.Random(11)
+    base = sentence(rng, 120, 10_000).split()
+    rows = [(k, " ".join([*base[: k % 40], f"new{k}", *base[k % 40 :]])) for k in range(150)] + [(200 + k, sentence(rng, 60)) for k in range(20)]
+    got = sorted(tuple(r) for r in jaccard_join.similarity_classes(docs(spark, rows)).collect())
+    assert got == sorted(brute.jaccard_components(rows))

@@ -50,6 +50,7 @@ def test_stages_on_odd_tables(spark, sf_dir, tmp_path):
     rows = good.unionByName(odd, allowMissingColumns=True)
     for name in ("_score", "_key", "_row", "_bucket", "many", "least", "score"):
         rows = rows.withColumn(name, F.lit(7))
+    rows = rows.withColumns({"a.b": F.lit("dot"), "c`d": F.lit(1.5), "map": F.create_map(F.lit("k"), F.col("doc_id"))})
     for empty in (False, True):
         docs = rows.limit(0) if empty else rows
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
