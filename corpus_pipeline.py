@@ -9,7 +9,8 @@ further columns stay as they are, whatever their names; an empty table gives emp
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +20,34 @@ from graphloom.llm import jaccard_join, packing, quality, substring_dedup, toxic
 from graphloom.llm.frames import checkpointed, free_name, shared_folder, table
 
 
+def with_plain_names(stage: Callable) -> Callable:
+    """The stage with columns whose names aren't plain words (`a.b`) renamed while it works."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain: list[str] = []
+        for c in docs.columns:
+            plain.append(c if c.replace("_", "x").isalnum() else free_name([*docs.columns, *plain], "_c"))
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@with_plain_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below a half."""
     model, score = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "_score")
     return toxicity.score_toxicity(docs, model, out=score).where(F.col(score) < 0.5).drop(score)
 
 
+@with_plain_names
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that rank above the quality threshold."""
     model, score = quality.fit_quality(docs, table(spark, sf_dir, "labels"), cut=0.3), free_name(docs.columns, "_score")
     return quality.score_quality(docs, model, out=score).where(F.col(score) >= 0.3).drop(score)
 
 
+@with_plain_names
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of Jaccard similarity 0.8 or more: that of least id.
 
@@ -49,10 +66,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     many = held.where("many").select(row)
     if many.isEmpty():
         return kept
-    one = keyed.join(many, same, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("least"))
-    return kept.unionByName(one.select("least.*"))
+    # rows are told apart by what they hold, as text; maps and the like have no order
+    whole = F.struct(*docs.columns)
+    one = keyed.join(many, same, "left_semi").groupBy(own).agg(F.min_by(whole, F.to_json(whole)).alias("least"))
+    return kept.union(one.select(*(F.col("least")[c].alias(c) for c in docs.columns)))
 
 
+@with_plain_names
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words of 20-word windows that start earlier."""
     return substring_dedup.without_repeated_words(docs)
