@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import dot
 from graphloom.operators.ordered import top_k
+from graphloom.session import scratch
 
 
 def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: int = 5, threshold: float = 0.82, block_rows: int = 2000) -> DataFrame:
@@ -173,26 +176,28 @@ def _best(score, k: int):
 
 
 def nearest_of_all(
-    vectors: DataFrame, key: str, embedding: str, k: int, every: int = 20, cells: tuple[DataFrame, list[list[float]], int] | None = None, block_rows: int = 10_000, block_queries: int = 5000
+    vectors: DataFrame, key: str, embedding: str, k: int, every: int = 20, cells: tuple[DataFrame, list[list[float]], int] | None = None, block_rows: int = 20_000
 ) -> DataFrame:
     """query_id, key, score: the k rows of greatest inner product of each row whose key is divisible by `every`.
 
     A query meets all rows but those of its own key, or, with `cells` as assign_cells gives
     them, the rows of the cells that it probes.  Scores are rounded to 6 digits, ties go to
-    the lesser key.  Rows without key or vector take no part.  Blocks of rows meet blocks of
-    queries; a block has whole cells or shares of large ones, and returns k rows a query.
+    the lesser key.  Rows without key or vector take no part.  Rows are sent once, to
+    blocks of whole cells or shares of large ones; a task holds one block at a time and the
+    queries that reach it stream past, each giving k rows a block.
     """
     import heapq
 
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
     rows, centroids, probes = cells or (vectors.withColumn("cell", F.lit(0)), [], 0)
     centres = np.array(centroids)
-    rows = rows.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("key"), F.col(embedding).alias("v"), "cell", F.xxhash64(key).alias("at"))
+    rows = rows.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("v"), "cell", F.xxhash64(key).alias("at"))
     size = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most one row a cell
     total = sum(size.values())
-    n_block, n_part = max(32, -(-total // block_rows)), max(1, -(-total // (every * block_queries)))
+    n_block = max(32, -(-total // block_rows))
     share = max(1, -(-total // (2 * n_block)))
     shares = sorted(((-(-n // -(-n // share)), c) for c, n in size.items() for _ in range(-(-n // share))), reverse=True)
     heap, homes = [(0, b) for b in range(n_block)], {c: [] for c in size}
@@ -202,6 +207,7 @@ def nearest_of_all(
         heapq.heappush(heap, (held + n, b))
     blocks_of = {c: sorted(set(h)) for c, h in homes.items()}
     kind = vectors.schema[key].dataType.simpleString()
+    matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     @F.pandas_udf("int")
     def home(cell, at):
@@ -209,53 +215,130 @@ def nearest_of_all(
 
     def asked(batches):
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                some = batch.iloc[i : i + 500]
-                x = np.stack(some["v"].to_numpy()).astype(float)
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].tolist() if probes else [[0]] * len(x)
-                out = []
-                for q, v, at, visited in zip(some["key"], some["v"], some["at"], near):
+            for i in range(0, batch.num_rows, 500):
+                some = pa.Table.from_batches([batch.slice(i, 500)])
+                near = np.argsort(-(matrix(some.column("v")) @ centres.T), axis=1, kind="stable")[:, :probes].tolist() if probes else [[0]] * len(some)
+                row, block, visits = [], [], []
+                for j, visited in enumerate(near):
                     by_block: dict[int, list[int]] = {}
                     for c in visited:
                         for b in blocks_of.get(c, ()):
                             by_block.setdefault(b, []).append(c)
-                    out += [(b, at % n_part, q, v, found) for b, found in by_block.items()]
-                yield pd.DataFrame(out, columns=["block", "part", "query_id", "v", "visited"])
-
-    def met(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(rows):
-            rows = rows.sort_values(["cell", "key"], kind="stable")
-            x, ids, cell = np.stack(rows["v"].to_numpy()).astype(float), rows["key"].to_numpy(), rows["cell"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
+                    row += [j] * len(by_block)
+                    block += by_block
+                    visits += by_block.values()
+                at = pa.array(row, pa.int64())
+                yield from pa.table({"block": pa.array(block, pa.int32()), "key": some.column("key").take(at), "v": some.column("v").take(at), "visited": pa.array(visits, pa.list_(pa.int32()))}).combine_chunks().to_batches()
+
+    def met(batches):
+        """Rows of a block come before its queries."""
+        block, waiting, x, ids, cell, edge = None, [], None, None, None, None
+
+        def ready():
+            nonlocal x, ids, cell, edge, waiting
+            table = pa.Table.from_batches(waiting).sort_by([("cell", "ascending"), ("key", "ascending")])
+            x, ids, cell = matrix(table.column("v")), table.column("key").to_numpy(), table.column("cell").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            for i in range(0, len(queries), 250):
-                some = queries.iloc[i : i + 250]
-                q, q_ids = np.stack(some["v"].to_numpy()).astype(float), some["query_id"].to_numpy()
-                visitors: dict[int, list[int]] = {}
-                for j, visited in enumerate(some["visited"]):
-                    for c in visited:
-                        visitors.setdefault(int(c), []).append(j)
-                score = np.full((len(some), len(rows)), -np.inf)
-                for a, b in zip(edge[:-1], edge[1:]):
-                    who = visitors.get(int(cell[a]))
-                    if who:
-                        score[who, a:b] = np.round(q[who] @ x[a:b].T, 6)
-                score = score[:, by_id]
-                score[q_ids[:, None] == ids[by_id][None, :]] = -np.inf
-                j, c = _best(score, k)
-                found.append(pd.DataFrame({"query_id": q_ids[j], "key": ids[by_id][c], "score": score[j, c]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "key": [], "score": []})
-
-    parts = F.explode(F.sequence(F.lit(0), F.lit(n_part - 1)).cast("array<long>")).alias("part")
-    held = rows.select(home("cell", "at").alias("block"), "key", "v", "cell").select("*", parts)
-    queries = rows.where(F.col("key") % every == 0).select("key", "v", "at")
-    sent = queries.mapInPandas(asked, f"block int, part long, query_id {kind}, v array<double>, visited array<int>")
-    near = sent.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(met, f"query_id {kind}, key {kind}, score double")
+            waiting = []
+
+        def answers(some: pa.RecordBatch) -> pa.RecordBatch:
+            q, q_ids = matrix(pa.Table.from_batches([some]).column("v")), some.column("key").to_numpy(zero_copy_only=False)
+            visitors: dict[int, list[int]] = {}
+            for j, visited in enumerate(some.column("visited").to_pylist()):
+                for c in visited:
+                    visitors.setdefault(c, []).append(j)
+            by_id = np.argsort(ids, kind="stable")
+            score = np.full((len(q), len(ids)), -np.inf)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if who := visitors.get(int(cell[a])):
+                    score[who, a:b] = np.round(q[who] @ x[a:b].T, 6)
+            score = score[:, by_id]
+            score[q_ids[:, None] == ids[by_id][None, :]] = -np.inf
+            j, c = _best(score, k)
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[j]), pa.array(ids[by_id][c]), pa.array(score[j, c])], names=["query_id", "key", "score"])
+
+        for batch in batches:
+            places = batch.column("block").to_numpy()
+            sides = batch.column("side").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (sides[1:] != sides[:-1]), [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if places[a] != block:
+                    block, waiting, x = places[a], [], None
+                part = batch.slice(a, b - a)
+                if sides[a] == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    ready()
+                if x is not None:
+                    for i in range(0, part.num_rows, 250):
+                        yield answers(part.slice(i, 250))
+
+    none = F.lit(None)
+    held = rows.select(home("cell", "at").alias("block"), F.lit(0).alias("side"), "key", "v", "cell", none.cast("array<int>").alias("visited"))
+    queries = rows.where(F.col("key") % every == 0).select("key", "v").mapInArrow(asked, f"block int, key {kind}, v array<double>, visited array<int>")
+    sent = held.union(queries.select("block", F.lit(1).alias("side"), "key", "v", none.cast("int").alias("cell"), "visited"))
+    ordered = sent.repartition(n_block, "block").sortWithinPartitions("block", "side")
+    near = ordered.mapInArrow(met, f"query_id {kind}, key {kind}, score double")
     return top_k(near, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", F.col("key").alias(key), "score")
 
 
+def exact_quantiles(values: DataFrame, column: str, points: list[float], buckets: int = 1024, held: int = 10_000) -> list[float | None]:
+    """Exact quantiles (linear between neighbours, as quantile_cont) by refining histograms.
+
+    A pass counts, within each interval that holds a wanted rank, the values of `buckets` equal
+    parts with their least and greatest; the part with the rank is the next interval, until it
+    has one value or at most `held` rows, which are sorted.  The driver gets at most
+    `buckets` rows an interval, no task sorts or holds the values.  Nulls and NaN are left out.
+    """
+    rows = values.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(points)
+    ranks = sorted({r for p in points for r in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))})
+    known: dict[int, float] = {}
+    open_ = [(low, high, 0, n, ranks)]  # least, greatest, rows below, rows, ranks in it
+    while open_:
+        wide = []
+        for a, b, below, count, inside in open_:
+            if a == b:
+                known.update({r: a for r in inside})
+            elif count <= held:
+                found = sorted(r["x"] for r in rows.where(F.col("x").between(a, b)).collect())  # at most `held`
+                known.update({r: found[r - below] for r in inside})
+            else:
+                wide.append((a, b, below, inside))
+        if not wide:
+            break
+        part = reduce(lambda e, w: e.when(F.col("x").between(w[1][0], w[1][1]), F.lit(w[0])), enumerate(wide), F)
+        place = reduce(lambda e, w: e.when(F.col("k") == w[0], F.least(F.floor((F.col("x") / 2 - w[1][0] / 2) / (w[1][1] / 2 - w[1][0] / 2) * buckets), F.lit(buckets - 1))), enumerate(wide), F)
+        counts = rows.withColumn("k", part).where("k IS NOT NULL").withColumn("b", place).groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"))
+        by_interval: dict[int, list] = {}
+        for r in counts.collect():  # at most `buckets` an interval
+            by_interval.setdefault(r["k"], []).append((r["b"], r["n"], r["a"], r["z"]))
+        open_ = []
+        for k, (_, _, below, inside) in enumerate(wide):
+            for _, count, a, z in sorted(by_interval[k]):
+                mine = [r for r in inside if below <= r < below + count]
+                if mine:
+                    open_.append((a, z, below, count, mine))
+                below += count
+    out = []
+    for p in points:
+        at = (n - 1) * p
+        a, b = known[int(at)], known[min(int(at) + 1, n - 1)]
+        out.append(a + (b - a) * (at - int(at)))
+    return out
+
+
 def score_profile(scores: DataFrame, score: str, threshold: float, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """One row: exact percentiles (linear), mean, share at or above the threshold, count."""
-    cuts = [F.percentile(score, F.lit(p)).alias(f"p{round(100 * p)}") for p in points]
-    return scores.agg(*cuts, F.avg(score).alias("mean"), F.avg((F.col(score) >= threshold).cast("int")).alias("share"), F.count(score).alias("n"))
+    """One row: exact percentiles (linear), mean, share at or above the threshold, count; no task sees all scores.
+
+    The scores are written once and read in each of the few passes.
+    """
+    spark = scores.sparkSession
+    path = scratch(spark)
+    scores.select(score).write.parquet(path)
+    held = spark.read.parquet(path)
+    cuts = [F.lit(q).cast("double").alias(f"p{round(100 * p)}") for p, q in zip(points, exact_quantiles(held, score, list(points)), strict=True)]
+    return held.agg(F.avg(score).alias("mean"), F.avg((F.col(score) >= threshold).cast("int")).alias("share"), F.count(score).alias("n")).select(*cuts, "mean", "share", "n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canon_key, nt_unescape
+from graphloom.operators.carry import carried_forward
 
 #: Possessive loops keep long literals off the matcher's stack.
 #: Subject, predicate, object (IRI, literal with type or tag, blank node), graph.
@@ -32,17 +33,20 @@ def read_quads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _statements(lines: DataFrame, number: str, line: str) -> DataFrame:
-    """Lines with the subject that is in force; ordered by number within a file."""
+    """Lines with the subject that is in force, by number within a file; a large file is spread over ranges of its lines."""
     start = F.regexp_extract(line, r"^(\S+)\s+a?\s", 1)
     subject = F.when(F.col(line).rlike(r"^\S"), F.nullif(start, F.lit("")))
-    w = Window.partitionBy("file").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("subject", F.last(subject, ignorenulls=True).over(w))
+    return carried_forward(lines, subject, ["file"], [F.asc(number)], "subject")
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """file, number, line of each text file; a file is read whole, as its lines depend on each other."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("number", "line"))
-    return whole
+    """file, number, line of each line of each text file.
+
+    Files are read in splits; a line's number is (first byte of its split, place in it), which
+    sorts the lines of a file but isn't gapless.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("number"), F.col("value").alias("line"))
 
 
 def thesaurus(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.operators.coref import Resolver
 
@@ -53,3 +54,57 @@ def paced(responses: DataFrame, order: str, ms: str, key: str, width: int = 10,
     ranked = responses.withColumn("_n", F.row_number().over(w)).withColumn("recent", near)
     base = F.avg(F.when(F.col("_n") <= baseline, F.col(ms))).over(Window.partitionBy(key))
     return ranked.withColumn("base", base).withColumn("slow", (F.col("_n") > baseline) & (F.round("recent", 6) >= F.round(limit * F.col("base"), 6))).drop("_n")
+
+
+class _InOrder(StatefulProcessor):
+    """Mentions of one key wait in a list until the watermark has passed them, and are then resolved in order."""
+
+    def __init__(self, names: list[str], lookback: int):
+        self.names, self.lookback = names, lookback
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, place long, who string, survivor string, gender string")
+        self.recent = handle.getValueState("recent", "names array<string>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        at, place, who, survivor, gender = self.names
+        new = [(int(pd.Timestamp(t).value // 1000), int(p), w, s, g) for part in rows for t, p, w, s, g in zip(*(part[c] for c in (at, place, who, survivor, gender)), strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            for ms in {r[0] // 1000 + 1 for r in new}:
+                self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        ready = [r for r in held if r[0] < until]
+        if ready:
+            resolver = Resolver(ready[0][3], ready[0][4], self.lookback)
+            resolver.recent.extend(self.recent.get()[0] if self.recent.exists() else ())
+            out = [(key[0], place, who, *resolver(who)) for _, place, who, _, _ in ready]
+            self.recent.update((list(resolver.recent),))
+            rest = held[len(ready) :]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            yield pd.DataFrame(out, columns=["key", "place", "who", "resolved", "method"])
+
+    def close(self) -> None:
+        pass
+
+
+def resolve_in_order(events: DataFrame, key: str, at: str, place: str, who: str, survivor: str, gender: str, late: str = "10 minutes", lookback: int = 10) -> DataFrame:
+    """key, place, who, resolved, method for a stream of mentions, by time and place whatever order they arrive in.
+
+    A mention waits until the watermark, `late` behind the newest time, has passed it;
+    mentions that come later than that are dropped by the watermark.  The last names of a key
+    are its state.  Needs the RocksDB state store.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark(at, late).groupBy(key)
+    return rows.transformWithStateInPandas(
+        statefulProcessor=_InOrder([at, place, who, survivor, gender], lookback),
+        outputStructType=f"key {kind}, place long, who string, resolved string, method string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
