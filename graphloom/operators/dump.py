@@ -64,9 +64,14 @@ class Contaminated(ValueError):
     """A dump holds what it must not."""
 
 
+def forbidden(lines: DataFrame, patterns: list[str], line: str = "line") -> DataFrame:
+    """The lines that match any of the patterns."""
+    return lines.where(F.col(line).rlike("|".join(f"(?:{p})" for p in patterns))).select(line)
+
+
 def gate(lines: DataFrame, patterns: list[str], line: str = "line") -> None:
     """Raises on the first line that matches a forbidden pattern; stops reading there."""
-    found = lines.where(F.col(line).rlike("|".join(f"(?:{p})" for p in patterns))).select(line).take(1)
+    found = forbidden(lines, patterns, line).take(1)
     if found:
         raise Contaminated(found[0][0][:200])
 
@@ -81,8 +86,8 @@ def slug_map(dumps: list[DataFrame], number: str, label: str, base: str, line: s
     """old, new: addresses by name for numbered ones, over several dumps.
 
     `number` is a pattern whose group is the number; the label of a number is that of the first
-    dump that has one (the least of several there).  Of numbers with one slug the least keeps
-    it, the others get theirs behind it.
+    dump that has one (the least of several there).  Slugs are made distinct as by
+    ascending number (`distinct_slugs`).
     """
     iri, told = f"<({number})>", []
     for k, lines in enumerate(dumps):

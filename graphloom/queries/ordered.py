@@ -109,9 +109,10 @@ def resolve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "iri", "method", F.element_at("wikidata", 1).alias("link"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 't-promo' END AS term_id, CASE WHEN p_type = 'PROMO' THEN 'urn:term:promo' ELSE 'urn:graph:concept:' || lower(p_type) END AS iri FROM part""")
+@query("""SELECT p_partkey, CASE WHEN length(p_type) % 2 = 1 THEN 't-' || lower(p_type) END AS term_id, CASE WHEN length(p_type) % 2 = 1 THEN 'urn:term:' || lower(p_type) ELSE 'urn:graph:concept:' || lower(p_type) END AS iri FROM part""")
 def link_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("promo", "t-promo", "urn:term:promo")], "key string, term_id string, iri string")
+    key = F.lower("p_type")
+    terms = table(spark, sf_dir, "part").where("length(p_type) % 2 = 1").select(key.alias("key"), F.concat(F.lit("t-"), key).alias("term_id"), F.concat(F.lit("urn:term:"), key).alias("iri")).distinct()
     return entities.link_concepts(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", terms).select("p_partkey", "term_id", "iri")
 
 
