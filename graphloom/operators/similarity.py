@@ -176,7 +176,7 @@ def _best(score, k: int):
 
 
 def nearest_of_all(
-    vectors: DataFrame, key: str, embedding: str, k: int, every: int = 20, cells: tuple[DataFrame, list[list[float]], int] | None = None, block_rows: int = 20_000
+    vectors: DataFrame, key: str, embedding: str, k: int, every: int = 20, cells: tuple[DataFrame, list[list[float]], int] | None = None, block_rows: int = 20_000, block_queries: int = 250
 ) -> DataFrame:
     """query_id, key, score: the k rows of greatest inner product of each row whose key is divisible by `every`.
 
@@ -184,7 +184,7 @@ def nearest_of_all(
     them, the rows of the cells that it probes.  Scores are rounded to 6 digits, ties go to
     the lesser key.  Rows without key or vector take no part.  Rows are sent once, to
     blocks of whole cells or shares of large ones; a task holds one block at a time and the
-    queries that reach it stream past, each giving k rows a block.
+    queries that reach it stream past, `block_queries` at a time, each giving k rows a block.
     """
     import heapq
 
@@ -271,8 +271,8 @@ def nearest_of_all(
                 if waiting:
                     ready()
                 if x is not None:
-                    for i in range(0, part.num_rows, 250):
-                        yield answers(part.slice(i, 250))
+                    for i in range(0, part.num_rows, block_queries):
+                        yield answers(part.slice(i, block_queries))
 
     none = F.lit(None)
     held = rows.select(home("cell", "at").alias("block"), F.lit(0).alias("side"), "key", "v", "cell", none.cast("array<int>").alias("visited"))
