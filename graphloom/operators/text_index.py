@@ -6,7 +6,7 @@ Below the index's folder:
   search's words are read;
 - `terms/seq=S/part=P`: variant, term: each term under itself and under what is left of it
   without one letter (or two), so that words within so many edits share a variant;
-- `words/seq=S`: the distinct terms in order, for prefixes;
+- `words/seq=S`: the distinct terms, each file in order, for prefixes;
 - `gone/seq=S`: keys that a batch writes again or deletes; postings of earlier segments with
   these keys are dead;
 - `log`: one row a commit: version, batch, live segments and the greatest sequence number.
@@ -105,7 +105,7 @@ class TextIndex:
         return near.select("wanted", "term").distinct()
 
     def with_prefix(self, prefix: str) -> DataFrame:
-        """wanted, term: index terms that begin so; a range of the sorted terms."""
+        """wanted, term: index terms that begin so; a range of each sorted file's terms."""
         rows = self._read("words", "term string, seq long").where((F.col("term") >= prefix) & (F.col("term") < prefix + "\U0010ffff"))
         return rows.select(F.lit(prefix).alias("wanted"), "term").distinct()
 
@@ -164,7 +164,7 @@ def _segment(index: TextIndex, postings: DataFrame, seq: int) -> None:
     salt = F.pmod(F.xxhash64("key"), F.lit(8))
     postings.withColumn("part", part("term")).repartition("part", salt).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(target)
     terms = spark.read.schema("term string, part int").parquet(target).select("term").distinct()
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/seq={seq}")
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/seq={seq}")
     held = spark.read.schema("term string").parquet(f"{path}/words/seq={seq}").select("term", F.explode(variants(F.col("term"), index.typos)).alias("variant"))
     held.select("variant", "term", part("variant")).repartition("part").sortWithinPartitions("variant").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms/seq={seq}")
 
