@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import quality, search, similarity
 from graphloom.operators.pipeline_tables import build_quads, valence_by_activity
+from graphloom.operators.topk_join import topk_edges
 from graphloom.queries.graph import _SIMILAR, _edges
 from graphloom.queries.registry import query, table
 from graphloom.queries.texts import _TOKENS
@@ -17,6 +18,12 @@ def cosine_topk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
+@query(f"WITH {_SIMILAR} SELECT src, dst, score FROM edges")
+def topk_edges_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges by cells and bounds: a vector visits only cells that can hold one of its nearest."""
+    return topk_edges(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 5, 0.2, cell_rows=250)
+
+
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 3)
     SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings, q WHERE vec_id <> 3 ORDER BY score DESC, vec_id LIMIT 10""")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
