@@ -41,6 +41,9 @@ class Graphs:
     beside their values.
     """
 
+    #: Whether `order` gives another order than the written one.
+    planned = False
+
     def __init__(self, quads: DataFrame, tagged: frozenset[str] = frozenset()):
         self.quads, self.tagged = quads, tagged if "lang" in quads.columns else frozenset()
 
@@ -62,6 +65,13 @@ class Graphs:
         found = rows.select(*[F.col(c).alias(x[1:]) for x, c in seen.items()], *tags)
         return found.distinct() if pattern.g is None else found  # the union of graphs is a set
 
+    def with_tags(self, tagged: frozenset[str]) -> Graphs:
+        """The same quads with language tags of these variables."""
+        return Graphs(self.quads, tagged)
+
+    def order(self, patterns: Iterable[Pattern]) -> list[Pattern]:
+        return list(patterns)
+
     def bgp(self, *patterns: Pattern) -> DataFrame:
         """Natural inner join of the patterns; each must share a variable with one before."""
         rest = list(patterns)

@@ -119,7 +119,7 @@ class _Parser:
 
     # --- patterns ----------------------------------------------------------------
 
-    def triples(self, graph: str | None) -> list[DataFrame]:
+    def triples(self, graph: str | None) -> list[DataFrame | Pattern]:
         quoted = None
         if self.accept("<<"):
             quoted = (self.term(), self.verb(), self.term())
@@ -131,7 +131,7 @@ class _Parser:
         while True:
             verb = self.verb()
             while True:
-                out.append(self.annotation(quoted, verb, self.term()) if quoted else self.graphs.match(Pattern(subject, verb, self.term(), graph)))
+                out.append(self.annotation(quoted, verb, self.term()) if quoted else Pattern(subject, verb, self.term(), graph))
                 if not self.accept(","):
                     break
             if not self.accept(";") or self.peek() in (".", "}", ""):
@@ -165,28 +165,31 @@ class _Parser:
             raise QueryError(f"nothing joins {a.columns} and {b.columns}")
         return join(a, b)
 
-    def settle(self, result: DataFrame | None, waiting: list[DataFrame]) -> DataFrame | None:
-        """Joins what waits, each once it shares a variable."""
+    def settle(self, result: DataFrame | None, waiting: list[DataFrame | Pattern]) -> DataFrame | None:
+        """Joins what waits, each once it shares a variable; patterns in the order that the graphs give them."""
+        patterns = iter(self.graphs.order([w for w in waiting if isinstance(w, Pattern)]))
+        waiting[:] = [self.graphs.match(next(patterns)) if isinstance(w, Pattern) else w for w in waiting]
         while waiting:
             k = 0 if result is None else next((k for k, w in enumerate(waiting) if set(w.columns) & set(result.columns)), 0)
             result = self.meet(result, waiting.pop(k))
         return result
 
-    def group(self, graph: str | None) -> DataFrame:
-        """{ … } with filters applied to the whole group, as the language wants."""
+    def group(self, graph: str | None, loose: bool = False) -> DataFrame | list[Pattern]:
+        """{ … } with filters applied to the whole group, as the language wants; its patterns if `loose` and it has nothing else."""
         self.take("{")
         if self.peek() == "SELECT":
             result = self.select(graph)
             self.take("}")
             return result
         result: DataFrame | None = None
-        waiting: list[DataFrame] = []
+        waiting: list[DataFrame | Pattern] = []
         tests: list[int] = []
         while not self.accept("}"):
             word = self.peek()
             if word == "GRAPH":
                 self.take()
-                waiting.append(self.group(self.term()))
+                found = self.group(self.term(), self.graphs.planned)
+                waiting += found if isinstance(found, list) else [found]
             elif word == "OPTIONAL":
                 self.take()
                 result = self.settle(result, waiting)
@@ -219,6 +222,8 @@ class _Parser:
             else:
                 waiting += self.triples(graph)
             self.accept(".")
+        if loose and result is None and waiting and not tests and all(isinstance(w, Pattern) for w in waiting):
+            return waiting
         result = self.settle(result, waiting)
         if result is None:
             raise QueryError("an empty group")
@@ -531,10 +536,11 @@ class _Parser:
         return self.graphs.construct(self.group(None), *templates)
 
 
-def run(text: str, quads: DataFrame, annotations: DataFrame | None = None) -> DataFrame | bool:
-    """The result of a query over quads(s, p, o, g): a DataFrame, or for ASK a bool.
+def run(text: str, quads: DataFrame | Graphs, annotations: DataFrame | None = None) -> DataFrame | bool:
+    """The result of a query over quads(s, p, o, g), or over a stored graph: a DataFrame, or for ASK a bool.
 
     annotations(s, p, o, ap, ao), if given, answer quoted triples.
     """
     tagged = frozenset(re.findall(r"\bLANG\s*\(\s*[?$](\w+)", text, re.I))
-    return _Parser(text, Graphs(quads, tagged), annotations).query()
+    graphs = quads.with_tags(tagged) if isinstance(quads, Graphs) else Graphs(quads, tagged)
+    return _Parser(text, graphs, annotations).query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,10 +107,10 @@ def similarity_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SIMILAR} SELECT e.src, e.dst, a.label AS label, c.c_name AS src_name, d.c_name AS dst_name, n.n_name AS src_place, m.n_name AS dst_place, e.score
            FROM edges e JOIN embeddings a ON a.vec_id = e.src JOIN embeddings b ON b.vec_id = e.dst JOIN customer c ON c.c_custkey = e.src JOIN customer d ON d.c_custkey = e.dst
            JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN nation m ON m.n_nationkey = d.c_nationkey ORDER BY e.score DESC, e.src, e.dst LIMIT 40""")
-def chain_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chain_join_pairs(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
     """The most alike pairs with what both ends are called and where they are: a chain of seven joins."""
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    graph = Graphs(quads(spark, sf_dir, "customer", "nation"))
+    graph = store(quads(spark, sf_dir, "customer", "nation"))
     people = graph.bgp(Pattern("?c", "name", "?name", "customer"), Pattern("?c", "nation", "?n", "customer"), Pattern("?n", "name", "?place", "nation"))
     people = people.select(F.substring_index("c", ":", -1).cast("long").alias("vec_id"), "name", "place")
     rows = _edges(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,7 +174,7 @@ def store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT year(o_orderdate) AS y, string_agg(DISTINCT CASE WHEN o_custkey % 3 = 0 THEN c_name ELSE CAST(o_custkey AS VARCHAR) END, '|' ORDER BY CASE WHEN o_custkey % 3 = 0 THEN c_name ELSE CAST(o_custkey AS VARCHAR) END) AS people
     FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1""")
-def sparql_nested_optional_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparql_nested_optional_labels(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
     """Labels from another graph, or else the end of the address."""
     told = quads(spark, sf_dir, "orders", "customer")
     told = told.where("NOT (g = 'customer' AND p = 'name') OR cast(substring_index(s, ':', -1) AS long) % 3 = 0")
@@ -180,7 +182,7 @@ def sparql_nested_optional_labels(spark: SparkSession, sf_dir: str) -> DataFrame
         """SELECT ?y (GROUP_CONCAT(DISTINCT ?label; separator="|") AS ?people) WHERE {
              GRAPH <orders> { ?o <status> "P" ; <year> ?y ; <customer> ?c . OPTIONAL { GRAPH <customer> { ?c <name> ?l } } BIND(COALESCE(?l, REPLACE(STR(?c), ".*[/:]", "")) AS ?label) }
            } GROUP BY ?y""",
-        told,
+        store(told),
     )
     return found.select(F.col("y").cast("long").alias("y"), "people")
 
@@ -189,37 +191,37 @@ _TAG = "CASE n_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE '' END"
 
 
 @query(f"""SELECT 'urn:nation:' || n_nationkey AS place, CASE WHEN {_TAG} IN ('en', '') THEN n_name END AS label, 'urn:region:' || n_regionkey AS target, CASE WHEN {_TAG} IN ('en', '') THEN {_TAG} ELSE '' END AS tag FROM nation""")
-def sparql_language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparql_language_tags(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
     """Labels in English or without a language, if there are any."""
     names = table(spark, sf_dir, "nation").selectExpr("concat('urn:nation:', n_nationkey) AS s", "'label' AS p", "n_name AS o", "'metadata' AS g", f"{_TAG} AS lang")
     links = table(spark, sf_dir, "nation").selectExpr("concat('urn:nation:', n_nationkey) AS s", "'match' AS p", "concat('urn:region:', n_regionkey) AS o", "'alignment' AS g", "cast(NULL AS string) AS lang")
     return sparql.run(
         """SELECT ?place ?label ?target (LANG(?label) AS ?tag) WHERE { GRAPH <alignment> { ?place <match> ?target }
              OPTIONAL { GRAPH <metadata> { ?place <label> ?label . FILTER(LANG(?label) = "en" || LANG(?label) = "") } } }""",
-        names.unionByName(links),
+        store(names.unionByName(links)),
     )
 
 
 @query("""SELECT 'urn:nation:' || n_nationkey AS n, r_name AS link FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND starts_with(r_name, 'A') ORDER BY link DESC NULLS LAST, n LIMIT 12""")
-def sparql_unbound_sorts_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparql_unbound_sorts_lowest(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
     """Falling order puts what is unbound last; the limit shows it."""
     return sparql.run(
         """SELECT ?n ?link WHERE { GRAPH <nation> { ?n <name> ?x } OPTIONAL { GRAPH <nation> { ?n <region> ?r } GRAPH <region> { ?r <name> ?link } FILTER(STRSTARTS(?link, "A")) } } ORDER BY DESC(?link) ?n LIMIT 12""",
-        quads(spark, sf_dir, "nation", "region"),
+        store(quads(spark, sf_dir, "nation", "region")),
     )
 
 
 @query("SELECT 'urn:region:' || r_regionkey AS s, 'name' AS p, r_name AS o FROM region")
-def sparql_select_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparql.run("SELECT * WHERE { GRAPH <region> { ?s ?p ?o } }", quads(spark, sf_dir, "region"))
+def sparql_select_star(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
+    return sparql.run("SELECT * WHERE { GRAPH <region> { ?s ?p ?o } }", store(quads(spark, sf_dir, "region")))
 
 
 @query("""SELECT n_name AS name, split_part(n_name, '_', 1) AS before, '' AS absent, substr(n_name, 8) AS after, replace(n_name, 'NATION', 'x') AS short, substr(n_name, 1, 3) AS head, lower(n_name) || '!' AS joined FROM nation""")
-def sparql_string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparql_string_functions(spark: SparkSession, sf_dir: str, store: Callable[[DataFrame], Graphs] = Graphs) -> DataFrame:
     return sparql.run(
         """SELECT ?name (STRBEFORE(?name, "_") AS ?before) (STRBEFORE(?name, "#") AS ?absent) (STRAFTER(?name, "_") AS ?after) (REPLACE(?name, "NATION", "x") AS ?short)
              (SUBSTR(?name, 1, 3) AS ?head) (CONCAT(LCASE(?name), "!") AS ?joined) WHERE { GRAPH <nation> { ?n <name> ?name } }""",
-        quads(spark, sf_dir, "nation"),
+        store(quads(spark, sf_dir, "nation")),
     )
 
 
