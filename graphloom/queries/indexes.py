@@ -52,7 +52,9 @@ def positional_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index.phrase(["the", "and"]).join(index.proximity(["the", "and", "that"]), "key", "full")
     # a place is one more than how many texts have a better (distance, times) pair; pairs are few
     pair = [F.coalesce("distance", F.lit(1 << 40)).alias("d"), (-F.coalesce("times", F.lit(-1))).alias("t")]
-    each = found.select("key", "times", "distance", F.struct(*pair).alias("pair"))
+    held = scratch(spark)  # places are counted from what was found, without another search
+    found.select("key", "times", "distance", F.struct(*pair).alias("pair")).write.parquet(held)
+    each = spark.read.parquet(held)
     many = each.groupBy("pair").agg(F.count("*").alias("n"))
     places = ordered.running_total(many, "pair", "n", "before")
     return each.join(places, "pair").select(F.col("key").alias("doc_id"), "times", "distance", (F.col("before") + 1).alias("place"))
