@@ -86,7 +86,10 @@ class TextIndex:
         return rows.join(gone, "key", "left").where("since IS NULL OR seq >= since").drop("since", "seq", "part")
 
     def _part(self, c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int").alias("part")
+        return self._number(c).alias("part")
+
+    def _number(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int")
 
     def words(self, words: list[str]) -> DataFrame:
         """wanted, term: the words themselves."""
@@ -162,11 +165,13 @@ def _segment(index: TextIndex, postings: DataFrame, seq: int) -> None:
     target = f"{path}/postings/seq={seq}"
     # a common term is dealt to several files of its part
     salt = F.pmod(F.xxhash64("key"), F.lit(8))
-    postings.withColumn("part", part("term")).repartition("part", salt).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(target)
+    # the part is told from the term again on the other side of the shuffle
+    dealt = postings.select("term", "key", "at").repartition(index._number("term"), salt)
+    dealt.withColumn("part", part("term")).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(target)
     terms = spark.read.schema("term string, part int").parquet(target).select("term").distinct()
     terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/seq={seq}")
     held = spark.read.schema("term string").parquet(f"{path}/words/seq={seq}").select("term", F.explode(variants(F.col("term"), index.typos)).alias("variant"))
-    held.select("variant", "term", part("variant")).repartition("part").sortWithinPartitions("variant").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms/seq={seq}")
+    held.select("variant", "term").repartition(index._number("variant")).withColumn("part", part("variant")).sortWithinPartitions("variant").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms/seq={seq}")
 
 
 def _commit(index: TextIndex, segments: list[int], seq: int, batch: str | None) -> TextIndex:
