@@ -11,6 +11,7 @@ whole term and t, so distinct terms stay distinct.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import isqrt
@@ -104,20 +105,41 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", out: str = "finge
     return kept.mapInArrow(run, widened(kept, out, "string"))
 
 
-def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _by_hash(rows: DataFrame, hot: dict[int, int]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The rows, those of hot ids with their texts' hash and counted where they are equal; and
+    where the ranges of hot ids begin: the least hash of each of so many parts that has any.
+
+    `hot` says how many ranges an id fills, so it is no longer than the list of ranges.
+    """
+    known = F.broadcast(rows.sparkSession.createDataFrame([(k, m + 1) for k, m in sorted(hot.items())], "key long, parts int"))
+    named = rows.withColumn("h", F.xxhash64("text")).join(known, "key")
+    part = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("parts"))
+    begin = named.groupBy("key", part.alias("part")).agg(F.min("h").alias("h")).collect()
+    columns = ["doc_id", "key", "h", "text"]
+    counted = named.groupBy(*columns).agg(F.count("*").alias("n"))
+    single = rows.join(known, "key", "left_anti").select("doc_id", "key", F.lit(0).cast("long").alias("h"), "text", F.lit(1).cast("long").alias("n"))
+    return single.union(counted), [(r["key"], r["h"]) for r in begin]
+
+
+def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", each: int = 2000) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's.
 
     Documents are dealt to ranges of ids whose bounds are ids of the table; the document at
     a bound also goes, as the last, to the range before, so that each range has its next
     document and nothing is gathered in one place.  Texts travel compressed, once.
 
-    Ranges hold 2,000 documents or, of more than 4 million, the square root of their number,
+    Ranges hold `each` documents or, of more than its square, the square root of their number,
     so that neither the bounds nor a task grow in proportion; a task holds about 1 MB of text
     at a time, and a longer document whole.
 
+    An id that fills a range by itself (null ids, say) is cut into ranges of its texts' hashes,
+    and rows of such an id with equal texts are counted before they are dealt: the next
+    document of each of them but the last is an equal one.
+
     Ids are whole numbers.  Null texts are empty; null ids come last; rows of one id follow
-    each other by text, in one task.  The next document of the last is the first (of a single
-    document: itself).  An empty table gives no rows; other columns are not looked at.
+    each other in a fixed order of their texts.  The next document of the last is the first
+    (of a single document: itself).  An empty table gives no rows; other columns are not
+    looked at.
     """
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
@@ -129,75 +151,100 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    count = buckets(n, max(2000, isqrt(n)))
+    count = buckets(n, max(each, isqrt(n)))
     shares = [k / count for k in range(1, count)]
-    found = rows.agg(F.percentile_approx("key", shares, max(20_000, 10 * count))).first()[0]
-    bounds = np.array(sorted({least, *found}), np.int64)
+    found = Counter(rows.agg(F.percentile_approx("key", shares, max(20_000, 10 * count))).first()[0])
+    # an id of m bounds fills about m ranges
+    hot = {k: m for k, m in found.items() if m > 1 and n > each}
+    cuts = [(k, 0) for k in {least, *found} if k not in hot]
+    if hot:
+        rows, parts = _by_hash(rows, hot)
+        cuts += parts
+    else:
+        rows = rows.withColumns({"h": F.lit(0).cast("long"), "n": F.lit(1).cast("long")})
+    bounds = np.array(sorted(cuts), [("key", np.int64), ("h", np.int64)])
+    # where each id's bounds begin, and the place of a hash among the bounds of a hot id
+    first, lead = np.unique(bounds["key"], return_index=True)
+    last = np.append(lead[1:], len(bounds))
+
+    def place(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The range of each row: the last bound that isn't behind it."""
+        own = np.searchsorted(first, keys, "right") - 1
+        at = last[own] - 1  # of an id without a bound: the last of the bound before
+        for k in np.unique(own[(first[own] == keys) & (last[own] - lead[own] > 1)]).tolist():
+            of = (own == k) & (keys == first[k])
+            at[of] = lead[k] + np.searchsorted(bounds["h"][lead[k] : last[k]], hashes[of], "right") - 1
+        return at
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             zipped = pa.array([pack.compress((x.as_py() or "").encode()) for x in batch.column("text")], pa.binary())
-            at = np.searchsorted(bounds, keys, "right") - 1
-            take = [np.arange(len(keys)), np.flatnonzero(bounds[at] == keys)]
+            hashes = batch.column("h").to_numpy()
+            at = place(keys, hashes)
+            take = [np.arange(len(keys)), np.flatnonzero((bounds["key"][at] == keys) & (bounds["h"][at] == hashes))]
             row = np.concatenate(take)
             bucket = np.concatenate([at, (at[take[1]] - 1) % len(bounds)])
             tail = np.concatenate([np.zeros(len(keys), bool), np.ones(len(take[1]), bool)])
             index = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array(tail), batch.column("key").take(index), batch.column("doc_id").take(index), zipped.take(index)],
-                names=["bucket", "tail", "key", "doc_id", "zipped"],
+                [pa.array(bucket.astype(np.int32)), pa.array(tail), *(batch.column(c).take(index) for c in ("key", "h", "doc_id", "n")), zipped.take(index)],
+                names=["bucket", "tail", "key", "h", "doc_id", "n", "zipped"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        held: list[tuple] = []  # (bucket, tail, id, text) in order; the last waits for its next
+        held: list[tuple] = []  # (bucket, tail, id, text, rows) in order; the last waits for its next
 
-        def flush() -> pa.RecordBatch | None:
-            todo = [k for k in range(len(held) - 1) if not held[k][1]]
+        def flush() -> Iterator[pa.RecordBatch]:
+            kept = [k for k in range(len(held) - 1) if not held[k][1]]
+            if not kept:
+                return
+            # of equal rows all but the last come before an equal one
+            steps = [(k, k, held[k][4] - 1) for k in kept if held[k][4] > 1] + [(k, k + 1, 1) for k in kept]
+            todo, follow = (np.array([x[c] for x in steps]) for c in (0, 1))
             texts = [x[3] for x in held]
             own = signatures([t.encode() for t in texts])
             edited = []
-            for k in todo:
+            for k, behind, _ in steps:
                 half = len(texts[k]) // 2
-                edited.append((texts[k][: len(texts[k]) - half] + texts[k + 1][:half]).encode())
-            if not todo:
-                return None
+                edited.append((texts[k][: len(texts[k]) - half] + texts[behind][:half]).encode())
             new = signatures(edited)
-            todo_at = np.array(todo)
-            return pa.RecordBatch.from_arrays(
+            done = pa.RecordBatch.from_arrays(
                 [
                     pa.array([held[k][2] for k in todo], id_type),
                     pa.array([len(texts[k]) for k in todo], pa.int64()),
                     pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
-                    pa.array(_hex(own[todo_at])),
+                    pa.array(_hex(own[todo])),
                     pa.array(_hex(new)),
-                    pa.array(likeness(own[todo_at], new)),
-                    pa.array(likeness(own[todo_at], own[todo_at + 1])),
+                    pa.array(likeness(own[todo], new)),
+                    pa.array(likeness(own[todo], own[follow])),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
+            yield done
+            for k, (_, _, times) in enumerate(steps):
+                for more in range(times - 1, 0, -1000):
+                    yield done.take(pa.array([k] * min(more, 1000)))
 
         size, id_type = 0, pa.int64()
         for batch in batches:
             id_type = batch.column("doc_id").type
             unpack = zstandard.ZstdDecompressor()
-            for b, tail, i, z in zip(*(batch.column(c) for c in ("bucket", "tail", "doc_id", "zipped")), strict=True):
+            for b, tail, i, many, z in zip(*(batch.column(c) for c in ("bucket", "tail", "doc_id", "n", "zipped")), strict=True):
                 b, tail = b.as_py(), tail.as_py()
                 if tail and held and held[-1][1] and held[-1][0] == b:
                     continue  # rows of one id at a bound: the first of them is next
-                held.append((b, tail, i.as_py(), unpack.decompress(z.as_py()).decode()))
+                held.append((b, tail, i.as_py(), unpack.decompress(z.as_py()).decode(), many.as_py()))
                 size += len(held[-1][3])
                 if size > A.CHUNK:
-                    if done := flush():
-                        yield done
+                    yield from flush()
                     held[:] = held[-1:]
                     size = len(held[-1][3])
-        if held and (done := flush()):
-            yield done
+        yield from flush()
 
-    dealt = rows.mapInArrow(deal, f"bucket int, tail boolean, key long, doc_id {kind}, zipped binary")
-    order = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", "key", F.col("zipped"))
+    dealt = rows.mapInArrow(deal, f"bucket int, tail boolean, key long, h long, doc_id {kind}, n long, zipped binary")
+    order = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", "key", "h", "zipped")
     return order.mapInArrow(run, schema)
