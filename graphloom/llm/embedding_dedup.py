@@ -28,6 +28,8 @@ from graphloom.llm import arrays as A
 from graphloom.llm.frames import checkpointed, components, small_batches
 
 LEAF = 256
+#: Numbers in a block at most, but for one leaf: long vectors make blocks shorter.
+BLOCK_VALUES = 1 << 22
 #: More blocks than this make blocks larger instead: their boxes go to every task.
 MOST_BOXES = 1 << 17
 #: Rows of block pairs that are broadcast at most; more are joined by a shuffle.
@@ -173,7 +175,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     rows with a null id link with nothing and have a null component and kept = false.  Equal
     vectors are told by 128-bit hashes.  The principal directions come from a bounded sample;
     they decide what is skipped quickly, never what links.  Blocks hold about `block` vectors,
-    more once there are MOST_BOXES of them.  Other columns are not looked at; an empty table
+    fewer of long ones (BLOCK_VALUES), more once there are MOST_BOXES of them.  Other columns are not looked at; an empty table
     gives no rows.
     """
     small_batches(vectors.sparkSession)
@@ -241,6 +243,7 @@ def _join_dimension(classes: DataFrame, n: int, t: float, directions: int, block
             yield pa.RecordBatch.from_arrays([pa.array(placed(b)[1])], names=["place"])
 
     vectors = classes.select("k", "n", "e")
+    block = min(block, max(LEAF, BLOCK_VALUES // len(some[0])))
     count = min(MOST_BOXES, max(1, -(-n // block)))
     shares = [q / count for q in range(1, count)] or [0.5]
     cut = vectors.mapInArrow(ordered, "place long").agg(F.percentile_approx("place", shares, max(20_000, 10 * count))).first()[0]

@@ -405,6 +405,44 @@ def test_fingerprints(spark, corpus):
     assert all(r["fingerprint"] == got[r["doc_id"]]["fingerprint"] for r in named)
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows without an id, a third the same row: ranges of hashes, equal rows counted."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(k, sentence(rng, 12)) for k in range(1, 200)] + [(None, sentence(rng, 12)) for _ in range(150)] + [(None, None)] * 50
+    rows += [(77, "the same row again and again")] * 1500
+    df = docs(spark, rows)
+    got = [tuple(r) for r in fingerprint.compare_with_next(df, each=20).collect()]
+    # the order that the ranges stand for: ids, nulls last, and of one id the hashes of the texts
+    hashes = {r["t"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, x[0] or 0, hashes[x[1]]))
+    texts = [t for _, t in order]
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+    want = [(i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t), e in zip(order, edited, strict=True)]
+    same = 77  # the one text of its own under this id has a place told by its hash, as the others
+    assert sum(i == same for i, _ in order) == 1501
+    assert sorted(map(str, (g[:3] for g in got))) == sorted(map(str, want))
+    sig = {t: fingerprint._hex(fingerprint.signatures([t.encode()]))[0] for t in {*texts, *edited}}
+    assert sorted((g[3], g[4]) for g in got) == sorted((sig[t], sig[e]) for t, e in zip(texts, edited, strict=True))
+    assert sum(g[6] == 1.0 for g in got) >= 1499
+
+
+def test_long_vectors_make_shorter_blocks(spark, monkeypatch):
+    """Blocks are bounded by their numbers; the links stay."""
+    from graphloom.llm import embedding_dedup
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 96))
+    vectors = np.concatenate([base, base + 0.2 * rng.normal(size=base.shape), base + 0.5 * rng.normal(size=base.shape), rng.normal(size=(350, 96))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = [tuple(r) for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()]
+    monkeypatch.setattr(embedding_dedup, "BLOCK_VALUES", 96 * 300)
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()] == want
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert [r[1] for r in want] == ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist() and max(r[1] for r in want) >= 1
+
+
 def test_classifiers(spark):
     rng = random.Random(7)
     rows, labels = [], []
