@@ -1,6 +1,6 @@
 """Training samples, FTRL-proximal logistic regression, Bradley-Terry ranking; text features.
 
-Learners see a bounded sample (parameters `sample_docs` and `sample_bytes`); scoring is a
+op7's learner sees a bounded sample (parameters `sample_docs` and `sample_bytes`); scoring is a
 narrow map over all documents with the weights in the task.
 """
 

@@ -536,3 +536,23 @@ def test_a_pivot_with_partners_in_many_buckets(spark, monkeypatch):
     rows = [(k, " ".join([*base[: k % 40], f"new{k}", *base[k % 40 :]])) for k in range(150)] + [(200 + k, sentence(rng, 60)) for k in range(20)]
     got = sorted(tuple(r) for r in jaccard_join.similarity_classes(docs(spark, rows)).collect())
     assert got == sorted(brute.jaccard_components(rows))
+
+
+def test_quality_is_learnt_from_every_labelled_row(spark, monkeypatch):
+    """Mean, pairs and threshold are of all rows outside fold 0, in groups with few of the rarer label too."""
+    from graphloom.llm.linear import form_features
+
+    rng = random.Random(3)
+    rows = [(k, (lambda t: t.upper() if k % 9 == 0 else t)(sentence(rng, 12))) for k in range(12000)]
+    marks = spark.createDataFrame([(k, int(k % 9 != 0)) for k, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "GROUP_ROWS", 100)
+    rank = quality.fit_quality(docs(spark, rows), marks)
+    kept = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    y = np.array([k % 9 != 0 for k, _ in kept])
+    texts = [t.encode() for _, t in kept]
+    x = form_features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert len(kept) > 8000 and np.allclose(rank.mean, x.mean(axis=0)) and np.allclose(rank.scale, x.std(axis=0) + 1e-3)
+    s = np.sort((x - rank.mean) / rank.scale @ rank.weights)
+    k = int((~y).sum())
+    assert abs(rank.threshold - (s[k - 1] + s[k]) / 2) < 1e-9
+    assert ((((x - rank.mean) / rank.scale @ rank.weights) > rank.threshold) == y).all()
