@@ -60,6 +60,15 @@ def write_marts(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]
     return names
 
 
+def write_ranges(rows: DataFrame, path: str, key: str, order: str) -> None:
+    """Parquet files by ranges of the key, in order: as many as there are partitions, not keys.
+
+    A filter on the key skips files and row groups by their statistics; a key with many rows
+    fills several files, cut by `order`.
+    """
+    rows.repartitionByRange(key, order).sortWithinPartitions(key, order).write.parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str, order: list[str], blank: list[str] = ()) -> None:
     """A template to be filled in: rows in order in one file, with empty columns `blank`."""
     made = rows.select("*", *[F.lit("").alias(c) for c in blank]).orderBy(*order)

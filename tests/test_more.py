@@ -281,3 +281,27 @@ def test_tokens_against_a_plain_loop(spark):
         if t is not None:
             clean = [w.replace("'", "").strip("-") for w in re.findall(r"[a-z][a-z'-]{2,}", t.lower())]
             assert got[k] == [w for w in clean if len(w) >= 3 and w not in ("abc", "the")], t
+
+
+def test_events_of_many_interviews_are_few_files(spark, tmp_path):
+    from graphloom.sinks import writers
+
+    rows = spark.range(5000).select(F.col("id").alias("event_id"), (F.col("id") % 900).alias("interview_id"), F.lit(" x ").alias("who"))
+    rows = rows.union(spark.range(5000, 5003).select("id", F.lit(None), F.lit("y")))
+    path = str(tmp_path / "events")
+    writers.write_ranges(rows, path, "interview_id", "event_id")
+    files = sorted((tmp_path / "events").rglob("*.parquet"))
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = tables.events(spark, path, ids=[3, 4])
+    assert got.count() == 12 and {r["who"] for r in got.collect()} == {"x"}
+    assert "In(interview_id" in got._jdf.queryExecution().executedPlan().toString()
+    assert tables.events(spark, path).count() == 5003
+
+
+def test_partitioned_events_makes_no_folder_an_interview(spark, sf_dir, monkeypatch, tmp_path):
+    from graphloom.queries import QUERIES
+    from graphloom.queries import tables as made
+
+    monkeypatch.setattr(made, "scratch", lambda _: str(tmp_path / "e"))
+    assert QUERIES["partitioned_events"](spark, sf_dir).count() == 1000
+    assert not [p for p in (tmp_path / "e").iterdir() if p.is_dir()]
