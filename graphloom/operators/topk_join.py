@@ -4,7 +4,9 @@ Unit vectors of a group go to the cell of their closest pivot.  The triangle ine
 angles bounds what a vector can score in another cell: the cosine of its angle to the pivot
 less the cell's radius.  A first pass meets each block of a cell with itself, which gives each
 vector a lower bound of its k-th score; then a vector is sent only to cells whose bound
-reaches that score and the threshold.  Vectors that are equal are searched once.
+reaches that score and the threshold.  Blocks are kept in bins, and a vector is sent once to each bin with
+the blocks that it visits there, so what is sent doesn't grow with the number of cells.
+Vectors that are equal are searched once.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from graphloom.session import scratch
 SLACK = 1e-5
 _CELL = ["group", "dim", "cell"]
 _BLOCK = [*_CELL, "block"]
+_BIN = ["group", "dim", "bin"]
+#: Blocks of a group meet their visitors in so many bins, and in more only if a bin would have more than `BIN_ROWS` vectors.
+BINS, BIN_ROWS = 16, 32_768
 
 
 def _matrix(column):
@@ -94,7 +99,7 @@ def _nothing(schema):
     return schema.empty_table()
 
 
-def _searched(placed: DataFrame, k: int, threshold: float, task_rows: int) -> tuple[DataFrame, DataFrame]:
+def _searched(placed: DataFrame, k: int, threshold: float, cell_rows: int, task_rows: int) -> tuple[DataFrame, DataFrame]:
     """(group, dim, src, keys, score of every hit; group, dim, cell, block, rep, unit of every visit to another block)."""
     import numpy as np
     import pyarrow as pa
@@ -137,7 +142,9 @@ def _searched(placed: DataFrame, k: int, threshold: float, task_rows: int) -> tu
     # a cell's direction is its pivot, which is the member at no angle to it; of equal ones the least
     centre = F.min_by("unit", F.struct("angle", "rep"))
     about = met.groupBy(*_CELL).agg(F.max("angle").alias("radius"), F.min("angle").alias("nearest"), centre.alias("centre"), F.max("blocks").alias("blocks"))
-    sizes = met.groupBy("group", "dim").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("salts"))
+    n = F.count("*")
+    bins = F.greatest(F.least(F.lit(BINS), F.ceil(n / F.lit(cell_rows))), F.ceil(n / F.lit(BIN_ROWS))).cast("int")
+    sizes = met.groupBy("group", "dim").agg(F.ceil(n / task_rows).cast("int").alias("salts"), bins.alias("bins"))
     about.join(sizes, ["group", "dim"]).write.parquet(f"{path}/about")
     copied = spark.read.parquet(f"{path}/about").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     spread = met.join(sizes, ["group", "dim"]).withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("salts")).cast("int"))
@@ -153,39 +160,48 @@ def _searched(placed: DataFrame, k: int, threshold: float, task_rows: int) -> tu
         bound[:, number == -1] = 0.0
         bound[some.column("cell").to_numpy() == -1] = 0.0
         visit = bound + SLACK >= some.column("need").to_numpy()[:, None]
-        visit &= ~((some.column("cell").to_numpy()[:, None] == number[None, :]) & (blocks[None, :] == 1))
-        j = np.nonzero(visit)[1]
-        to = pa.StructArray.from_arrays([pa.array(number[j], pa.int32()), pa.array(blocks[j], pa.int32())], names=["cell", "blocks"])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(visit.sum(axis=1))]), pa.int32()), to)
-        kept = {n: some.column(n) for n in ("group", "dim", "cell", "block", "rep", "unit")}
-        return pa.table({**kept, "visits": lists})
-
-    fields = f"group string, dim int, cell int, block int, rep {kind}, unit array<double>, visits array<struct<cell:int,blocks:int>>"
+        # every block of a visited cell but the own one, by bins
+        at = np.repeat(np.arange(len(number)), blocks)
+        cell, block = number[at].astype(np.int64), np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        visit = visit[:, at]
+        visit &= (some.column("cell").to_numpy()[:, None] != cell[None, :]) | (some.column("block").to_numpy()[:, None] != block[None, :])
+        code, home = (cell << 32) + block, (cell + block) % cells.column("bins")[0].as_py()
+        found = []
+        for b in np.unique(home):
+            inside = np.flatnonzero(home == b)
+            who = np.flatnonzero(visit[:, inside].any(axis=1))
+            row, j = np.nonzero(visit[np.ix_(who, inside)])
+            to = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(who) + 1)), pa.int32()), pa.array(code[inside][j], pa.int64()))
+            kept = {n: some.column(n).take(pa.array(who)) for n in ("group", "dim", "rep", "unit")}
+            found.append(pa.table({**kept, "bin": pa.array(np.full(len(who), b), pa.int32()), "to": to}))
+        return pa.concat_tables(found) if found else _nothing(routed)
+
+    fields = f"group string, dim int, rep {kind}, unit array<double>, bin int, to array<long>"
     routed = _arrow(spark.createDataFrame([], fields))
     inputs = spread.select("group", "dim", "salt", "cell", "block", "rep", "unit", "need")
     went = inputs.groupBy("group", "dim", "salt").cogroup(copied.groupBy("group", "dim", "salt")).applyInArrow(route, fields)
-    went.write.parquet(f"{path}/went")
-    went = spark.read.parquet(f"{path}/went").withColumn("to", F.explode("visits"))
-    went = went.withColumn("there", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1))).where("to.cell <> cell OR there <> block")
-    visits = went.select("group", "dim", F.col("to.cell").alias("cell"), F.col("there").alias("block"), "rep", "unit")
+    to = went.select("group", "dim", F.explode("to").alias("to"), "rep", "unit")
+    visits = to.select("group", "dim", F.shiftright("to", 32).cast("int").alias("cell"), F.col("to").bitwiseAND((1 << 32) - 1).cast("int").alias("block"), "rep", "unit")
 
-    # --- a block's classes come first, those that visit it stream past
+    # --- a bin's classes come first, those that visit it stream past
     none = F.lit(None)
-    held = met.join(visits.select(*_BLOCK).distinct(), _BLOCK, "left_semi").select(*_BLOCK, F.lit(0).alias("side"), "rep", "unit", "keys")
-    sent = visits.select(*_BLOCK, F.lit(1).alias("side"), "rep", "unit", none.cast(f"array<{kind}>").alias("keys"))
-    ordered = held.union(sent).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "side", "rep")
+    code = F.shiftleft(F.col("cell").cast("long"), 32) + F.col("block")
+    home = F.pmod(F.col("cell") + F.col("block"), F.col("bins")).cast("int").alias("bin")
+    held = met.join(sizes, ["group", "dim"]).select("group", "dim", home, F.lit(0).alias("side"), "rep", "unit", "keys", F.array(code).alias("to"))
+    sent = went.select(*_BIN, F.lit(1).alias("side"), "rep", "unit", none.cast(f"array<{kind}>").alias("keys"), "to")
+    ordered = held.union(sent).repartition(*_BIN).sortWithinPartitions(*_BIN, "side")
 
     def visited(batches):
-        at, waiting, x, keys = None, [], None, []
+        at, waiting, x, keys, names, edge, column_of = None, [], None, None, None, None, None
         for batch in batches:
             n = batch.num_rows
             changed = np.zeros(max(n - 1, 0), bool)
-            for name in (*_BLOCK, "side"):
+            for name in (*_BIN, "side"):
                 column = batch.column(name)
                 changed |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             cut = np.concatenate([[0], np.flatnonzero(changed) + 1, [n]]) if n else [0]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                place = tuple(batch.column(name)[int(a)].as_py() for name in _BLOCK)
+                place = tuple(batch.column(name)[int(a)].as_py() for name in _BIN)
                 part = pa.Table.from_batches([batch.slice(a, b - a)])
                 if place != at:
                     at, waiting, x = place, [], None
@@ -193,11 +209,23 @@ def _searched(placed: DataFrame, k: int, threshold: float, task_rows: int) -> tu
                     waiting.append(part)
                     continue
                 if x is None:
-                    block = pa.concat_tables(waiting)
-                    x, keys = _matrix(block.column("unit")), block.column("keys").combine_chunks()
-                for i in range(0, len(part), 1000):
-                    some = part.slice(i, 1000)
-                    score = scored(_matrix(some.column("unit")), x)
+                    table = pa.concat_tables(waiting)
+                    table = table.set_column(table.schema.get_field_index("side"), "code", table.column("to").combine_chunks().flatten()).sort_by([("code", "ascending"), ("rep", "ascending")])
+                    x, order = _matrix(table.column("unit")), pc.sort_indices(table.column("rep"))
+                    keys, column_of = table.column("keys").combine_chunks().take(order), np.argsort(order.to_numpy())  # ties go to the lesser key
+                    names, first = np.unique(table.column("code").to_numpy(), return_index=True)
+                    edge, waiting = [*first.tolist(), len(x)], []
+                size = max(1, min(1000, 4_000_000 // len(x)))
+                for i in range(0, len(part), size):
+                    some = part.slice(i, size)
+                    q, to = _matrix(some.column("unit")), some.column("to").combine_chunks()
+                    visit = np.zeros((len(q), len(names)), bool)
+                    owner = np.repeat(np.arange(len(q)), pc.list_value_length(to).to_numpy(zero_copy_only=False))
+                    visit[owner, np.searchsorted(names, to.flatten().to_numpy())] = True
+                    score = np.full((len(q), len(x)), -np.inf)
+                    for j in np.flatnonzero(visit.any(axis=0)):
+                        who = np.flatnonzero(visit[:, j])
+                        score[np.ix_(who, column_of[edge[j] : edge[j + 1]])] = scored(q[who], x[edge[j] : edge[j + 1]])
                     q, j = _best(score, k)
                     where = pa.array(q, pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -222,7 +250,7 @@ def topk_edges(
     about `cell_rows` vectors, or `task_rows` vectors with the group's pivots.
     """
     members, placed = _placed(vectors, group, key, embedding, k + 1, cell_rows, most_cells, task_rows)
-    hits, _ = _searched(placed, k + 1, threshold, task_rows)
+    hits, _ = _searched(placed, k + 1, threshold, cell_rows, task_rows)
     pairs = hits.where(F.col("score") >= threshold).select("group", "dim", "src", "score", F.explode("keys").alias("dst"))
     best = top_k(pairs, k + 1, ["group", "dim", "src"], [F.desc("score"), F.asc("dst")])
     lists = best.groupBy("group", "dim", F.col("src").alias("rep")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "dst"))).alias("near"))
@@ -234,7 +262,7 @@ def topk_edges(
 def pairs_met(vectors: DataFrame, group: str, key: str, embedding: str, k: int = 5, threshold: float = 0.82, cell_rows: int = 1000, most_cells: int = 1024, task_rows: int = 10_000) -> DataFrame:
     """One row: `compared` pairs of different vectors (in each direction, with themselves) of `pairs` in the groups."""
     _, placed = _placed(vectors, group, key, embedding, k + 1, cell_rows, most_cells, task_rows)
-    _, visits = _searched(placed, k + 1, threshold, task_rows)
+    _, visits = _searched(placed, k + 1, threshold, cell_rows, task_rows)
     blocks = placed.groupBy(*_BLOCK).agg(F.count("*").alias("n"))
     gone = visits.groupBy(*_BLOCK).agg(F.count("*").alias("came"))
     met = blocks.join(gone, _BLOCK, "left").agg(F.sum(F.col("n") * (F.col("n") + F.coalesce("came", F.lit(0)))).alias("compared"))

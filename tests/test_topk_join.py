@@ -76,3 +76,21 @@ def test_skips_pairs_of_far_cells_only(spark):
     two = topk_join.pairs_met(frame(spark, even), "g", "k", "v", 5, 0.2, cell_rows=50).first()
     assert two["compared"] <= two["pairs"] == 600**2
     print(f"compared: clustered {one['compared'] / one['pairs']:.3f}, even {two['compared'] / two['pairs']:.3f}")
+
+
+def test_a_vector_is_sent_once_to_a_bin(spark, monkeypatch):
+    """Many cells that all have to be visited: as many rows are sent as there are bins, not cells, and the edges are whole."""
+    monkeypatch.setattr(topk_join, "BINS", 3)
+    rows = [(0, k, [float(f) for f in v]) for k, v in enumerate(np.random.default_rng(8).normal(size=(300, 16)))]
+    sent = []
+    whole = topk_join._searched
+
+    def searched(placed, *rest):
+        hits, visits = whole(placed, *rest)
+        sent.append((hits.where("src = 7").count(), placed.select("cell").distinct().count()))
+        return hits, visits
+
+    monkeypatch.setattr(topk_join, "_searched", searched)
+    close(topk_join.topk_edges(frame(spark, rows), "g", "k", "v", 4, -1.0, cell_rows=10).collect(), plain(rows, 4, -1.0))
+    answers, cells = sent[0]
+    assert cells > 12 and answers <= 5 * (1 + 3)  # k + 1 from the own block and from each bin
