@@ -64,6 +64,15 @@ def nearest(vectors: DataFrame, query: list[float], key: str, embedding: str, k:
     return rows.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
+#: Numbers in a matrix that a worker makes at once, however long a block, a batch or a list of cells is.
+HELD = 500_000
+
+
+def _rows_held(width: int, most: int) -> int:
+    """Rows of a matrix so wide that make at most `HELD` numbers; 1 to `most`."""
+    return max(1, min(most, HELD // max(1, width)))
+
+
 def coarse_cells(n: int) -> int:
     """Cells of a coarse quantiser for n vectors: the root of n, 4 to 4096."""
     return max(4, min(4096, int(n**0.5)))
@@ -73,7 +82,8 @@ def _closest(x, centres):
     """Number of the centre of greatest inner product of each row, in bounded steps."""
     import numpy as np
 
-    parts = [(x[i : i + 1000] @ centres.T).argmax(axis=1) for i in range(0, len(x), 1000)]
+    step = _rows_held(len(centres), 1000)
+    parts = [(x[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(x), step)]
     return np.concatenate(parts) if parts else np.zeros(0, int)
 
 
@@ -138,7 +148,7 @@ def assign_cells(
         out = pd.Series([None] * len(v), dtype="Int32")
         some = v.notna().to_numpy()
         if some.any():
-            out[some] = (np.stack(v[some].to_numpy()) @ centres.T).argmax(axis=1).astype("int32")
+            out[some] = _closest(np.stack(v[some].to_numpy()), centres).astype("int32")
         return out
 
     return vectors.withColumn("cell", cell(F.col(embedding))), centres.tolist(), probes
@@ -184,13 +194,15 @@ def nearest_of_all(
     them, the rows of the cells that it probes.  Scores are rounded to 6 digits, ties go to
     the lesser key.  Rows without key or vector take no part.  Rows are sent once, to
     blocks of whole cells or shares of large ones; a task holds one block at a time and the
-    queries that reach it stream past, `block_queries` at a time, each giving k rows a block.
+    queries that reach it stream past, at most `block_queries` at a time and fewer past a
+    long block, each giving k rows a block.
     """
     import heapq
 
     import numpy as np
     import pandas as pd
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     rows, centroids, probes = cells or (vectors.withColumn("cell", F.lit(0)), [], 0)
     centres = np.array(centroids)
@@ -215,8 +227,9 @@ def nearest_of_all(
 
     def asked(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = pa.Table.from_batches([batch.slice(i, 500)])
+            step = _rows_held(max(len(centres), n_block), 500)
+            for i in range(0, batch.num_rows, step):
+                some = pa.Table.from_batches([batch.slice(i, step)])
                 near = np.argsort(-(matrix(some.column("v")) @ centres.T), axis=1, kind="stable")[:, :probes].tolist() if probes else [[0]] * len(some)
                 row, block, visits = [], [], []
                 for j, visited in enumerate(near):
@@ -232,26 +245,29 @@ def nearest_of_all(
 
     def met(batches):
         """Rows of a block come before its queries."""
-        block, waiting, x, ids, cell, edge = None, [], None, None, None, None
+        block, waiting, x, ids, cell, edge, by_id = None, [], None, None, None, None, None
 
         def ready():
-            nonlocal x, ids, cell, edge, waiting
+            nonlocal x, ids, cell, edge, by_id, waiting
             table = pa.Table.from_batches(waiting).sort_by([("cell", "ascending"), ("key", "ascending")])
             x, ids, cell = matrix(table.column("v")), table.column("key").to_numpy(), table.column("cell").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            by_id = np.argsort(ids, kind="stable")
             waiting = []
 
         def answers(some: pa.RecordBatch) -> pa.RecordBatch:
             q, q_ids = matrix(pa.Table.from_batches([some]).column("v")), some.column("key").to_numpy(zero_copy_only=False)
-            visitors: dict[int, list[int]] = {}
-            for j, visited in enumerate(some.column("visited").to_pylist()):
-                for c in visited:
-                    visitors.setdefault(c, []).append(j)
-            by_id = np.argsort(ids, kind="stable")
-            score = np.full((len(q), len(ids)), -np.inf)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if who := visitors.get(int(cell[a])):
-                    score[who, a:b] = np.round(q[who] @ x[a:b].T, 6)
+            if pc.min(pc.list_value_length(some.column("visited"))).as_py() == len(edge) - 1:  # all cells of the block
+                score = np.round(q @ x.T, 6)
+            else:
+                visitors: dict[int, list[int]] = {}
+                for j, visited in enumerate(some.column("visited").to_pylist()):
+                    for c in visited:
+                        visitors.setdefault(c, []).append(j)
+                score = np.full((len(q), len(ids)), -np.inf)
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    if who := visitors.get(int(cell[a])):
+                        score[who, a:b] = np.round(q[who] @ x[a:b].T, 6)
             score = score[:, by_id]
             score[q_ids[:, None] == ids[by_id][None, :]] = -np.inf
             j, c = _best(score, k)
@@ -271,8 +287,9 @@ def nearest_of_all(
                 if waiting:
                     ready()
                 if x is not None:
-                    for i in range(0, part.num_rows, block_queries):
-                        yield answers(part.slice(i, block_queries))
+                    step = _rows_held(len(ids), block_queries)
+                    for i in range(0, part.num_rows, step):
+                        yield answers(part.slice(i, step))
 
     none = F.lit(None)
     held = rows.select(home("cell", "at").alias("block"), F.lit(0).alias("side"), "key", "v", "cell", none.cast("array<int>").alias("visited"))

@@ -1,6 +1,7 @@
 """Written indexes, carried values, exact quantiles, slugs and streams against plain forms."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -67,6 +68,20 @@ def test_probed_cells_of_the_table(spark, sf_dir):
     assert np.mean([len(found.get(q, set()) & w) / len(w) for q, w in want.items()]) >= 0.9
 
 
+def test_matrices_of_workers_are_bounded(spark):
+    """However many cells there are, and rows in a block that all queries visit."""
+    tracemalloc.start()
+    x, centres = np.ones((3000, 8)), np.ones((4096, 8))
+    base = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    assert not similarity._closest(x, centres).any()
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert peak < 16e6
+    for width in (1, 1000, 20_000, 10_000_000):
+        assert similarity._rows_held(width, 250) == 1 or similarity._rows_held(width, 250) * width <= similarity.HELD
+
+
 WORDS = ["alpha", "alpine", "beta", "betas", "gamma", "delta", "alphas", "gama", "the", "an"]
 
 
