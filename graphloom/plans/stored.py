@@ -21,6 +21,8 @@ from graphloom.plans.algebra import Graphs, Pattern, is_variable, join
 MOST_SETS = 5_000
 #: Rows of one file of a predicate, about.
 FILE_ROWS = 1_000_000
+#: Rows of one task that counts the predicates of subjects, about, and how many such tasks there are at least.
+TASK_ROWS, LEAST_TASKS = 500_000, 32
 
 
 def write_graph(quads: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
@@ -32,19 +34,40 @@ def write_graph(quads: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None
     spark = quads.sparkSession
     columns = [c for c in ("s", "p", "o", "g", "lang") if c in quads.columns]
     rows = quads.select(*columns).dropna(subset=["s", "p", "o", "g"])
-    sizes = rows.groupBy("g", "p").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("files"))  # a row a predicate
-    spread = rows.join(sizes, ["g", "p"]).withColumn("file", F.pmod(F.xxhash64("s"), F.col("files")))
-    spread.repartition("g", "p", "file").sortWithinPartitions("g", "p", "s").select(*columns).write.partitionBy("g", "p").parquet(f"{path}/quads")
+    sizes = [(r["g"], r["p"], r["count"]) for r in rows.groupBy("g", "p").count().orderBy("g", "p").collect()]  # a row a predicate
+    placed, tasks = _tasks(sizes, file_rows)
+    homes = spark.createDataFrame(placed, "g string, p string, first int, files int")
+    # a task sorts one file, or few small predicates
+    spread = rows.join(F.broadcast(homes), ["g", "p"]).withColumn("task", (F.col("first") + F.pmod(F.xxhash64("s"), F.col("files"))).cast("int"))
+    spread.repartitionById(max(1, tasks), "task").sortWithinPartitions("g", "p", "s").select(*columns).write.partitionBy("g", "p").parquet(f"{path}/quads")
     held = _quads(spark, path, "lang" in columns)
     about = held.groupBy("g", "p").agg(F.count("*").alias("rows"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
     about.coalesce(1).write.parquet(f"{path}/predicates")
-    subject = held.groupBy("g", "s", "p").agg(F.count("*").alias("n")).groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("of"))
+    # both aggregates in the tasks of one shuffle, as many as the rows need
+    by_subject = held.select("g", "s", "p").repartition(max(LEAST_TASKS, -(-sum(n for *_, n in sizes) // TASK_ROWS)), "g", "s")
+    subject = by_subject.groupBy("g", "s", "p").agg(F.count("*").alias("n")).groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("of"))
     each = subject.select("g", F.col("of.p").alias("predicates"), F.posexplode("of.n").alias("at", "n")).groupBy("g", "predicates", "at").agg(F.sum("n").alias("n"), F.count("*").alias("subjects"))
     sets = each.groupBy("g", "predicates").agg(F.max("subjects").alias("subjects"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("x"))
     sets.select("g", "predicates", "subjects", F.col("x.n").alias("rows")).write.parquet(f"{path}/sets")
     spark.createDataFrame([("lang" in columns,)], "lang boolean").coalesce(1).write.parquet(f"{path}/done")
 
 
+def _tasks(sizes: list[tuple[str, str, int]], file_rows: int) -> tuple[list[tuple[str, str, int, int]], int]:
+    """Of each predicate (g, p, rows): its first task and its files, each in a task; small predicates share one.  And the number of tasks."""
+    share = max(1, min(file_rows, -(-sum(n for *_, n in sizes) // LEAST_TASKS)))
+    placed, tasks, held = [], 0, 0  # rows of the last task, 0 if it is full
+    for g, p, n in sizes:
+        files = -(-n // file_rows)
+        if not held or held + n > share:
+            placed.append((g, p, tasks, files))
+            tasks += files
+            held = n if n < share else 0
+        else:
+            placed.append((g, p, tasks - 1, files))
+            held += n
+    return placed, tasks
+
+
 def _quads(spark: SparkSession, path: str, lang: bool) -> DataFrame:
     """The stored quads; an empty name of a graph or predicate is a folder of its own."""
     schema = f"s string, o string{', lang string' if lang else ''}, g string, p string"

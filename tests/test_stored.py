@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.plans import sparql
+from graphloom.plans import sparql, stored
 from graphloom.plans.algebra import Graphs, Pattern
 from graphloom.plans.stored import StoredGraphs, write_graph
 
@@ -36,6 +36,26 @@ def test_holds_all_quads(spark, store):
     assert rows(store.quads.select(*SCHEMA.replace(" string", "").split(", "))) == rows(people(spark).dropna(subset=["s", "p", "o", "g"]))
 
 
+def test_no_task_grows_with_the_graph(spark, tmp_path, monkeypatch):
+    """A task has a file or small predicates, however shuffles are coalesced; subjects are dealt by their number."""
+    sizes = [("a", "p", 900), ("a", "q", 3), ("a", "r", 4), ("b", "p", 250), ("b", "q", 5), ("b", "r", 100)]
+    placed, tasks = stored._tasks(sizes, 100)
+    load = [0] * tasks
+    for (_, _, n), (_, _, first, files) in zip(sizes, placed, strict=True):
+        for k in range(files):
+            load[first + k] += n / files
+    assert max(load) <= 100 and tasks <= 16 and min(load) > 0
+    assert stored._tasks([], 100) == ([], 0)
+    dealt = []
+    plain = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *by: dealt.append((n, by)) or plain(self, n, *by))
+    monkeypatch.setattr(stored, "TASK_ROWS", 10)
+    write_graph(people(spark), str(tmp_path / "g"), file_rows=40)
+    assert dealt == [(41, ("g", "s"))]
+    files = [f for f in StoredGraphs(spark, str(tmp_path / "g")).quads.where("p = 'name'").inputFiles() if "p=name" in f]
+    assert len(files) == 6  # 201 rows, the repeated one too
+
+
 def test_reads_only_folders_of_the_pattern(store):
     found = store.match(Pattern("?s", "town", "?o", "people"))
     text = plan(found)
