@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
 
+#: Rows of a task that writes postings, about and at most as the texts' lengths tell; such tasks at least.
+TASK_ROWS, LEAST_TASKS = 1_000_000, 32
+#: Characters of a word and what parts it from the next.
+LEAST_WORD = 4
 LOG = "version long, batch string, segments array<long>, seq long, parts int, typos int"
 
 
@@ -82,8 +86,13 @@ class TextIndex:
         if terms is not None:
             parts = [r[0] for r in terms.select(self._part("term")).distinct().collect()]
             rows = rows.where(F.col("part").isin(parts)).join(terms, "term")
-        gone = self._read("gone", f"key {kind}, seq long").groupBy("key").agg(F.max("seq").alias("since"))
-        return rows.join(gone, "key", "left").where("since IS NULL OR seq >= since").drop("since", "seq", "part")
+        last = max(self.segments, default=0)
+        newest = rows.where(F.col("seq") == last)  # nothing came later
+        if min(self.segments, default=0) < last:
+            gone = self._read("gone", f"key {kind}, seq long").groupBy(F.col("key").alias("dead")).agg(F.max("seq").alias("since"))
+            older = rows.where(F.col("seq") < last).join(gone, (F.col("key") == F.col("dead")) & (F.col("seq") < F.col("since")), "left_anti")
+            newest = newest.unionByName(older)
+        return newest.drop("seq", "part")
 
     def _part(self, c: str) -> Column:
         return self._number(c).alias("part")
@@ -159,14 +168,24 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Te
     return TextIndex(spark, path, last["version"], tuple(last["segments"]), max(r["seq"] for r in log), last["parts"], last["typos"], frozenset(r["batch"] for r in log if r["batch"]))
 
 
-def _segment(index: TextIndex, postings: DataFrame, seq: int) -> None:
-    """Postings, dictionary and word list of one segment."""
+def _dealt(parts: int, rows: int) -> tuple[int, int]:
+    """Files of a part, and tasks: both grow with the rows, so that neither a task nor a term's share in one does.
+
+    A task writes two files where rows are many; a term with all rows gives it parts / 2 times `TASK_ROWS`.
+    """
+    tasks = max(LEAST_TASKS, -(-rows // TASK_ROWS))
+    return max(4, -(-2 * tasks // parts)), tasks
+
+
+def _segment(index: TextIndex, postings: DataFrame, seq: int, rows: int = 0) -> None:
+    """Postings, of which there are at most `rows`, dictionary and word list of one segment."""
     spark, path, part = index.spark, index.path, index._part
     target = f"{path}/postings/seq={seq}"
-    # a common term is dealt to several files of its part
-    salt = F.pmod(F.xxhash64("key"), F.lit(8))
+    # a common term is dealt to several files of its part, the files evenly to tasks
+    files, tasks = _dealt(index.parts, rows)
+    file = index._number("term") * files + F.pmod(F.xxhash64("key"), F.lit(files)).cast("int")
     # the part is told from the term again on the other side of the shuffle
-    dealt = postings.select("term", "key", "at").repartition(index._number("term"), salt)
+    dealt = postings.select("term", "key", "at").repartitionById(tasks, F.pmod(file, F.lit(tasks)))
     dealt.withColumn("part", part("term")).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(target)
     terms = spark.read.schema("term string, part int").parquet(target).select("term").distinct()
     terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/seq={seq}")
@@ -193,7 +212,8 @@ def upsert(spark: SparkSession, path: str, docs: DataFrame, key: str, text: str,
         index.parts, index.typos = parts, typos
     seq = index.seq + 1
     docs = docs.where(F.col(key).isNotNull())
-    _segment(index, occurrences(docs, key, text, stop), seq)
+    most = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    _segment(index, occurrences(docs, key, text, stop), seq, most // LEAST_WORD + 1)
     keys = [d.select(F.col(key).alias("key")) for d in (docs, delete) if d is not None]
     reduce(DataFrame.union, keys).where("key IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{path}/gone/seq={seq}")
     return _commit(index, [*index.segments, seq], seq, batch)
@@ -203,5 +223,5 @@ def merge(spark: SparkSession, path: str) -> TextIndex:
     """All live postings as one segment; earlier segments and tombstones are no longer read."""
     index = open_index(spark, path)
     seq = index.seq + 1
-    _segment(index, index.postings(), seq)
+    _segment(index, index.postings(), seq, index._read("postings", "seq long").count())
     return _commit(index, [seq], seq, None)

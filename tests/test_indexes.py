@@ -146,6 +146,34 @@ def test_batches_answer_like_one_build(spark, texts, tmp_path):
     assert text_index.open_index(spark, str(tmp_path / "none")).version == 0
 
 
+def test_newest_segment_is_not_joined(spark, tmp_path):
+    """Tombstones meet older segments only; one segment meets none."""
+    joins = lambda i: i.postings()._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (2, "gamma")], "id long, body string")
+    one = text_index.upsert(spark, str(tmp_path), docs, "id", "body")
+    assert joins(one) == 0 and one.postings().count() == 4
+    two = text_index.upsert(spark, str(tmp_path), docs.where("id = 2"), "id", "body", delete=docs.where("id = 1"))
+    assert joins(two) == 1 and sorted(r["term"] for r in two.postings().collect()) == ["alpha", "gamma"]
+    assert joins(text_index.open_index(spark, str(tmp_path), 1)) == 0
+    assert text_index.open_index(spark, str(tmp_path), 1).postings().count() == 4
+
+
+def test_tasks_that_write_postings_follow_the_rows(spark, tmp_path, monkeypatch):
+    """However few partitions a shuffle has, or adaptive execution makes of them."""
+    for rows in (0, 10**6, 10**8, 3 * 10**9):
+        files, tasks = text_index._dealt(64, rows)
+        assert rows / files <= 32 * text_index.TASK_ROWS and rows / tasks <= text_index.TASK_ROWS and files * 64 < 4 * tasks + 257
+    dealt = []
+    plain = type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda self, n, by: dealt.append(n) or plain(self, n, by))
+    monkeypatch.setattr(text_index, "TASK_ROWS", 10)
+    docs = spark.createDataFrame([(k, "alpha beta " * 10) for k in range(60)], "id long, body string")
+    index = text_index.upsert(spark, str(tmp_path), docs, "id", "body")
+    assert dealt == [-(-(60 * 110 // 4 + 1) // 10)] and index.postings().count() == 1200
+    text_index.merge(spark, str(tmp_path))
+    assert dealt[1:] == [120]
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(3)
     shapes = {
