@@ -41,11 +41,12 @@ def similar_edges(vectors: DataFrame, group: str, key: str, embedding: str, k: i
         ids = keys.dictionary_encode().indices.to_numpy()
         found = []
         for a, b in [(low, high)] + [(high, low)] * (not np.array_equal(low, high)):
-            score = np.nan_to_num(np.round(x[a] @ x[b].T, 6), nan=-np.inf)
-            score[ids[a][:, None] == ids[b][None, :]] = -np.inf
-            if score.size:
-                i, j = _best(score, k)
-                found.append((a[i], b[j], score[i, j]))
+            for a in _steps(a, len(b)):
+                score = np.nan_to_num(np.round(x[a] @ x[b].T, 6), nan=-np.inf)
+                score[ids[a][:, None] == ids[b][None, :]] = -np.inf
+                if score.size:
+                    i, j = _best(score, k)
+                    found.append((a[i], b[j], score[i, j]))
         src, dst, score = (np.concatenate(f) if found else np.zeros(0, t) for f, t in zip(list(zip(*found, strict=True)) or [[], [], []], (int, int, float), strict=True))
         column = lambda c, at: table.column(c).combine_chunks().take(pa.array(at, pa.int64()))
         return pa.table({"group": column("group", src), "src": keys.take(pa.array(src, pa.int64())), "dst": keys.take(pa.array(dst, pa.int64())), "score": pa.array(score, pa.float64())})
@@ -73,6 +74,12 @@ def _rows_held(width: int, most: int) -> int:
     return max(1, min(most, HELD // max(1, width)))
 
 
+def _steps(rows, width: int):
+    """Shares of an array of rows, each for a matrix so wide."""
+    step = _rows_held(width, max(1, len(rows)))
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
+
+
 def coarse_cells(n: int) -> int:
     """Cells of a coarse quantiser for n vectors: the root of n, 4 to 4096."""
     return max(4, min(4096, int(n**0.5)))

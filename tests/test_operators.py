@@ -226,3 +226,13 @@ def test_streams(spark, tmp_path):
     names = resolve_stream(stream, "key", "who", "name", "sex").writeStream.format("memory").queryName("names").outputMode("append").trigger(availableNow=True).start()
     names.awaitTermination(120)
     assert {(r["key"], r["resolved"]) for r in spark.table("names").collect()} >= {("i1", "S's father"), ("i2", "she")}
+
+
+def test_matrices_of_similar_blocks_are_bounded():
+    """Blocks of 2,000 rows meet in steps that keep a worker's matrices small."""
+    import numpy as np
+
+    rows = np.arange(2000)
+    steps = similarity._steps(rows, 2000)
+    assert np.array_equal(np.concatenate(steps), rows) and max(map(len, steps)) * 2000 <= similarity.HELD
+    assert similarity._steps(rows[:0], 5) == []
